@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import hostrules, media, warc
+from . import bpe, hostrules, media, warc
 
 QUERIES = {
     "op1_gif": media.op1_gif,
     "op7_warc": warc.op7_warc,
     "op8_host_rules": hostrules.op8_host_rules,
+    "op10_bpe": bpe.op10_bpe,
 }
 
 ORACLE = {
