@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, hostrules, media, warc
+from . import bpe, hostrules, media, simhash, warc
 
 QUERIES = {
     "op1_gif": media.op1_gif,
+    "op4_simhash": simhash.op4_simhash,
     "op7_warc": warc.op7_warc,
     "op8_host_rules": hostrules.op8_host_rules,
     "op10_bpe": bpe.op10_bpe,
