@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
-from . import bpe, hostrules, media, simhash, warc
+from . import bpe, hostrules, media, mixing, neighbours, preference, simhash, warc
 
 QUERIES = {
     "op1_gif": media.op1_gif,
+    "op3_preference": preference.op3_preference,
     "op4_simhash": simhash.op4_simhash,
+    "op5_mixing": mixing.op5_mixing,
+    "op6_neighbours": neighbours.op6_neighbours,
     "op7_warc": warc.op7_warc,
     "op8_host_rules": hostrules.op8_host_rules,
     "op10_bpe": bpe.op10_bpe,
 }
 
 ORACLE = {
+    "op3_preference": preference.OP3_SQL,
+    "op5_mixing": mixing.OP5_SQL,
     "op7_warc": warc.OP7_SQL,
     "op8_host_rules": hostrules.OP8_SQL,
 }
