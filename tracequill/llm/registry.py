@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, hostrules, media, mixing, neighbours, preference, simhash, warc
+from . import bpe, hostrules, media, mixing, neighbours, pii, preference, simhash, warc
 
 QUERIES = {
     "op1_gif": media.op1_gif,
+    "op2_pii": pii.op2_pii,
     "op3_preference": preference.op3_preference,
     "op4_simhash": simhash.op4_simhash,
     "op5_mixing": mixing.op5_mixing,
