@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, hostrules, media, mixing, neighbours, pii, preference, simhash, warc
+from . import bpe, hostrules, media, mixing, neighbours, pii, preference, repeats, simhash, warc
 
 QUERIES = {
     "op1_gif": media.op1_gif,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_neighbours": neighbours.op6_neighbours,
     "op7_warc": warc.op7_warc,
     "op8_host_rules": hostrules.op8_host_rules,
+    "op9_repeats": repeats.op9_repeats,
     "op10_bpe": bpe.op10_bpe,
 }
 
