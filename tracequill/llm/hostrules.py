@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tracequill.session import written
 
@@ -34,10 +35,8 @@ MAX_BROADCAST_HOSTS = 50_000
 SALTS = 32
 RULES = ("base", "symbols", "dup_lines")
 
-_MEASURES = (
-    "doc_id long, host string, n_words long, word_chars long, n_symbols long, "
-    "n_lines long, n_dup_lines long, n_repeat_words long"
-)
+_COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
+_MEASURES = "doc_id long, host string, " + ", ".join(f"{c} long" for c in _COUNTS)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -91,7 +90,7 @@ def _measure_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         cols = zip(*rows, strict=True) if rows else [[]] * 6
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(1), *(pa.array(c, pa.int64()) for c in cols)],
-            ["doc_id", "host", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words"],
+            ["doc_id", "host", *_COUNTS],
         )
 
 
@@ -100,7 +99,10 @@ def document_measures(docs: DataFrame, host: str = "source") -> DataFrame:
     narrow = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col(host).cast("string").alias("host"), F.col("text").cast("binary").alias("text")
     )
-    measured = narrow.mapInArrow(_measure_batches, _MEASURES)
+    return _failures(narrow.mapInArrow(_measure_batches, _MEASURES))
+
+
+def _failures(measured: DataFrame) -> DataFrame:
     return measured.select(
         "*",
         ((F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))).alias("base_failed"),
@@ -162,6 +164,27 @@ def judged(docs: DataFrame, host: str = "source", max_rate: float = MAX_HOST_RAT
     return join_hosts(measures, verdicts, max_broadcast).withColumn("kept", ~F.col("base_failed") & F.col("host_ok"))
 
 
+def filtered(docs: DataFrame, host: str = "source", max_rate: float = MAX_HOST_RATE, max_broadcast: int = MAX_BROADCAST_HOSTS) -> DataFrame:
+    """The rows of ``docs`` that are kept, with all their columns: one pass over the texts, no shuffle of them.
+
+    The rows are written with their measures once; hosts are judged on that table.
+    """
+    spark = docs.sparkSession
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [measure(x.as_py() or b"") for x in batch.column(2)]
+            cols = zip(*rows, strict=True) if rows else [[]] * 6
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, pa.int64()) for c in cols)], ["row", "host", *_COUNTS])
+
+    packed = docs.select(F.struct(*docs.columns).alias("row"), F.col(host).cast("string").alias("host"), F.col("text").cast("binary").alias("text"))
+    schema = T.StructType([packed.schema["row"], T.StructField("host", T.StringType()), *(T.StructField(c, T.LongType()) for c in _COUNTS)])
+    measured = written(spark, _failures(packed.mapInArrow(run, schema)), "hostrules-rows")
+    verdicts = written(spark, host_verdicts(measured.drop("row"), max_rate), "hosts")
+    rows = measured.filter(~F.col("base_failed")).withColumn("doc_id", F.xxhash64("n_words", "word_chars", "n_lines"))
+    return join_hosts(rows, verdicts, max_broadcast).filter("host_ok").select("row.*")
+
+
 def op8_host_rules(spark, sf_dir: str) -> DataFrame:
     return judged(spark.read.parquet(f"{sf_dir}/documents.parquet")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
