@@ -133,8 +133,8 @@ def matches(docs: DataFrame) -> DataFrame:
     return texts.selectExpr("doc_id", *(_find(k) for k in KINDS))
 
 
-def candidates(found: DataFrame) -> DataFrame:
-    """doc_id, ``base`` (s, k, e), counts by base kind, and ``open``: candidates with their votes."""
+def candidates(found: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The key column, ``base`` (s, k, e), counts by base kind, and ``open``: candidates with their votes."""
     base = [f"transform(filter({k}, x -> {CHECKS[k]}), x -> named_struct('s', x.s, 'k', {i}, 'e', x.e))" for i, k in enumerate(BASE)]
     rest = []
     for i, k in enumerate(KINDS):
@@ -143,7 +143,7 @@ def candidates(found: DataFrame) -> DataFrame:
         kept = f"filter({k}, x -> NOT ({CHECKS[k]}))" if k in BASE else k
         rest.append(f"transform({kept}, x -> named_struct('s', x.s, 'k', {i}, 'e', x.e, {_votes(k)}))")
     return found.selectExpr(
-        "doc_id",
+        key,
         f"array_sort(concat({', '.join(base)})) AS base",
         *(f"cast(size(filter({k}, x -> {CHECKS[k]})) AS long) AS n_{k}" for k in BASE),
         f"concat({', '.join(rest)}) AS open",
@@ -209,12 +209,12 @@ def train(counts: list[tuple[tuple[int, ...], int]], steps: int = 400, rate: flo
     return weights
 
 
-def classified(found: DataFrame, weights: list[float]) -> DataFrame:
+def classified(found: DataFrame, weights: list[float], key: str = "doc_id") -> DataFrame:
     """Adds ``spans``: base spans and the candidates the classifier takes, by start, kind and end."""
     score = " + ".join(f"{w!r}D * x.{name}" for w, name in zip(weights, LABELERS, strict=False))
     kinds = ", ".join(f"{w!r}D" for w in weights[len(LABELERS) :])
     taken = f"transform(filter(open, x -> {score} + element_at(array({kinds}), x.k + 1) >= 0D), x -> named_struct('s', x.s, 'k', x.k, 'e', x.e))"
-    return found.selectExpr("doc_id", "base", *(f"n_{k}" for k in BASE), f"array_sort(array_distinct(concat(base, {taken}))) AS spans")
+    return found.selectExpr(key, "base", *(f"n_{k}" for k in BASE), f"array_sort(array_distinct(concat(base, {taken}))) AS spans")
 
 
 def _listed(spans: str) -> str:
@@ -238,21 +238,20 @@ def op2_pii(spark, sf_dir: str) -> DataFrame:
 def masked(docs: DataFrame) -> DataFrame:
     """``docs`` with every span of ``text`` replaced by its kind in brackets; overlapping spans become one.
 
-    Spans are found for each row and joined back by a hash of doc_id and text, one shuffle of the texts.
+    The rows are written once with their matches; votes are counted on that table and the
+    masks applied to it, so the texts are not shuffled.
     """
-    spark = docs.sparkSession
-    key = F.xxhash64("doc_id", "text")
-    keyed = docs.select(key.alias("doc_id"), "text")
-    found = detect(keyed).filter("size(spans) > 0").select(F.col("doc_id").alias("_key"), "spans").dropDuplicates(["_key"])
-    hits = written(spark, found, "pii-spans")
     names = ", ".join(f"'[{k.upper()}]'" for k in KINDS)
     step = (
         "named_struct('at', greatest(acc.at, x.e), 'out', IF(x.s >= acc.at, "
-        f"concat(acc.out, array(substring(text, acc.at + 1, x.s - acc.at), element_at(array({names}), x.k + 1))), acc.out))"
+        f"concat(acc.out, array(substring(row.text, acc.at + 1, x.s - acc.at), element_at(array({names}), x.k + 1))), acc.out))"
     )
     text = (
-        f"CASE WHEN spans IS NULL THEN text ELSE aggregate(spans, named_struct('at', 0, 'out', cast(array() AS array<string>)), "
-        f"(acc, x) -> {step}, acc -> concat(array_join(acc.out, ''), substring(text, acc.at + 1))) END"
+        f"CASE WHEN size(spans) = 0 THEN row.text ELSE aggregate(spans, named_struct('at', 0, 'out', cast(array() AS array<string>)), "
+        f"(acc, x) -> {step}, acc -> concat(array_join(acc.out, ''), substring(row.text, acc.at + 1))) END AS text"
     )
-    joined = docs.withColumn("_key", key).join(hits, "_key", "left").withColumn("text", F.expr(text))
-    return joined.select(*docs.columns)
+    packed = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = written(docs.sparkSession, packed.selectExpr("row", *(_find(k) for k in KINDS)), "pii-rows")
+    found = candidates(rows, "row")
+    spans = classified(found, train(vote_counts(found)), "row")
+    return spans.select("row", F.expr(text)).select(*(F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns))
