@@ -68,3 +68,10 @@ def test_broken_archives_are_refused():
         list(warc.parse(b"WARC/1.1\r\nContent-Length: 9\r\n\r\nabc\r\n\r\n"))
     with pytest.raises(ValueError):
         list(warc.parse(b"junk"))
+
+
+def test_page_ids_of_any_size_and_null(spark, tmp_path):
+    pages = [(-5, "u", "a"), (1 << 60, "u", "a"), (None, "u", "a"), (None, "u", "alone")]
+    rows = warc.read_archives(spark, archived(spark, pages, tmp_path)).collect()
+    got = sorted((r.page_id or 0, r.record_type, r.refers_to or 0) for r in rows)
+    assert got == [(-5, "response", 0), (0, "response", 0), (0, "revisit", -5), (1 << 60, "revisit", -5)]

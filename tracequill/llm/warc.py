@@ -9,7 +9,9 @@ their Content-Length.
 
 Defined results: a null payload is empty; a null url is an empty target; every row
 of ``pages`` gives a record, so rows that repeat a page id and its payload give
-equal records; an empty table gives empty archives; extra columns are ignored.
+equal records; a null page_id revisits a known page of its payload, and is a
+response where there is none; an empty table gives empty archives; extra columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ RECORDS_PER_FILE = 2000
 SALTS = 32
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+#: Record id of a page without one.
+NO_ID = "<urn:uuid:00000000-0000-4fff-0000-000000000000>"
 _BASE32_DIGITS = "0123456789ABCDEFGHIJKLMNOPQRSTUV"
 _BASE32_WARC = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
@@ -67,7 +71,7 @@ def resolve(heads: DataFrame, min_bytes: int = MIN_BYTES, salts: int = SALTS) ->
         .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     )
     joined = spread.join(originals, [*keys, "_salt"], "left").drop("_salt")
-    revisit = F.col("_first").isNotNull() & (F.col("page_id") != F.col("_first"))
+    revisit = F.col("_first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_first"))
     return joined.select(
         "page_id",
         "url",
@@ -79,7 +83,9 @@ def resolve(heads: DataFrame, min_bytes: int = MIN_BYTES, salts: int = SALTS) ->
 
 def _record(page_id: Column, url: Column, kind: Column, digest: Column, refers_to: Column, payload: Column) -> Column:
     def uuid(x: Column) -> Column:
-        return F.concat(F.lit("<urn:uuid:00000000-0000-4000-8000-"), F.lpad(F.lower(F.hex(x)), 12, "0"), F.lit(">"))
+        digits = F.lpad(F.lower(F.hex(x)), 16, "0")
+        named = F.concat(F.lit("<urn:uuid:00000000-0000-4000-"), F.substring(digits, 1, 4), F.lit("-"), F.substring(digits, 5, 12), F.lit(">"))
+        return F.coalesce(named, F.lit(NO_ID))
 
     body = F.when(kind == "response", payload).otherwise(F.lit(""))
     length = F.length(body.cast("binary")).cast("string")
@@ -105,7 +111,8 @@ def write_archives(pages: DataFrame, resolved: DataFrame, path: str, records_per
         base32_sha1(html.cast("binary")).alias("payload_digest"),
         html.alias("_payload"),
     )
-    rows = payloads.join(resolved.drop("url", "payload_bytes").distinct(), ["page_id", "payload_digest"])
+    verdicts = resolved.select(F.col("page_id").alias("_id"), F.col("payload_digest").alias("_digest"), "record_type", "refers_to").distinct()
+    rows = payloads.join(verdicts, F.col("page_id").eqNullSafe(F.col("_id")) & (F.col("payload_digest") == F.col("_digest")))
     rows.select(
         _record(F.col("page_id"), F.col("url"), F.col("record_type"), F.col("payload_digest"), F.col("refers_to"), F.col("_payload")).alias("value")
     ).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", records_per_file).option("compression", "gzip").text(path)
@@ -131,8 +138,9 @@ def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 def read_archives(spark, path: str) -> DataFrame:
     """page_id, record_type, url, payload_digest, refers_to and the stored block of every record."""
 
-    def number(urn: str) -> int:
-        return int(urn.strip("<>").rsplit("-", 1)[1], 16)
+    def number(urn: str) -> int | None:
+        found = int("".join(urn.strip("<>").split("-")[-2:]), 16)
+        return None if urn == NO_ID else found - (1 << 64) if found >> 63 else found
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.binary()]
