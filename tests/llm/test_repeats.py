@@ -55,9 +55,9 @@ def test_passages_edits_and_periods(spark, group):
 
 def test_nulls_repeated_rows_and_empty_tables(spark):
     long = "é" * 50 + "".join(random.Random(2).choices("abcdefgh", k=300))
-    df = spark.createDataFrame([(1, None), (2, ""), (3, long), (3, long), (None, long + "y"), (4, "short")], "doc_id long, text string")
-    got = sorted((r.doc_id or -1, r.n_bytes, r.n_removed, r.n_spans, r.kept) for r in repeats.kept_texts(df).collect())
-    assert got == [(-1, 401, 400, 1, b"y"), (1, 0, 0, 0, b""), (2, 0, 0, 0, b""), (3, 400, 400, 1, b""), (3, 400, 400, 1, b""), (4, 5, 0, 0, b"short")]
+    df = spark.createDataFrame([(1, None), (2, ""), (3, long), (3, long), (None, long + "y"), (4, "short"), (-1, "z")], "doc_id long, text string")
+    got = sorted((r.doc_id or -9, r.n_bytes, r.n_removed, r.n_spans, r.kept) for r in repeats.kept_texts(df).collect())
+    assert got == [(-9, 401, 400, 1, b"y"), (-1, 1, 0, 0, b"z"), (1, 0, 0, 0, b""), (2, 0, 0, 0, b""), (3, 400, 400, 1, b""), (3, 400, 400, 1, b""), (4, 5, 0, 0, b"short")]
     assert repeats.kept_texts(df.limit(0)).count() == 0
 
 

@@ -85,9 +85,9 @@ def anchor_runs(raw: np.ndarray, gram: int = GRAM, width: int = WIDTH) -> tuple[
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash and the text's bytes; equal keys mean equal documents."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.cast("binary").alias("text"))
+    """doc_id (-1 for null) and text_hash, the text's bytes, and the doc_id as it is; equal keys mean equal documents."""
+    text, own = F.coalesce(F.col("text").cast("string"), F.lit("")), F.col("doc_id").cast("long")
+    return docs.select(F.coalesce(own, F.lit(-1)).alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.cast("binary").alias("text"), own.alias("own_id"))
 
 
 def anchors(keyed: DataFrame) -> DataFrame:
@@ -108,7 +108,7 @@ def anchors(keyed: DataFrame) -> DataFrame:
             if parts[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(p).astype(k.to_pandas_dtype())) for p, k in zip(parts, kinds, strict=True)], names)
 
-    return keyed.filter(F.length("text") >= WIDTH).mapInArrow(run, _ANCHORS)
+    return keyed.drop("own_id").filter(F.length("text") >= WIDTH).mapInArrow(run, _ANCHORS)
 
 
 def _dealt_again(rows: DataFrame, group: int) -> tuple[DataFrame, DataFrame]:
@@ -265,7 +265,7 @@ def kept_texts(docs: DataFrame, group: int = GROUP) -> DataFrame:
 
 def _removed(docs: DataFrame, ranges: DataFrame, whole: bool) -> DataFrame:
     gathered = ranges.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", "stop")).alias("ranges"))
-    rows = _keyed(docs).withColumn("own_id", F.col("doc_id")).join(gathered, ["doc_id", "text_hash"], "left")
+    rows = _keyed(docs).join(gathered, ["doc_id", "text_hash"], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -279,7 +279,7 @@ def _removed(docs: DataFrame, ranges: DataFrame, whole: bool) -> DataFrame:
                     at = stop
                 kept.append(data[at:])
                 left = b"".join(kept)
-                for c, x in zip(cols, (None if key == -1 else key, len(data), len(data) - len(left), len(spans), left if whole else hashlib.sha256(left).hexdigest()), strict=True):
+                for c, x in zip(cols, (key, len(data), len(data) - len(left), len(spans), left if whole else hashlib.sha256(left).hexdigest()), strict=True):
                     c.append(x)
             last = pa.binary() if whole else pa.string()
             yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], last)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept" if whole else "kept_sha256"])
