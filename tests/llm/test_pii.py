@@ -60,6 +60,7 @@ CASES = [
     "999.1.1.1 1.1.1.1", "4111 1111 1111 1111 4111-1111-1111-1112", "41111111111111111111 4111111111111111", "+1 (786) 555-4469, +49.30.1234567 +12 +1 2",
     "+1 555 444 33 22 11 00 99 88 é 1.2.3.4", "日本 a@b.cc 😀 +33 1 23 45 67 89 token = \"2fc43797753588f13dc1659f3b1265a8c9a08e5a\"", "1-2-3-4 ++1234567890+123456789",
     "a" * 200_000, "a." * 50_000 + "@" + "b." * 50_000 + "c", "1" * 100_000, "+1" + " " * 50_000 + "9", "1 " * 60_000,
+    "10.0.0.1 0.0.0.0 010.020.000.255 00000300.1.1.1 1.2.3.256 000.00.0.249",
 ]
 
 

@@ -42,7 +42,7 @@ EXTRA = {
 KINDS = (*BASE, *EXTRA)
 LABELERS = ("shape", "valid", "gazetteer", "context", "boundary")
 CONTEXT = 32
-_OCTET = "0*+(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
+_OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
 _DIGITS = "regexp_replace(x.m, '[^0-9]', '')"
 
 #: SQL over x (s, e, m, c): the base checks.
