@@ -23,7 +23,7 @@ def texts():
     rng = random.Random(3)
     alphabet = "abcdefgh ijkl\n\t  é日本語ß’'s123 \x1c\x1f\x85 😀-_/"
     return [
-        "", " ", "\n\n  x", "don't we'll <|endoftext|>", "a" * 3000, "ab" * 1500, "9" * 700, "".join(rng.choices("etaoinshr", k=2500)),
+        "", " ", "\n\n  x", "don't we'll <|endoftext|>", "a" * 3000, "ab" * 1500, "9" * 700, "a\u0558b \u0c5c1\U0003d000 x\U00011de0 2\u1c89\ua7ce\u0378", "".join(rng.choices("etaoinshr", k=2500)),
         *("".join(rng.choices(alphabet, k=rng.randint(1, 300))) for _ in range(200)),
     ]
 
@@ -46,7 +46,7 @@ def test_null_repeated_and_empty_tables(spark):
 
 
 def test_small_blocks_give_the_same(spark, monkeypatch, library):
-    codec = bpe.codec(PATH, P.PATTERN)
+    codec = bpe.codec(PATH, P.PATTERN, bpe.reclassified())
     words = sorted({w for t in texts() for w in codec.split.findall(t)})
     ids, sizes, decoded = codec.encode_words(words)
     for w, i, n, d in zip(words, ids, sizes, decoded, strict=True):

@@ -28,6 +28,7 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import regex
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -86,17 +87,53 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
-def splitter(pattern: str) -> regex.Pattern:
-    """The tokenizer library's white space is Unicode's, without the separators U+001C to U+001F."""
-    return regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
+@cache
+def reclassified() -> tuple[tuple[int, int, str], ...]:
+    """Ranges of characters that the tokenizer library's Unicode tables class otherwise than this one's, each with a stand-in.
+
+    Their releases differ: letters and numbers that the older one does not know are
+    other characters there. Computed once, on the driver.
+    """
+    everything = "".join(map(chr, (*range(0xD800), *range(0xE000, 0x110000))))
+    stand_in: dict[int, str] = {}
+    for known, kind in (("\u00df", r"\p{L}"), ("\u00b2", r"\p{N}")):
+        probe = tiktoken.Encoding("probe", pat_str=kind, mergeable_ranks={bytes([b]): b for b in range(256)}, special_tokens={})
+        theirs, ours = set(probe.decode(probe.encode_ordinary(everything))), set(regex.findall(kind, everything))
+        stand_in |= {ord(c): known for c in theirs - ours}
+        stand_in = {ord(c): "\uffff" for c in ours - theirs} | stand_in
+    out: list[tuple[int, int, str]] = []
+    for c, x in sorted(stand_in.items()):
+        if out and out[-1][1] == c - 1 and out[-1][2] == x:
+            out[-1] = (out[-1][0], c, x)
+        else:
+            out.append((c, c, x))
+    return tuple(out)
+
+
+class Splitter:
+    """Matches of the split pattern, as the tokenizer library finds them.
+
+    Its white space is Unicode's, without the separators U+001C to U+001F.
+    """
+
+    def __init__(self, pattern: str, odd: tuple[tuple[int, int, str], ...]):
+        self.pattern = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
+        self.stand_in = {c: x for lo, hi, x in odd for c in range(lo, hi + 1)}
+        self.is_odd = np.zeros(0x110000, bool)
+        self.is_odd[list(self.stand_in)] = True
+
+    def findall(self, text: str) -> list[str]:
+        if text.isascii() or not self.is_odd[np.frombuffer(text.encode("utf-32-le"), np.uint32)].any():
+            return self.pattern.findall(text)
+        return [text[m.start() : m.end()] for m in self.pattern.finditer(text.translate(self.stand_in))]
 
 
 class Codec:
     """Vocabulary and merge table in an in-memory DuckDB of this worker."""
 
-    def __init__(self, path: str, pattern: str, memory: str = "250MB"):
+    def __init__(self, path: str, pattern: str, odd: tuple[tuple[int, int, str], ...], memory: str = "250MB"):
         self.ranks = load_ranks(path)
-        self.split = splitter(pattern)
+        self.split = Splitter(pattern, odd)
         self.bytes = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": memory, "preserve_insertion_order": False})
         pairs, ranks, undercut = [], [], set()
@@ -143,8 +180,8 @@ _SHORT_WRAPPED = f"SELECT w, l FROM ({_SHORT})"
 
 
 @cache
-def codec(path: str, pattern: str) -> Codec:
-    return Codec(path, pattern)
+def codec(path: str, pattern: str, odd: tuple[tuple[int, int, str], ...]) -> Codec:
+    return Codec(path, pattern, odd)
 
 
 class Block:
@@ -192,8 +229,10 @@ def _full(block: Block, engine: Codec) -> pa.RecordBatch:
 
 
 def _run(docs: DataFrame, path: str, pattern: str, emit, schema: str) -> DataFrame:
+    odd = reclassified()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        engine, block = codec(path, pattern), Block()
+        engine, block = codec(path, pattern, odd), Block()
         for batch in batches:
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 block.add(key, engine.split.findall(text.as_py() or ""))
