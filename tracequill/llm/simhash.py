@@ -300,19 +300,6 @@ def components(docs: DataFrame, width: int = SHINGLE, bits: int = MAX_BITS, size
     return prints.join(of_print, "fp").select("doc_id", "fp", "component_id")
 
 
-def representatives(docs: DataFrame, width: int = SHINGLE, bits: int = MAX_BITS) -> DataFrame:
-    """Of each class the row with the smallest doc_id, with all columns of ``docs``.
-
-    Rows without a doc_id take one above all others, from their text; rows that share a
-    doc_id in one class are one row.
-    """
-    own = F.coalesce(F.col("doc_id").cast("long"), F.shiftrightunsigned(F.xxhash64("text"), 2) + F.lit(1 << 61))
-    keyed = docs.withColumn("_own", own)
-    found = components(keyed.select(F.col("_own").alias("doc_id"), "text"), width, bits)
-    first = written(docs.sparkSession, found.filter("doc_id = component_id").select(F.col("doc_id").alias("_own")).distinct(), "simhash-kept")
-    return keyed.join(first, "_own", "left_semi").dropDuplicates(["_own"]).select(*docs.columns)
-
-
 def op4_simhash(spark, sf_dir: str) -> DataFrame:
     found = components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
