@@ -1,3 +1,4 @@
+import time
 import hashlib
 import re
 
@@ -92,3 +93,37 @@ def test_reliable_labelers_win():
     assert post[0] > 0.9 and post[1] < 0.1
     assert tables[1][1, 1] > tables[1][1, 0]
     assert pii.train([]) == [1.0] * 5 + [-0.5] * 8
+
+
+def test_long_secrets_names_and_account_numbers(spark):
+    secrets = ["a1B-" * 20 + "x", "Zz9_" * 1250, "0af3" * 30]
+    iban = "DE89370400440532013000"
+    texts = [f"the token: {x} is here" for x in secrets] + [f"account {iban} now", f"account {iban[:-1]}1 now", "contact Dr. Anna " + "X" + "a" * 60]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, spans string")
+    got = {r.doc_id: r.text for r in pii.masked(docs).collect()}
+    assert [got[i] for i in range(3)] == ["the token: [SECRET] is here"] * 3
+    assert got[3] == "account [IBAN] now"
+    votes = {r.k: r.valid for r in pii.candidates(pii.matches(docs.filter("doc_id IN (3, 4)"))).selectExpr("doc_id AS k", "filter(open, x -> x.k = 6)[0].valid AS valid").collect()}
+    assert votes == {3: 1, 4: -1}
+
+
+def test_many_matches_in_one_text(spark):
+    text = ", ".join(f"{i}@b{i % 97}.cd" for i in range(40_000))
+    docs = spark.createDataFrame([(1, text), (2, "x@y.zz and 9@b.c")], "doc_id long, text string")
+    began = time.perf_counter()
+    got = {r.doc_id: r.text for r in pii.masked(docs).collect()}
+    assert got == {1: ", ".join(["[EMAIL]"] * 40_000), 2: "[EMAIL] and [EMAIL]"}
+    counts = {r.doc_id: r.n_email for r in pii.detect(docs).collect()}
+    assert counts == {1: 40_000, 2: 2} and time.perf_counter() - began < 90
+
+
+def test_overlapping_spans_make_one_mask(spark):
+    text = "pay 4111 1111 1111 1111 or call +49 (30) 901820-44 11, mail a@b.cd."
+    docs = spark.createDataFrame([(i, text * i, "x") for i in range(40)], "doc_id long, text string, row string")
+    for r in pii.masked(docs).collect():
+        spans, out, at = plain_base(text * r.doc_id), [], 0
+        for s, k, e in spans:
+            if s >= at:
+                out += [(text * r.doc_id)[at:s], f"[{pii.KINDS[k].upper()}]"]
+            at = max(at, e)
+        assert r.text == "".join(out) + (text * r.doc_id)[at:]
