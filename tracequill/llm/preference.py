@@ -11,7 +11,8 @@ Every pair gives a row: ``status`` is ``ok``, ``identical`` (no difference),
 ``unpaired`` (a side has no turns) or ``untrained`` (a completion has no assistant
 turn). Rows without a pair or side end in the pair of null as ``unpaired``. An
 empty table gives an empty result; extra columns are ignored. A conversation is
-one text, so its turns meet in one row by nature; pairs are dealt by pair id.
+one text, so its turns meet in one row by nature; pairs are dealt by pair id. Offsets
+of n turns are running sums in blocks, about n ** (4/3) steps.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracequill.functions import folds
+
 END = "<|end|>"
 TRAINED_ROLE = "assistant"
 
@@ -31,27 +34,31 @@ def _side(turns: str) -> str:
     """SQL for struct(text, mask, trained) of an array of turns (struct with role and text)."""
     head = "concat('<|', t.role, '|>\\n')"
     tail = f"concat(t.text, '{END}')"
-    step = (
-        f"named_struct('at', acc.at + length({head}) + length({tail}) + 1, "
-        f"'mask', if(t.role = '{TRAINED_ROLE}', array_append(acc.mask, concat(acc.at + length({head}), ':', acc.at + length({head}) + length({tail}))), acc.mask))"
-    )
+    starts = folds.sums_before(f"transform({turns}, t -> cast(length({head}) + length({tail}) + 1 AS bigint))")
+    ranges = f"zip_with({turns}, {starts}, (t, at) -> IF(t.role = '{TRAINED_ROLE}', concat(at + length({head}), ':', at + length({head}) + length({tail})), NULL))"
     return (
         f"named_struct('text', array_join(transform({turns}, t -> concat({head}, {tail}, '\\n')), ''), "
-        f"'mask', array_join(aggregate({turns}, named_struct('at', 0, 'mask', cast(array() as array<string>)), (acc, t) -> {step}).mask, ','))"
+        f"'mask', array_join({ranges}, ','))"
     )
 
 
-def preference_pairs(turns: DataFrame) -> DataFrame:
-    """``turns``: pair_id, side (``chosen`` or ``rejected``), turn, role, text."""
-    one = F.struct(
+def _turn() -> Column:
+    return F.struct(
         F.col("turn").isNull().alias("no_turn"),
         F.col("turn"),
         _escaped(F.coalesce("role", F.lit("user"))).alias("role"),
         _escaped(F.coalesce("text", F.lit(""))).alias("text"),
     )
-    paired = turns.groupBy("pair_id").agg(
-        *(F.array_sort(F.collect_list(F.when(F.col("side") == side, one))).alias(side[0]) for side in ("chosen", "rejected"))
-    )
+
+
+def preference_pairs(turns: DataFrame) -> DataFrame:
+    """``turns``: pair_id, side (``chosen`` or ``rejected``), turn, role, text."""
+    sides = (F.array_sort(F.collect_list(F.when(F.col("side") == side, _turn()))).alias(side[0]) for side in ("chosen", "rejected"))
+    return formatted(turns.groupBy("pair_id").agg(*sides))
+
+
+def formatted(paired: DataFrame) -> DataFrame:
+    """``paired``: pair_id and the ordered turns ``c`` and ``r``; no shuffle."""
     shared = F.expr(
         "array_position(zip_with(slice(c, 1, least(size(c), size(r))), slice(r, 1, least(size(c), size(r))), "
         "(x, y) -> x.role = y.role AND x.text = y.text), false)"
@@ -81,25 +88,40 @@ def preference_pairs(turns: DataFrame) -> DataFrame:
     )
 
 
-def pairs_of_conversations(conversations: DataFrame) -> DataFrame:
-    """Conversation 2k is the chosen, 2k + 1 the rejected one of pair k."""
-    return conversations.select(
-        F.floor(F.col("conv_id") / 2).cast("long").alias("pair_id"),
-        F.when(F.pmod("conv_id", F.lit(2)) == 0, "chosen").when(F.pmod("conv_id", F.lit(2)) == 1, "rejected").alias("side"),
-        F.col("turn").cast("long").alias("turn"),
-        "role",
-        "text",
+def branched(conversations: DataFrame) -> DataFrame:
+    """A pair per conversation that branches at its last assistant turn; one shuffle.
+
+    Chosen are the turns up to it, rejected the same turns with the last assistant turn of the
+    neighbour (conversations 2k and 2k + 1 are neighbours) in its place. Where either has no assistant
+    turn, chosen is the whole conversation and nothing is rejected.
+    """
+    odd = F.pmod("conv_id", F.lit(2))
+    sides = (F.array_sort(F.collect_list(F.when(odd == i, _turn()))).alias(x) for i, x in enumerate("ab"))
+    both = conversations.withColumn("turn", F.col("turn").cast("long")).groupBy(F.floor(F.col("conv_id") / 2).cast("long").alias("k")).agg(*sides)
+    one = lambda i, own, other: F.struct((2 * F.col("k") + i).alias("pair_id"), F.col(own).alias("own"), F.col(other).alias("other"))
+    each = both.select(F.explode(F.array(one(0, "a", "b"), one(1, "b", "a"))).alias("x")).select("x.*")
+    each = each.filter("size(own) > 0 OR pair_id IS NULL").distinct()
+    reply = f"x -> x.role = '{TRAINED_ROLE}'"
+    last = f"size(own) - array_position(transform(reverse(own), {reply}), true) + 1"
+    ends = each.selectExpr("pair_id", "own", f"filter(other, {reply}) AS replies", f"IF(exists(own, {reply}), cast({last} AS int), 0) AS last")
+    ok = "last > 0 AND size(replies) > 0"
+    return ends.selectExpr(
+        "pair_id", f"IF({ok}, slice(own, 1, last), own) AS c", f"IF({ok}, concat(slice(own, 1, last - 1), slice(replies, -1, 1)), slice(own, 1, 0)) AS r"
     )
 
 
 def op3_preference(spark, sf_dir: str) -> DataFrame:
-    return preference_pairs(pairs_of_conversations(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+    return formatted(branched(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
 
 
 OP3_SQL = rf"""
-WITH t AS (SELECT conv_id // 2 AS pair_id, CASE WHEN conv_id % 2 = 0 THEN 'c' ELSE 'r' END AS side, turn,
-                  replace(coalesce(role, 'user'), '<|', '<\|') AS role, replace(coalesce(text, ''), '<|', '<\|') AS text FROM conversations),
-o AS (SELECT *, row_number() OVER (PARTITION BY pair_id, side ORDER BY turn NULLS LAST, role, text) AS i FROM t),
+WITH t AS (SELECT conv_id, turn, replace(coalesce(role, 'user'), '<|', '<\|') AS role, replace(coalesce(text, ''), '<|', '<\|') AS text FROM conversations),
+w AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, role, text) AS i FROM t),
+e AS (SELECT conv_id, max(i) AS last, arg_max(text, i) AS reply FROM w WHERE role = '{TRAINED_ROLE}' GROUP BY conv_id),
+v AS (SELECT a.conv_id, a.last, b.reply FROM e a JOIN e b ON b.conv_id = CASE WHEN a.conv_id % 2 = 0 THEN a.conv_id + 1 ELSE a.conv_id - 1 END),
+o AS (SELECT conv_id AS pair_id, 'c' AS side, i, role, text FROM w LEFT JOIN v USING (conv_id) WHERE last IS NULL OR i <= last
+      UNION ALL SELECT conv_id, 'r', i, role, text FROM w JOIN v USING (conv_id) WHERE i < last
+      UNION ALL SELECT conv_id, 'r', last, '{TRAINED_ROLE}', reply FROM v),
 s AS (SELECT pair_id, count(*) FILTER (side = 'c') AS nc, count(*) FILTER (side = 'r') AS nr FROM o GROUP BY pair_id),
 d AS (SELECT c.pair_id, min(c.i) AS first FROM o c JOIN o r ON c.pair_id = r.pair_id AND c.i = r.i AND c.side = 'c' AND r.side = 'r'
       WHERE c.role <> r.role OR c.text <> r.text GROUP BY c.pair_id),
