@@ -74,14 +74,47 @@ def test_hot_buckets_lose_no_link(spark):
         assert sorted(got.values()) == sorted(groups.values()), size
 
 
-def test_gray_index_equals_scan():
+def test_gray_forest_equals_scan():
     rng = np.random.default_rng(1)
-    fps = np.unique(np.concatenate([rng.integers(0, 1 << 63, 500, dtype=np.uint64), rng.integers(0, 1 << 12, 700, dtype=np.uint64)]))
-    q, m = simhash.GrayIndex(fps).near(fps, 3)
-    index = simhash.GrayIndex(fps)
-    got = {(int(fps[a]), int(index.fps[b])) for a, b in zip(q, m, strict=True)}
-    near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 3
-    assert got == {(int(fps[a]), int(fps[b])) for a, b in zip(*np.nonzero(near), strict=True)}
+    for sizes in ([1200], [1, 2, 3, 4, 5, 16, 17, 64, 65, 300], [2] * 500, [1, 1], []):
+        groups = [np.unique(np.concatenate([rng.integers(0, 1 << 63, n // 2 + 1, dtype=np.uint64), rng.integers(0, 1 << 12, n, dtype=np.uint64)]))[:n] for n in sizes]
+        fps = np.concatenate([rng.permutation(g) for g in groups]) if groups else np.zeros(0, np.uint64)
+        ends = np.cumsum([len(g) for g in groups]).astype(np.int64)
+        begins = ends - np.array([len(g) for g in groups], np.int64)
+        forest = simhash.GrayForest(fps, begins, ends)
+        want = {(k, *sorted((int(a), int(b)))) for k, g in enumerate(groups) for x, a in enumerate(g) for b in g[:x] if (int(a) ^ int(b)).bit_count() <= 3}
+        got = []
+        for lo in range(0, len(fps), 100):
+            i, j = forest.near(lo, min(len(fps), lo + 100), 3)
+            got += [(int(forest.group[x]), *sorted((int(forest.fps[x]), int(forest.fps[y])))) for x, y in zip(i, j, strict=True)]
+        assert len(got) == len(set(got)) and set(got) == want
+        if sizes == [1200]:
+            assert forest.pruned > 10_000 and forest.compared < 1200 * 1199 // 4
+
+
+def test_driver_links_all_come_from_the_forest(spark, monkeypatch):
+    """Every bucket of the table goes through the index, and it gives all links."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    prints = sorted({r.fp for r in simhash.fingerprints(docs).select("fp").distinct().collect()})
+    dealt = simhash.buckets(spark.createDataFrame([(x,) for x in prints], "fp long")).orderBy("mask", "bits", "fp").collect()
+    keys = np.array([(r.mask, r.bits) for r in dealt], np.int64)
+    cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
+    begins, ends = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(keys)]])
+    forest = simhash.GrayForest(np.array([r.fp for r in dealt], np.int64).view(np.uint64), begins, ends)
+    i, j = forest.near(0, len(keys), 3)
+    found = {tuple(sorted((int(forest.fps[a]), int(forest.fps[b])))) for a, b in zip(i, j, strict=True)}
+    own = [x & (1 << 64) - 1 for x in prints]
+    assert found == {tuple(sorted((a, b))) for k, a in enumerate(own) for b in own[:k] if (a ^ b).bit_count() <= 3}
+    assert forest.tested >= len(keys) and forest.compared > 0
+
+
+def test_hot_classes_and_hubs(spark, monkeypatch):
+    monkeypatch.setattr(simhash.skew, "MIN_HOT", 5)
+    monkeypatch.setattr(simhash.skew, "MOST_HOT", 50)
+    text = [f"alpha beta gamma {'delta ' * (i % 3)}" for i in range(200)] + [" ".join(f"w{i}x{k}" for k in range(30)) for i in range(60)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(text)], "doc_id long, text string")
+    want = plain_components({i: plain_print(t) for i, t in enumerate(text)})
+    assert {r.doc_id: r.component_id for r in simhash.components(docs).collect()} == want
 
 
 def test_chain_contracts(spark):

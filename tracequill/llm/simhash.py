@@ -6,15 +6,21 @@
    each goes to four buckets. A bucket over ``BUCKET`` members is dealt again by
    four parts of its open bits, and so on; after ``LEVELS`` levels at most 15 bits are
    open, so no bucket can exceed 32,768 members whatever the corpus. No link is lost.
-4. :class:`GrayIndex` in each bucket: members in Gray-rank order, bits shared by a
-   run of members factored into its node, whole nodes pruned by the differences
-   added up from the root. Each bucket gives links to its classes' first members.
+4. :class:`GrayForest`, the only way that links arise: a bucket is the upper node of its
+   members, below it they lie in Gray-rank order, bits that a run of members shares
+   are factored into its node, and whole nodes are pruned by the differences added up
+   from the root. Each bucket gives links to its classes' first members.
 5. :func:`classes`: star contraction over those links, cut by tables in the shared folder.
 
+Joins on a fingerprint, a class or a hub take hot keys apart (:mod:`skew`), since a
+third of all documents may be one text.
+
 Defined results: null or empty text, or one of white space only, has fingerprint
 zero, which links like any other; fewer words than a shingle give one shingle;
 repeated rows are copies; rows with null doc_id get a class (the smallest known
 doc_id, or null); an empty table gives an empty result; extra columns are ignored.
+A long text is hashed in blocks of 65,536 shingles. A bit set in exactly half the
+shingles is 0; links at exactly 3 bits count; equal doc_ids give a row each.
 """
 
 from __future__ import annotations
@@ -29,6 +35,8 @@ from pyspark.sql import functions as F
 
 from tracequill.session import written
 
+from . import skew
+
 SHINGLE = 3
 MAX_BITS = 3
 SEED = 42
@@ -36,8 +44,10 @@ BUCKET = 4096
 LEVELS = 5
 #: Up to so many hot buckets (32 bytes each) their list is broadcast; beyond, it is joined by shuffle.
 MAX_BROADCAST_BUCKETS = 100_000
-LEAF, FANOUT = 16, 8
+LEAF, FANOUT = 4, 4
 _CHUNK = 65_536
+#: Members that the queries of one step could meet at most, which bounds a step's memory.
+_FRONTIER = 2_000_000
 
 
 def fingerprint(text: bytes, width: int = SHINGLE) -> int:
@@ -119,61 +129,80 @@ def gray_rank(fps: np.ndarray) -> np.ndarray:
     return out
 
 
-class GrayIndex:
-    """Members in Gray order below a tree of masked bit patterns."""
-
-    def __init__(self, fps: np.ndarray, leaf: int = LEAF, fanout: int = FANOUT):
-        self.order = np.argsort(gray_rank(fps), kind="stable")
-        self.fps = fps[self.order]
-        n = len(fps)
-        self.levels: list[tuple[np.ndarray, np.ndarray, int]] = []  # agreed mask, bits, members of a node
-        span = leaf
-        while n:
-            starts = np.arange(0, n, span)
-            all_, any_ = np.bitwise_and.reduceat(self.fps, starts), np.bitwise_or.reduceat(self.fps, starts)
-            agreed = ~(all_ ^ any_)
-            self.levels.append((agreed, all_ & agreed, span))
-            if len(starts) == 1:
+class GrayForest:
+    """Members of many buckets in Gray order, below trees of masked bit patterns, built and searched level by level.
+
+    A bucket is a tree. A node stands for ``span`` neighbours in Gray order: its mask holds the bits
+    in which they agree, and its value these bits. What an upper node holds is not
+    looked at again below: differences add up from the root, and a node whose sum is
+    over the radius goes with all its members. Leaves have ``leaf`` members; these
+    are compared in the bits that no node above has settled.
+    """
+
+    def __init__(self, fps: np.ndarray, begins: np.ndarray, ends: np.ndarray, leaf: int = LEAF, fanout: int = FANOUT):
+        sizes = ends - begins
+        self.group = np.repeat(np.arange(len(sizes)), sizes)
+        self.order = np.lexsort((gray_rank(fps), self.group))
+        self.fps, self.begins, self.ends, self.fanout = fps[self.order], begins, ends, fanout
+        self.levels: list[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []  # span, first node by group, mask, value, groups rooted here
+        self.tested = self.pruned = self.compared = 0
+        span, largest = leaf, int(sizes.max(initial=0))
+        while True:
+            here = (sizes > span // fanout) if self.levels else sizes > 0
+            counts = np.where(here, -(-sizes // span), 0)
+            own = self.fps[np.repeat(here, sizes)]
+            first = np.concatenate([[0], np.cumsum(counts)])
+            base = np.cumsum(np.where(here, sizes, 0)) - np.where(here, sizes, 0)
+            starts = np.repeat(base, counts) + span * (np.arange(first[-1]) - np.repeat(first[:-1], counts))
+            all_, any_ = np.bitwise_and.reduceat(own, starts), np.bitwise_or.reduceat(own, starts)
+            mask = ~(all_ ^ any_)
+            self.levels.append((span, first[:-1], mask, all_ & mask, here & (sizes <= span)))
+            if span >= largest:
                 break
             span *= fanout
         self.levels.reverse()
 
-    def near(self, queries: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-        """Positions (query, member in Gray order) of all pairs within ``bits``."""
-        empty = np.zeros(0, np.int64)
-        if not len(self.fps) or not len(queries):
-            return empty, empty
-        q = np.arange(len(queries))
-        node = np.zeros(len(queries), np.int64)
-        gone = np.zeros(len(queries), np.int64)
-        above: np.ndarray | None = None
-        for depth, (agreed, value, span) in enumerate(self.levels):
-            own = agreed[node] if above is None else agreed[node] & ~above
-            gone = gone + np.bitwise_count((queries[q] ^ value[node]) & own)
-            stay = gone <= bits
-            q, node, gone = q[stay], node[stay], gone[stay]
-            last = depth == len(self.levels) - 1
-            wide = span if last else span // self.levels[depth + 1][2]
-            limit = len(self.fps) if last else len(self.levels[depth + 1][0])
-            above = np.repeat(agreed[node], wide)
-            below = (node[:, None] * wide + np.arange(wide)).ravel()
-            q, gone = np.repeat(q, wide), np.repeat(gone, wide)
-            inside = below < limit
-            q, node, gone, above = q[inside], below[inside], gone[inside], above[inside]
-        gone = gone + np.bitwise_count((queries[q] ^ self.fps[node]) & ~above)
+    def near(self, lo: int, hi: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (i, j), lo <= i < hi, i < j, of members of one bucket within ``bits``; positions in Gray order."""
+        q, at = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        gone, above = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        mine = np.arange(lo, hi)
+        for span, first, masks, values, rooted in self.levels:
+            new = mine[rooted[self.group[lo:hi]]]
+            if len(new):
+                q, at = np.concatenate([q, new]), np.concatenate([at, self.begins[self.group[new]]])
+                gone, above = np.concatenate([gone, np.zeros(len(new), np.int64)]), np.concatenate([above, np.zeros(len(new), np.uint64)])
+            own = self.group[q]
+            node = first[own] + (at - self.begins[own]) // span
+            mask = masks[node]
+            gone = gone + np.bitwise_count((self.fps[q] ^ values[node]) & mask & ~above)
+            stay = (gone <= bits) & (np.minimum(at + span, self.ends[own]) > q + 1)
+            self.tested += len(q)
+            self.pruned += int((gone > bits).sum())
+            q, at, gone, above = q[stay], at[stay], gone[stay], mask[stay]
+            last = span == self.levels[-1][0]
+            wide, step = (span, 1) if last else (self.fanout, span // self.fanout)
+            at = (at[:, None] + step * np.arange(wide)).ravel()
+            q, gone, above = np.repeat(q, wide), np.repeat(gone, wide), np.repeat(above, wide)
+            inside = at < self.ends[self.group[q]]
+            if last:
+                inside &= at > q
+            q, at, gone, above = q[inside], at[inside], gone[inside], above[inside]
+        self.compared += len(q)
+        gone = gone + np.bitwise_count((self.fps[q] ^ self.fps[at]) & ~above)
         near = gone <= bits
-        return q[near], node[near]
+        return q[near], at[near]
 
 
-def link_classes(fps: np.ndarray, bits: int = MAX_BITS) -> np.ndarray:
-    """For each of the distinct ``fps`` the position of the first member of its class of links."""
-    index = GrayIndex(fps)
-    n = len(fps)
+def link_classes(forest: GrayForest, bits: int = MAX_BITS) -> np.ndarray:
+    """For each member the first one of its class of links in its bucket; positions in Gray order."""
+    n = len(forest.fps)
     label = np.arange(n)
-    step = max(16, 2_000_000 // max(n, 1))
-    for lo in range(0, n, step):
-        i, j = index.near(index.fps[lo : lo + step], bits)
-        i, j = i + lo, j
+    reach = np.cumsum((forest.ends - forest.begins)[forest.group]) if n else label
+    lo = 0
+    while lo < n:
+        hi = max(lo + 1, int(np.searchsorted(reach, (reach[lo - 1] if lo else 0) + _FRONTIER, side="right")))
+        i, j = forest.near(lo, hi, bits)
         while True:
             a, b = label[i], label[j]
             differ = a != b
@@ -183,33 +212,16 @@ def link_classes(fps: np.ndarray, bits: int = MAX_BITS) -> np.ndarray:
             np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
             while (label[label] != label).any():
                 label = label[label]
-    out = np.empty(n, np.int64)
-    out[index.order] = index.order[label]
-    return out
+        lo = hi
+    return label
 
 
 def _links(fps: np.ndarray, begins: np.ndarray, ends: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links of many buckets that lie one after another; a bucket no larger than a leaf is one leaf."""
-    left, right = [], []
-    sizes = ends - begins
-    small = np.flatnonzero((sizes > 1) & (sizes <= LEAF))
-    for apart in range(1, LEAF):
-        at = small[sizes[small] > apart]
-        if not len(at):
-            break
-        count = sizes[at] - apart
-        first = np.repeat(begins[at], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        near = np.bitwise_count(fps[first] ^ fps[first + apart]) <= bits
-        left.append(fps[first[near]])
-        right.append(fps[first[near] + apart])
-    for b, e in zip(begins[sizes > LEAF], ends[sizes > LEAF], strict=True):
-        own = fps[b:e]
-        head = link_classes(own, bits)
-        moved = np.flatnonzero(head != np.arange(len(own)))
-        left.append(own[moved])
-        right.append(own[head[moved]])
-    none = np.zeros(0, np.uint64)
-    return (np.concatenate(left) if left else none), (np.concatenate(right) if right else none)
+    """Links of many buckets that lie one after another: each member with the first of its class."""
+    forest = GrayForest(fps, begins, ends)
+    head = link_classes(forest, bits)
+    moved = np.flatnonzero(head != np.arange(len(head)))
+    return forest.fps[moved], forest.fps[head[moved]]
 
 
 def links(points: DataFrame, bits: int = MAX_BITS, size: int = BUCKET) -> DataFrame:
@@ -267,11 +279,11 @@ def classes(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if not state[0]:
             break
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.join(least, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).withColumn("m", F.least("u", "m"))
+        large = _to_hubs(both, least, 2 * state[0]).filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
         large = large.distinct()
-        floor = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(floor, "u").select("u", "v", "m")
+        floor = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = _to_hubs(large, floor, 2 * state[0]).select("u", "v", "m")
         current_next = small.select("u", F.col("m").alias("v")).unionByName(small.select(F.col("v").alias("u"), F.col("m").alias("v"))).filter("u <> v").distinct()
         current = written(spark, current_next, "links")
         after = _state(current)
@@ -283,6 +295,12 @@ def classes(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return current.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
+def _to_hubs(edges: DataFrame, hubs: DataFrame, most: int) -> DataFrame:
+    if most <= skew.MIN_HOT:
+        return edges.join(hubs.drop("n"), "u")
+    return skew.joined(edges, written(edges.sparkSession, hubs, "hubs"), ["u"], "n")
+
+
 def _state(edges: DataFrame) -> tuple:
     row = edges.agg(F.count(F.lit(1)), F.countDistinct("u"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     return tuple(row)
@@ -294,10 +312,10 @@ def components(docs: DataFrame, width: int = SHINGLE, bits: int = MAX_BITS, size
     prints = written(spark, fingerprints(docs, width), "simhash")
     points = written(spark, nodes(prints), "simhash-nodes")
     member = classes(links(points.select("fp"), bits, size))
-    rooted = points.join(member, points["fp"] == member["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "min_doc")
-    least = rooted.groupBy("root").agg(F.min("min_doc").alias("component_id"))
-    of_print = written(spark, rooted.join(least, "root").select("fp", "component_id"), "simhash-classes")
-    return prints.join(of_print, "fp").select("doc_id", "fp", "component_id")
+    rooted = written(spark, points.join(member, points["fp"] == member["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "min_doc", "n_docs"), "simhash-rooted")
+    least = written(spark, rooted.groupBy("root").agg(F.min("min_doc").alias("component_id"), F.count(F.lit(1)).alias("n")), "simhash-roots")
+    of_print = written(spark, skew.joined(rooted, least, ["root"], "n").select("fp", "component_id", "n_docs"), "simhash-classes")
+    return skew.joined(prints, of_print, ["fp"], "n_docs").select("doc_id", "fp", "component_id")
 
 
 def op4_simhash(spark, sf_dir: str) -> DataFrame:
