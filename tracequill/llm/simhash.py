@@ -19,7 +19,7 @@ Defined results: null or empty text, or one of white space only, has fingerprint
 zero, which links like any other; fewer words than a shingle give one shingle;
 repeated rows are copies; rows with null doc_id get a class (the smallest known
 doc_id, or null); an empty table gives an empty result; extra columns are ignored.
-A long text is hashed in blocks of 65,536 shingles. A bit set in exactly half the
+A long text's bits are counted in blocks of 65,536 shingles. A bit set in exactly half the
 shingles is 0; links at exactly 3 bits count; equal doc_ids give a row each.
 """
 
@@ -55,12 +55,15 @@ def fingerprint(text: bytes, width: int = SHINGLE) -> int:
     if not words:
         return 0
     n = max(1, len(words) - width + 1)
+    return majority(np.fromiter((xxhash.xxh64_intdigest(b" ".join(words[i : i + width]), SEED) for i in range(n)), np.uint64, n))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half the ``hashes``."""
     counts = np.zeros(64, np.int64)
-    for lo in range(0, n, _CHUNK):
-        hi = min(n, lo + _CHUNK)
-        hashes = np.fromiter((xxhash.xxh64_intdigest(b" ".join(words[i : i + width]), SEED) for i in range(lo, hi)), np.uint64, hi - lo)
-        counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * counts > n, bitorder="little").tobytes(), "little")
+    for lo in range(0, len(hashes), _CHUNK):
+        counts += np.unpackbits(hashes[lo : lo + _CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * counts > len(hashes), bitorder="little").tobytes(), "little")
 
 
 def _signed(x: int) -> int:
