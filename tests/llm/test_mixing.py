@@ -78,3 +78,12 @@ def test_rows_keep_their_columns(spark):
     got = mixing.mixed(docs, 0.9, 2.0)
     assert got.columns == docs.columns and {r.doc_id for r in got.collect()} == {r.doc_id for r in docs.collect()}
     assert mixing.mixed(docs.limit(0)).count() == 0 and mixing.mix_plan(docs.limit(0)).count() == 0
+
+
+def test_rows_that_differ_in_any_column_stay(spark):
+    rows = [(1, "a b c", "s", "en"), (1, "a b c", "s", "fr"), (1, "a b c", "s", "fr"), (None, None, None, None), (2, "x", "t", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    got = Counter(tuple(r) for r in mixing.mixed(docs, 0.0, 1.0).collect())
+    assert got == Counter(rows)
+    more = Counter(tuple(r) for r in mixing.mixed(docs, 1.0, 9.0).collect())
+    assert set(more) == set(rows) and more[rows[4]] > 1 and more[rows[1]] >= 2

@@ -28,7 +28,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracequill.session import written
+from tracequill.session import identified, written
 
 STEPS = 1 << 20
 WAYS = 16
@@ -124,8 +124,12 @@ def _number(digest: Column) -> Column:
 
 
 def realised(tokens: DataFrame, plan: DataFrame, seed: int = SEED) -> DataFrame:
-    """One row per taken document and epoch, with its block and the token at which it starts in its source's sequence."""
+    """One row per taken document and epoch, with its block and the token at which it starts in its source's sequence.
+
+    A column ``_row`` of ``tokens`` is kept, and is the last to decide the order.
+    """
     spark = tokens.sparkSession
+    row = [c for c in tokens.columns if c == "_row"]
     small = plan.limit(MAX_BROADCAST_SOURCES + 1).count() <= MAX_BROADCAST_SOURCES
 
     def with_plan(rows: DataFrame, side: DataFrame) -> DataFrame:
@@ -151,9 +155,9 @@ def realised(tokens: DataFrame, plan: DataFrame, seed: int = SEED) -> DataFrame:
         .filter((F.col("epoch") < F.col("epochs")) | (F.col("block_start") < F.col("rest")))
         .select(F.col("source").alias("_source"), F.col("epoch").alias("_epoch"), F.col("block").alias("_block"), "block_start")
     )
-    copies = dealt.withColumn("epoch", epochs).select("doc_id", "source", "n_tokens", "tokens", "epochs", "rest", "block", "epoch")
+    copies = dealt.withColumn("epoch", epochs).select("doc_id", "source", "n_tokens", *row, "tokens", "epochs", "rest", "block", "epoch")
     on = F.col("source").eqNullSafe(F.col("_source")) & (F.col("epoch") == F.col("_epoch")) & (F.col("block") == F.col("_block"))
-    inside = Window.partitionBy("source", "epoch", "block").orderBy("_key", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("source", "epoch", "block").orderBy("_key", "doc_id", "n_tokens", *row).rowsBetween(Window.unboundedPreceding, 0)
     placed = (
         copies.join(starts, on)
         .withColumn("_key", _hash(seeded, F.col("epoch"), F.col("doc_id")))
@@ -161,7 +165,7 @@ def realised(tokens: DataFrame, plan: DataFrame, seed: int = SEED) -> DataFrame:
         .filter((F.col("epoch") < F.col("epochs")) | (F.col("_upto") <= F.col("rest")))
     )
     return placed.select(
-        "doc_id", "source", "epoch", "block", "n_tokens", (F.col("epoch") * F.col("tokens") + F.col("_upto") - F.col("n_tokens")).alias("token_start")
+        "doc_id", "source", "epoch", "block", "n_tokens", (F.col("epoch") * F.col("tokens") + F.col("_upto") - F.col("n_tokens")).alias("token_start"), *row
     )
 
 
@@ -215,12 +219,15 @@ SELECT doc_id, source, epoch, block, n_tokens, epoch * tokens + upto - n_tokens
 def mixed(docs: DataFrame, target_entropy: float = TARGET_ENTROPY, max_repetition: float = MAX_REPETITION, budget: str = "cover", seed: int = SEED) -> DataFrame:
     """Rows of ``docs`` as often as the plan takes them, with all their columns.
 
-    Rows are told apart by a hash of doc_id, source and text; equal rows share their copies.
+    Rows are told apart by their place in the table, whatever they hold. Order and blocks go by a
+    hash of doc_id, source and text.
     """
     spark = docs.sparkSession
-    key = F.xxhash64("doc_id", "source", "text")
-    tokens = written(spark, docs.select(key.alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(_WORDS)), F.lit(0)).cast("long").alias("n_tokens")), "mix-tokens")
+    keyed = identified(docs)
+    n = F.coalesce(F.regexp_count("text", F.lit(_WORDS)), F.lit(0)).cast("long")
+    own = keyed.select(F.xxhash64("doc_id", "source", "text").alias("doc_id"), F.col("source").cast("string").alias("source"), n.alias("n_tokens"), "_row")
+    tokens = written(spark, own, "mix-tokens")
     plan = written(spark, source_plan(tokens, target_entropy, max_repetition, budget), "mix-plan")
-    copies = realised(tokens, plan, seed).groupBy(F.col("doc_id").alias("_key")).agg(F.count(F.lit(1)).alias("_copies"))
-    once = docs.withColumn("_key", key).dropDuplicates(["_key"])
-    return once.join(copies, "_key").select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))).alias("_copy")).drop("_key", "_copies", "_copy")
+    copies = realised(tokens, plan, seed).groupBy("_row").agg(F.count(F.lit(1)).alias("_copies"))
+    taken = keyed.join(copies, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
+    return taken.select(*docs.columns)
