@@ -45,3 +45,19 @@ def test_hosts_are_shrunk_and_joined_on_any_path(spark):
     rate = {r.host: r.base_rate for r in hostrules.host_verdicts(hostrules.document_measures(docs)).collect()}
     assert 0 < rate["fine"] < 0.2 and 0.6 < rate["poor"] < 40 / 41 and rate["single"] < 1
     assert hostrules.judged(docs.limit(0)).count() == 0 and hostrules.filtered(docs.limit(0)).columns == docs.columns
+
+
+def test_flagged_hosts_lose_their_soft_failures(spark):
+    loud = lambda i: good(i) + " ###### $$$$$$"
+    rows = [(k * 100 + i, loud(i) if i < (30 if k == 0 else 1) else good(i), f"h{k}") for k in range(8) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = {r.doc_id: r for r in hostrules.judged(docs).collect()}
+    assert {r.host for r in found.values() if r.host_flagged} == {"h0"}
+    assert {i for i, r in found.items() if not r.kept} == set(range(30))
+    assert {r.doc_id for r in hostrules.filtered(docs).collect()} == {i for i, r in found.items() if r.kept}
+
+
+def test_the_verdict_decides_on_the_driver_table(spark):
+    rows = hostrules.op8_host_rules(spark, "/root/testdata/sf0.01").collect()
+    assert any(r.host_flagged for r in rows) and not all(r.host_flagged for r in rows)
+    print(sum(not r.base_failed and not r.kept for r in rows))

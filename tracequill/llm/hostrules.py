@@ -3,11 +3,16 @@
 Every document gets rule measures (:func:`document_measures`); rule failures are
 counted per host, each host's failure rate is shrunk towards the corpus by a beta
 prior fitted by the method of moments over all hosts, and the host verdict is
-joined back to its documents.
+joined back to its documents. A host whose shrunk rate of a rule is above
+``MAX_HOST_RATE`` is rejected with all its documents. A host is flagged for a rule if its shrunk rate
+lies above the prior's mean by ``MARGIN`` posterior deviations or more; documents of a
+flagged host that fail a soft rule (symbols, repeated lines) themselves are rejected, while
+elsewhere a soft failure alone rejects nothing.
 
 Defined results: null text counts as empty (no words, base rule fails); a null
 host is a host of its own; repeated rows count as often as they occur; an empty
-table gives an empty result; extra columns of the input are ignored.
+table gives an empty result; extra columns of the input are ignored. A long text is
+measured whole, with memory in proportion to it; a rate exactly at a limit is not above it.
 """
 
 from __future__ import annotations
@@ -30,6 +35,8 @@ MAX_DUP_LINES_PER_100_LINES = 30
 SYMBOLS = b"#*$%&|<>"
 #: A host is rejected if its shrunk rate of a rule's failures is above this.
 MAX_HOST_RATE = 0.5
+#: A host is flagged if its shrunk rate is so many posterior deviations above the prior's mean.
+MARGIN = 1.0
 #: Up to so many hosts (name, counts and verdict: under 200 bytes each) the verdicts are broadcast; beyond, a salted join.
 MAX_BROADCAST_HOSTS = 50_000
 SALTS = 32
@@ -115,7 +122,8 @@ def host_verdicts(measures: DataFrame, max_rate: float = MAX_HOST_RATE) -> DataF
     """host, n_docs and, for each rule, the shrunk failure rate; host_ok.
 
     With rates r of all hosts, mean m and variance v over hosts: s = m(1-m)/v - 1
-    documents of prior weight, held within 1 and 1000; shrunk = (failures + s*m) / (n + s).
+    documents of prior weight, held within 1 and 1000; shrunk = (failures + s*m) / (n + s),
+    with the deviation of a beta distribution of n + s documents.
     """
     counts = measures.groupBy("host").agg(
         F.count(F.lit(1)).alias("n_docs"), *(F.sum(F.col(f"{r}_failed").cast("long")).alias(f"{r}_n") for r in RULES)
@@ -129,14 +137,17 @@ def host_verdicts(measures: DataFrame, max_rate: float = MAX_HOST_RATE) -> DataF
     )
     row = moments.first()
     out = counts
-    ok = F.lit(True)
+    ok, flagged = F.lit(True), F.lit(False)
     for r in RULES:
         mean, var = float(row[f"{r}_m"] or 0.0), float(row[f"{r}_v"] or 0.0)
         weight = prior_weight(mean, var)
         rate = (F.col(f"{r}_n") + F.lit(weight * mean)) / (F.col("n_docs") + F.lit(weight))
-        out = out.withColumn(f"{r}_rate", rate)
-        ok = ok & (F.col(f"{r}_rate") <= F.lit(max_rate))
-    return out.withColumn("host_ok", ok)
+        out = out.withColumn(f"{r}_rate", F.round(rate, 9))
+        own = F.col(f"{r}_rate")
+        ok = ok & (own <= F.lit(max_rate))
+        over = own - F.lit(MARGIN) * F.sqrt(own * (1 - own) / (F.col("n_docs") + F.lit(weight + 1)))
+        flagged = flagged | (F.round(over, 9) > F.round(F.lit(mean), 9))
+    return out.withColumn("host_ok", ok).withColumn("host_flagged", flagged)
 
 
 def prior_weight(mean: float, var: float) -> float:
@@ -147,11 +158,11 @@ def prior_weight(mean: float, var: float) -> float:
 
 def join_hosts(measures: DataFrame, verdicts: DataFrame, max_broadcast: int = MAX_BROADCAST_HOSTS, salts: int = SALTS) -> DataFrame:
     """Host verdicts on every document; a host with a third of the rows is dealt over ``salts`` keys."""
-    keep = verdicts.select(F.col("host").alias("_host"), "host_ok", *(f"{r}_rate" for r in RULES))
+    keep = verdicts.select(F.col("host").alias("_host"), "host_ok", "host_flagged", *(f"{r}_rate" for r in RULES))
     on = F.col("host").eqNullSafe(F.col("_host"))
     if keep.limit(max_broadcast + 1).count() <= max_broadcast:
         return measures.join(F.broadcast(keep), on, "left").drop("_host")
-    spread = measures.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
+    spread = measures.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
     many = keep.withColumn("_deal", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return spread.join(many, on & (F.col("_salt") == F.col("_deal")), "left").drop("_host", "_salt", "_deal")
 
@@ -161,7 +172,12 @@ def judged(docs: DataFrame, host: str = "source", max_rate: float = MAX_HOST_RAT
     spark = docs.sparkSession
     measures = written(spark, document_measures(docs, host), "hostrules")
     verdicts = written(spark, host_verdicts(measures, max_rate), "hosts")
-    return join_hosts(measures, verdicts, max_broadcast).withColumn("kept", ~F.col("base_failed") & F.col("host_ok"))
+    return join_hosts(measures, verdicts, max_broadcast).withColumn("kept", kept())
+
+
+def kept() -> F.Column:
+    soft = F.col("symbols_failed") | F.col("dup_lines_failed")
+    return ~F.col("base_failed") & F.col("host_ok") & ~(F.col("host_flagged") & soft)
 
 
 def filtered(docs: DataFrame, host: str = "source", max_rate: float = MAX_HOST_RATE, max_broadcast: int = MAX_BROADCAST_HOSTS) -> DataFrame:
@@ -181,20 +197,23 @@ def filtered(docs: DataFrame, host: str = "source", max_rate: float = MAX_HOST_R
     schema = T.StructType([packed.schema["row"], T.StructField("host", T.StringType()), *(T.StructField(c, T.LongType()) for c in _COUNTS)])
     measured = written(spark, _failures(packed.mapInArrow(run, schema)), "hostrules-rows")
     verdicts = written(spark, host_verdicts(measured.drop("row"), max_rate), "hosts")
-    rows = measured.filter(~F.col("base_failed")).withColumn("doc_id", F.xxhash64("n_words", "word_chars", "n_lines"))
-    return join_hosts(rows, verdicts, max_broadcast).filter("host_ok").select("row.*")
+    return join_hosts(measured.filter(~F.col("base_failed")), verdicts, max_broadcast).filter(kept()).select("row.*")
 
 
 def op8_host_rules(spark, sf_dir: str) -> DataFrame:
     return judged(spark.read.parquet(f"{sf_dir}/documents.parquet")).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
-    )
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+        "host_flagged", *(F.round(f"{r}_rate", 6).alias(f"{r}_rate") for r in RULES),
+    )
 
 
 _RATE_SQL = ", ".join(f"sum({r}_failed::BIGINT) AS {r}_n" for r in RULES)
 _MOMENT_SQL = ", ".join(f"avg({r}_n / n_docs) AS {r}_m, var_pop({r}_n / n_docs) AS {r}_v" for r in RULES)
 _WEIGHT = "CASE WHEN {r}_v <= 0 THEN 1000.0 ELSE least(1000.0, greatest(1.0, {r}_m * (1 - {r}_m) / {r}_v - 1)) END"
-_OK_SQL = " AND ".join(f"({r}_n + ({_WEIGHT.format(r=r)}) * {r}_m) / (n_docs + {_WEIGHT.format(r=r)}) <= {MAX_HOST_RATE}" for r in RULES)
+_SHRUNK_SQL = ", ".join(f"round(({r}_n + ({_WEIGHT.format(r=r)}) * {r}_m) / (n_docs + {_WEIGHT.format(r=r)}), 9) AS {r}_rate, n_docs + {_WEIGHT.format(r=r)} + 1 AS {r}_w, {r}_m" for r in RULES)
+_OK_SQL = " AND ".join(f"{r}_rate <= {MAX_HOST_RATE}" for r in RULES)
+_FLAG_SQL = " OR ".join(f"round({r}_rate - {MARGIN} * sqrt({r}_rate * (1 - {r}_rate) / {r}_w), 9) > round({r}_m, 9)" for r in RULES)
+_RATES_SQL = ", ".join(f"round({r}_rate, 6) AS {r}_rate" for r in RULES)
 
 OP8_SQL = rf"""
 WITH d AS (SELECT doc_id, source AS host, coalesce(text, '') AS text FROM documents),
@@ -213,7 +232,10 @@ f AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERC
              100 * n_dup_lines > {MAX_DUP_LINES_PER_100_LINES} * n_lines AS dup_lines_failed FROM m),
 h AS (SELECT host, count(*) AS n_docs, {_RATE_SQL} FROM f GROUP BY host),
 g AS (SELECT {_MOMENT_SQL} FROM h),
-v AS (SELECT host, {_OK_SQL} AS host_ok FROM h, g)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND host_ok AS kept
+r AS (SELECT host, {_SHRUNK_SQL} FROM h, g),
+v AS (SELECT host, {_OK_SQL} AS host_ok, {_FLAG_SQL} AS host_flagged, {_RATES_SQL} FROM r)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND host_ok AND NOT (host_flagged AND (symbols_failed OR dup_lines_failed)) AS kept,
+       host_flagged, base_rate, symbols_rate, dup_lines_rate
 FROM f JOIN v ON f.host IS NOT DISTINCT FROM v.host
 """
