@@ -52,3 +52,12 @@ def test_small_blocks_give_the_same(spark, monkeypatch, library):
     for w, i, n, d in zip(words, ids, sizes, decoded, strict=True):
         want = library.encode_ordinary(w)
         assert i == ",".join(map(str, want)) and n == len(want) and d == w.encode()
+
+
+def test_long_words_equal_the_library():
+    rng = random.Random(9)
+    ranks = bpe.load_ranks(P.path("byte_bpe_multi_50k.tiktoken"))
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    words = ["".join(rng.choices(a, k=n)) for a in ("ab", "abcdefghijklmnopqrstuvwxyz", "éa", "x") for n in (1, 2, 201, 5_000)]
+    for word in [*words, "".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", k=300_000))]:
+        assert bpe.contracted(word.encode(), ranks) == library.encode_ordinary(word)

@@ -124,3 +124,18 @@ def test_null_empty_repeated_and_long_texts(spark):
     got = sorted(((r.doc_id or 0), r.payload_bytes, r.media_sha256, r.n_frames) for r in media.describe(media.store_payloads(df)).collect())
     assert [g[1] for g in got[1:]] == [64, 64, 64, 64] and got[1][2] == got[2][2] and got[3] == got[4]
     assert got[0][1] >= 400_000 and got[0][3] == -(-got[0][1] // (64 * media.FRAME_ROWS))
+
+
+def test_huge_declared_sizes_are_an_error(spark):
+    head = b"GIF89a" + struct.pack("<HHBBB", 65535, 65535, 0x80, 0, 0) + bytes(6)
+    frame = b"GIF89a" + struct.pack("<HHBBB", 4, 4, 0x80, 0, 0) + bytes(6) + b"," + struct.pack("<HHHHB", 0, 0, 65535, 65535, 0) + b"\x02\x00;"
+    rows = [(1, head + b"\x00" * 9), (2, frame), (3, media.encode(media.payload_of(b"abc")))]
+    found = {r.media_id: r for r in media.frames(spark.createDataFrame(rows, "id long, gif binary"), "id", "gif").collect()}
+    assert "pixels" in found[1].error and "pixels" in found[2].error and found[3].error is None
+
+
+def test_batches_end_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(media, "BATCH_BYTES", 100)
+    rows = [(i, "x" * n) for i, n in enumerate([0, 300, 20, 0, 90, 90, 1, 500])]
+    got = {r.doc_id: r.n_bytes for r in media.store_payloads(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: len(t) for i, t in rows}

@@ -47,3 +47,37 @@ def test_features_of_long_texts_do_not_depend_on_steps(monkeypatch):
     whole = neighbours.features(text)
     monkeypatch.setattr(neighbours, "_STEP", 700)
     assert (neighbours.features(text) == whole).all()
+
+
+def test_query_equals_a_plain_vote(spark, sf_dir):
+    """Features of the query, then everything else in double precision by loops over all pairs."""
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    x, y = neighbours.labelled_sample(docs, labels)
+    marks = {r.doc_id: r.quality for r in labels.collect()}
+    texts = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
+    known = [i for i in marks if zlib.crc32(str(i).encode()) % 3 != 1 and i in texts]
+    assert len(x) == len(known) and sorted(y.tolist()) == sorted(float(marks[i]) for i in known)
+    voters = neighbours.Voters(x, y)
+    own = lambda f: (lambda v: v / max(1e-12, np.linalg.norm(v)))((f.astype(np.float64) * voters.idf) @ voters.directions.astype(np.float64))
+    vectors = [own(v) for v in x]
+    got = {r.doc_id: r for r in neighbours.op6_neighbours(spark, sf_dir).collect()}
+    assert set(got) == set(texts)
+    for i, text in texts.items():
+        v = own(neighbours.features(text))
+        cosines = [float(v @ w) for w in vectors]
+        least = sorted(cosines, reverse=True)[min(neighbours.K, len(cosines)) - 1]
+        votes = [(max(0.0, c) ** neighbours.SHARPNESS, label) for c, label in zip(cosines, y.tolist(), strict=True) if c >= least - neighbours.TIE]
+        total = sum(w for w, _ in votes)
+        want = sum(w * label for w, label in votes) / total if total else float(y.mean())
+        assert abs(got[i].score - want) < 1e-4, i
+        assert got[i].held_out == (zlib.crc32(str(i).encode()) % 3 == 1) and got[i].predicted == int(got[i].score >= 0.5)
+
+
+def test_ties_and_places_do_not_matter(spark):
+    rows = [(i, f"word{i % 7} other text {i % 3}" * 5, "x") for i in range(1100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score string").repartition(3)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(0, 60)], "doc_id long, quality int")
+    by_text = {}
+    for r in neighbours.scored(docs, labels).collect():
+        by_text.setdefault(rows[r.doc_id][1], set()).add(r.score)
+    assert all(len(v) == 1 for v in by_text.values())

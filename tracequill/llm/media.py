@@ -7,8 +7,9 @@ of a grey palette. :func:`frames` turns a binary column into one row per timed
 frame with a colour histogram; :func:`store_payloads` stores any text as a GIF.
 
 Defined results: null text or media is empty; an empty text is stored as 64 zero
-samples; bytes that are no GIF, or end early, give the frames read so far and an
-``error``; repeated rows give repeated results; other columns are ignored.
+samples; bytes that are no GIF, end early, or declare a canvas or frame of more than
+``MAX_PIXELS``, give the frames read so far and an ``error``; a long text takes more frames;
+equal texts have equal GIFs; repeated rows give repeated results; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,6 +31,10 @@ WIDTH = 64
 FRAME_ROWS = 4096
 DELAY_CS = 10
 TABLE = 4096
+#: Canvases and frames above this are refused with an error, whatever a header of a few bytes declares.
+MAX_PIXELS = 1 << 26
+#: Text bytes whose GIFs share an Arrow batch.
+BATCH_BYTES = 32 << 20
 
 
 @cache
@@ -236,6 +241,8 @@ def iter_frames(data: bytes, gif: Gif) -> Iterator[Frame]:
         return b"".join(parts)
 
     shared = palette(2 << (flags & 7)) if flags & 0x80 else None
+    if gif.width * gif.height > MAX_PIXELS:
+        raise ValueError(f"a canvas of {gif.width} x {gif.height} is over {MAX_PIXELS} pixels")
     canvas = np.zeros((gif.height, gif.width, 4), np.uint8)
     delay, disposal, clear_index, clock, index = 0, 0, -1, 0, 0
     while True:
@@ -265,6 +272,8 @@ def iter_frames(data: bytes, gif: Gif) -> Iterator[Frame]:
             raise ValueError("bad code size")
         stream = sub_blocks()
         area = width * height
+        if area > MAX_PIXELS:
+            raise ValueError(f"a frame of {width} x {height} is over {MAX_PIXELS} pixels")
         raw, whole = lzw_decode(stream, min_size, area)
         if not whole:
             gif.error = gif.error or f"frame {index}: code stream ends early"
@@ -338,8 +347,12 @@ def store_payloads(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
+            ends = np.concatenate([[0], np.cumsum([len(x.as_py() or b"") for x in batch.column(1)])])
+            lo = 0
+            while lo < batch.num_rows:
+                n = max(1, int(np.searchsorted(ends, ends[lo] + BATCH_BYTES, side="right")) - 1 - lo)
+                part = batch.slice(lo, n)
+                lo += n
                 texts = [x.as_py() or b"" for x in part.column(1)]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array([encode(payload_of(t)) for t in texts], pa.binary())],

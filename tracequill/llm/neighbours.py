@@ -6,13 +6,16 @@ weighted by inverse document frequency, and their first ``DIMS`` singular
 directions. The sample's vectors (at most MAX_LABELLED x DIMS floats, 0.8 MB) and the
 projection are broadcast. Every document is projected, its cosine with every
 labelled vector is computed in blocks, and its K nearest vote with weight
-max(0, cosine) ** SHARPNESS.
+max(0, cosine) ** SHARPNESS. All that tie with the K-th nearest vote too, so the order
+of the sample decides nothing. Blocks are filled up to one shape and scores
+rounded to ``DIGITS``, so equal texts have equal scores wherever they stand.
 
 Labels, lang, source and doc_id are no inputs of a score. Defined results: null
 text is empty and scored by its shape terms; labelled rows with a null label are no
 labels; a doc_id labelled twice has the mean label, 1 from 0.5 up; no usable label
 gives 0.5 everywhere; no similar neighbour gives the sample's share of ones; an
-empty table gives an empty result; extra columns are ignored.
+empty table gives an empty result; extra columns are ignored; repeated rows have a
+row each; a long text is read whole, in steps of ``_STEP`` bytes.
 """
 
 from __future__ import annotations
@@ -32,6 +35,9 @@ K = 15
 SHARPNESS = 4
 SHAPE_WEIGHT = 0.3
 BLOCK = 512
+#: Cosines that differ by less are a tie.
+TIE = 1e-6
+DIGITS = 6
 _STEP = 1 << 20
 _BINS = (
     (0.02, 0.05, 0.1, 0.3, 0.6),  # share of words equal to the one before
@@ -98,10 +104,10 @@ class Voters:
     def score(self, x: np.ndarray, k: int = K) -> np.ndarray:
         cosines = self.project(x) @ self.vectors.T
         k = min(k, len(self.vectors))
-        near = np.argpartition(-cosines, k - 1, axis=1)[:, :k]
-        weight = np.maximum(0, np.take_along_axis(cosines, near, axis=1)) ** SHARPNESS
+        least = np.partition(cosines, cosines.shape[1] - k, axis=1)[:, [cosines.shape[1] - k]]
+        weight = np.where(cosines >= least - TIE, np.maximum(0, cosines), 0).astype(np.float64) ** SHARPNESS
         total = weight.sum(axis=1)
-        votes = (weight * self.labels[near]).sum(axis=1)
+        votes = (weight * self.labels).sum(axis=1)
         return np.clip(np.where(total > 0, votes / np.maximum(total, 1e-12), self.labels.mean()), 0.0, 1.0)
 
 
@@ -145,7 +151,9 @@ def scored(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> Dat
                 if own is None:
                     scores = np.full(part.num_rows, 0.5)
                 else:
-                    scores = own.score(np.array([features(t.as_py() or b"") for t in part.column(1)], np.float32))
+                    x = np.zeros((BLOCK, SIZE), np.float32)
+                    x[: part.num_rows] = [features(t.as_py() or b"") for t in part.column(1)]
+                    scores = np.round(own.score(x)[: part.num_rows], DIGITS)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scores.astype(np.float64))], ["doc_id", "score"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
