@@ -1,5 +1,9 @@
 import base64
+import gzip
 import hashlib
+import os
+import random
+import zlib
 
 import pytest
 
@@ -36,7 +40,7 @@ def test_archives_read_back(spark, tmp_path):
     assert set(rows) == set(want)
     for i, r in rows.items():
         assert (r.payload_digest, r.record_type, r.refers_to) == want[i][2:]
-        assert bytes(r.block) == (texts[i] if r.record_type == "response" else b"")
+        assert bytes(r.payload) == (texts[i] if r.record_type == "response" else b"")
 
 
 def test_threshold_keeps_small_payloads(spark, tmp_path):
@@ -64,10 +68,43 @@ def test_repeated_rows_and_empty_tables(spark, tmp_path):
 
 
 def test_broken_archives_are_refused():
-    with pytest.raises(ValueError):
-        list(warc.parse(b"WARC/1.1\r\nContent-Length: 9\r\n\r\nabc\r\n\r\n"))
-    with pytest.raises(ValueError):
-        list(warc.parse(b"junk"))
+    for parts in ([b"WARC/1.1\r\nContent-Length: 9\r\n\r\nabc\r\n\r\n"], [b"junk"], [b"WARC/1.1\r\nContent-Length: 1\r\n\r\nabc\r\n\r\n"]):
+        with pytest.raises(ValueError):
+            list(warc.parse(parts))
+    with pytest.raises((ValueError, zlib.error)):
+        list(warc.members(warc._member(b"x" * 99)[:-9]))
+
+
+def test_any_reader_can_seek(spark, tmp_path):
+    """A member a record, a warcinfo record first, and no byte besides; files end by bytes."""
+    rng = random.Random(1)
+    pages = [(i, f"http://h/{i}", "".join(rng.choices("abcdefghij", k=3000))) for i in range(300)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    path = str(tmp_path / "out")
+    warc.write_archives(df, warc.resolve(warc.headers(df)), path, block_bytes=20_000, date="2030-05-06T07:08:09Z")
+    files = [f for f in sorted(os.listdir(path)) if f.startswith("part-")]
+    seen = 0
+    for name in files:
+        data = open(os.path.join(path, name), "rb").read()
+        assert len(data) < 4 * (20_000 + 3000) and (not data or data[:2] == b"\x1f\x8b")
+        kinds = [[f["warc-type"] for f, _ in warc.parse([m])] for m in warc.members(data)]
+        assert all(len(k) == 1 for k in kinds) and (not kinds or kinds[0] == ["warcinfo"])
+        whole = gzip.decompress(data)
+        assert whole.count(b"WARC/1.1\r\n") == len(kinds) and (not data or b"WARC-Date: 2030-05-06T07:08:09Z" in whole)
+        seen += sum(k == ["response"] for k in kinds)
+    assert seen == 300 and len(files) > 4
+
+
+def test_long_payloads_and_revisit_headers(spark, tmp_path):
+    pages = [(2, "http://first/", "é" * 9_000_000), (7, "http://again/", "é" * 9_000_000), (8, "u", "z")]
+    path = archived(spark, pages, tmp_path)
+    rows = {r.page_id: (r.record_type, len(r.payload)) for r in warc.read_archives(spark, path).collect()}
+    assert rows == {2: ("response", 18_000_000), 7: ("revisit", 0), 8: ("response", 1)}
+    for blob in spark.read.format("binaryFile").load(path).collect():
+        for f, block in warc.parse(warc.members(blob.content)):
+            if f["warc-type"] == "revisit":
+                assert f["warc-refers-to-target-uri"] == "http://first/" and f["warc-refers-to-date"] == f["warc-date"] and f["warc-profile"] == warc.PROFILE
+                assert block.startswith(b"HTTP/1.1 200 OK\r\n") and block.endswith(b"\r\n\r\n")
 
 
 def test_page_ids_of_any_size_and_null(spark, tmp_path):

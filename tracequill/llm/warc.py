@@ -1,23 +1,33 @@
 """WARC archives with revisit resolution.
 
-:func:`resolve` shuffles headers only (page id, digest, length; never a payload):
+:func:`resolve` shuffles headers only (page id, address, digest, length; never a payload):
 the smallest page id of each digest is its original response, every other record
 with that digest a revisit of it. :func:`write_archives` writes the records with
-fresh headers, revisits without their payload, as ``.warc`` text parts through
-Spark's own writer; :func:`read_archives` parses such parts record by record by
-their Content-Length.
+fresh headers, revisits without their payload: one gzip member a record, so that readers
+can seek, and a ``warcinfo`` record before each run of ``BLOCK_BYTES``. Files end by
+bytes, not by records. :func:`read_archives` decompresses member by member and
+checks lengths and payload digests.
+
+The parts are written by Spark's own text writer, which works on any file system
+the cluster has, and so are named ``.txt``. It ends a row with one zero byte; that byte is
+the last one of a row's last member, the top byte of its uncompressed length. A record of
+16 MiB or more is followed by an empty member for this, which readers skip.
 
 Defined results: a null payload is empty; a null url is an empty target; every row
 of ``pages`` gives a record, so rows that repeat a page id and its payload give
 equal records; a null page_id revisits a known page of its payload, and is a
-response where there is none; an empty table gives empty archives; extra columns
-are ignored.
+response where there is none; a long payload is one record in a file of its own size; an
+empty table gives empty archives; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import base64
+import hashlib
+import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from datetime import UTC, datetime
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -26,9 +36,10 @@ from pyspark.sql import functions as F
 from tracequill.session import scratch_path, written
 
 MIN_BYTES = 0
-RECORDS_PER_FILE = 2000
+#: Compressed bytes of a row of the text writer, and rows of a file.
+BLOCK_BYTES = 16 << 20
+BLOCKS_PER_FILE = 4
 SALTS = 32
-DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Record id of a page without one.
 NO_ID = "<urn:uuid:00000000-0000-4fff-0000-000000000000>"
@@ -65,97 +76,171 @@ def resolve(heads: DataFrame, min_bytes: int = MIN_BYTES, salts: int = SALTS) ->
     originals = (
         heads.filter(F.col("payload_bytes") >= min_bytes)
         .groupBy(*keys)
-        .agg(F.min("page_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
+        .agg(F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))).alias("_first"), F.count(F.lit(1)).alias("_n"))
         .filter(F.col("_n") > 1)
         .drop("_n")
         .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     )
     joined = spread.join(originals, [*keys, "_salt"], "left").drop("_salt")
-    revisit = F.col("_first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_first"))
+    revisit = F.col("_first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_first.page_id"))
     return joined.select(
         "page_id",
         "url",
         *keys,
         F.when(revisit, "revisit").otherwise("response").alias("record_type"),
-        F.when(revisit, F.col("_first")).alias("refers_to"),
+        F.when(revisit, F.col("_first.page_id")).alias("refers_to"),
+        F.when(revisit, F.col("_first.url")).alias("refers_url"),
     )
 
 
-def _record(page_id: Column, url: Column, kind: Column, digest: Column, refers_to: Column, payload: Column) -> Column:
-    def uuid(x: Column) -> Column:
-        digits = F.lpad(F.lower(F.hex(x)), 16, "0")
-        named = F.concat(F.lit("<urn:uuid:00000000-0000-4000-"), F.substring(digits, 1, 4), F.lit("-"), F.substring(digits, 5, 12), F.lit(">"))
-        return F.coalesce(named, F.lit(NO_ID))
+def _urn(page_id: int | None) -> str:
+    if page_id is None:
+        return NO_ID
+    digits = f"{page_id & (1 << 64) - 1:016x}"
+    return f"<urn:uuid:00000000-0000-4000-{digits[:4]}-{digits[4:]}>"
 
-    body = F.when(kind == "response", payload).otherwise(F.lit(""))
-    length = F.length(body.cast("binary")).cast("string")
-    return F.concat(
-        F.lit("WARC/1.1\r\nWARC-Type: "), kind,
-        F.lit("\r\nWARC-Record-ID: "), uuid(page_id),
-        F.lit(f"\r\nWARC-Date: {DATE}\r\nWARC-Target-URI: "), F.regexp_replace(url, r"[\r\n]+", "%0A"),
-        F.lit("\r\nWARC-Payload-Digest: sha1:"), digest,
-        F.when(kind == "revisit", F.concat(F.lit("\r\nWARC-Profile: " + PROFILE + "\r\nWARC-Refers-To: "), uuid(refers_to))).otherwise(F.lit("")),
-        F.lit("\r\nContent-Type: text/html\r\nContent-Length: "), length, F.lit("\r\n\r\n"), body,
-    )
 
+def _page_id(urn: str) -> int | None:
+    found = int("".join(urn.strip("<>").split("-")[-2:]), 16)
+    return None if urn == NO_ID else found - (1 << 64) if found >> 63 else found
 
-def write_archives(pages: DataFrame, resolved: DataFrame, path: str, records_per_file: int = RECORDS_PER_FILE) -> None:
-    """Join the verdicts of :func:`resolve` to the payloads and write the archives.
 
-    The text writer's line separator is the blank lines that end a WARC record.
-    """
-    html = F.coalesce(F.col("html"), F.lit(""))
+def record(fields: Iterable[tuple[str, str]], block: bytes) -> bytes:
+    lines = "".join(f"{k}: {v}\r\n" for k, v in (*fields, ("Content-Length", str(len(block)))))
+    return f"WARC/1.1\r\n{lines}\r\n".encode() + block + b"\r\n\r\n"
+
+
+def page_record(date: str, page_id: int | None, url: str, kind: str, digest: str, refers_to: int | None, refers_url: str | None, payload: bytes) -> bytes:
+    target = lambda x: x.replace("\r\n", "\n").replace("\r", "\n").replace("\n", "%0A")
+    head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+    fields = [("WARC-Type", kind), ("WARC-Record-ID", _urn(page_id)), ("WARC-Date", date), ("WARC-Target-URI", target(url)), ("WARC-Payload-Digest", f"sha1:{digest}")]
+    if kind == "revisit":
+        fields += [("WARC-Profile", PROFILE), ("WARC-Refers-To", _urn(refers_to)), ("WARC-Refers-To-Target-URI", target(refers_url or "")), ("WARC-Refers-To-Date", date)]
+    fields.append(("Content-Type", "application/http; msgtype=response"))
+    return record(fields, head + (payload if kind == "response" else b""))
+
+
+def _member(data: bytes) -> bytes:
+    packer = zlib.compressobj(6, zlib.DEFLATED, 31)
+    return packer.compress(data) + packer.flush()
+
+
+def _blocks(records: Iterable[bytes], date: str, size: int) -> Iterator[bytes]:
+    """Runs of gzip members of about ``size`` bytes, each with a ``warcinfo`` record first; all end with a zero byte."""
+    held: list[bytes] = []
+    n = 0
+
+    def closed() -> bytes:
+        name = uuid.UUID(bytes=hashlib.sha1(b"".join(m[-8:] for m in held)).digest()[:16], version=5)
+        info = [("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<urn:uuid:{name}>"), ("WARC-Date", date), ("Content-Type", "application/warc-fields")]
+        members = [_member(record(info, b"software: tracequill\r\nformat: WARC File Format 1.1\r\n")), *held]
+        return b"".join(members if not members[-1][-1] else [*members, _member(b"")])
+
+    for one in records:
+        held.append(_member(one))
+        n += len(held[-1])
+        if n >= size:
+            yield closed()
+            held, n = [], 0
+    if held:
+        yield closed()
+
+
+def write_archives(pages: DataFrame, resolved: DataFrame, path: str, block_bytes: int = BLOCK_BYTES, date: str | None = None) -> None:
+    """Join the verdicts of :func:`resolve` to the payloads and write the archives; ``date`` is the time of writing by default."""
+    date = date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
+    html = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     payloads = pages.select(
         F.col("page_id").cast("long").alias("page_id"),
         F.coalesce(F.col("url"), F.lit("")).alias("url"),
-        base32_sha1(html.cast("binary")).alias("payload_digest"),
+        base32_sha1(html).alias("payload_digest"),
         html.alias("_payload"),
     )
-    verdicts = resolved.select(F.col("page_id").alias("_id"), F.col("payload_digest").alias("_digest"), "record_type", "refers_to").distinct()
+    verdicts = resolved.select(F.col("page_id").alias("_id"), F.col("payload_digest").alias("_digest"), "record_type", "refers_to", "refers_url").distinct()
     rows = payloads.join(verdicts, F.col("page_id").eqNullSafe(F.col("_id")) & (F.col("payload_digest") == F.col("_digest")))
-    rows.select(
-        _record(F.col("page_id"), F.col("url"), F.col("record_type"), F.col("payload_digest"), F.col("refers_to"), F.col("_payload")).alias("value")
-    ).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", records_per_file).option("compression", "gzip").text(path)
-
-
-def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Header fields (lower-case names) and block of every record of an archive."""
-    at = 0
-    while at < len(data):
-        stop = data.find(b"\r\n\r\n", at)
-        if not data.startswith(b"WARC/", at) or stop < 0:
-            raise ValueError(f"no WARC record at byte {at}")
-        lines = data[at:stop].decode("utf-8").split("\r\n")[1:]
-        fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
-        size = int(fields["content-length"])
-        block = data[stop + 4 : stop + 4 + size]
-        if len(block) < size or data[stop + 4 + size : stop + 8 + size] != b"\r\n\r\n":
-            raise ValueError(f"record at byte {at} is cut off")
-        yield fields, block
-        at = stop + 8 + size
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def records() -> Iterator[bytes]:
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    yield page_record(date, *(c[i].as_py() for c in batch.columns))
+
+        for block in _blocks(records(), date, block_bytes):
+            yield pa.RecordBatch.from_arrays([pa.array([block[:-1]], pa.binary())], ["value"])
+
+    parts = rows.select("page_id", "url", "record_type", "payload_digest", "refers_to", "refers_url", "_payload").mapInArrow(run, "value binary")
+    parts.select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\0").option("maxRecordsPerFile", BLOCKS_PER_FILE).text(path)
+
+
+def members(data: bytes, step: int = 1 << 16) -> Iterator[bytes]:
+    """What the gzip members of an archive hold, one after another."""
+    view, at = memoryview(data), 0
+    while at < len(view):
+        reader, parts = zlib.decompressobj(31), []
+        while not reader.eof:
+            piece = view[at : at + step]
+            if not len(piece):
+                raise ValueError("the last member is cut off")
+            parts.append(reader.decompress(piece))
+            at += len(piece) - len(reader.unused_data)
+        yield b"".join(parts)
+
+
+def parse(parts: Iterable[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Header fields (lower-case names) and block of every record of an archive's uncompressed parts."""
+    held = b""
+    for part in parts:
+        data, at = held + part if held else part, 0
+        while at < len(data):
+            stop = data.find(b"\r\n\r\n", at)
+            if not data.startswith(b"WARC/"[: len(data) - at], at):
+                raise ValueError("no WARC record where one should begin")
+            if stop < 0:
+                break
+            lines = data[at:stop].decode("utf-8").split("\r\n")[1:]
+            fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
+            end = stop + 4 + int(fields["content-length"])
+            if end + 4 > len(data):
+                break
+            if data[end : end + 4] != b"\r\n\r\n":
+                raise ValueError("a record is longer than it says")
+            yield fields, data[stop + 4 : end]
+            at = end + 4
+        held = data[at:]
+    if held:
+        raise ValueError("the last record is cut off")
 
-def read_archives(spark, path: str) -> DataFrame:
-    """page_id, record_type, url, payload_digest, refers_to and the stored block of every record."""
 
-    def number(urn: str) -> int | None:
-        found = int("".join(urn.strip("<>").split("-")[-2:]), 16)
-        return None if urn == NO_ID else found - (1 << 64) if found >> 63 else found
+def read_archives(spark, path: str) -> DataFrame:
+    """page_id, record_type, url, payload_digest, refers_to and the stored payload of every page's record."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.binary()]
+        names = ["page_id", "record_type", "url", "payload_digest", "refers_to", "payload"]
+
+        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
         for batch in batches:
             for blob in batch.column(0):
-                rows = []
-                for f, block in parse(zlib.decompress(blob.as_py(), 31)):
-                    refers = number(f["warc-refers-to"]) if "warc-refers-to" in f else None
-                    rows.append((number(f["warc-record-id"]), f["warc-type"], f["warc-target-uri"], f["warc-payload-digest"].removeprefix("sha1:"), refers, block))
-                for lo in range(0, len(rows), 500):
-                    cols = zip(*rows[lo : lo + 500], strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["page_id", "record_type", "url", "payload_digest", "refers_to", "block"])
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
-    return files.mapInArrow(run, "page_id long, record_type string, url string, payload_digest string, refers_to long, block binary")
+                rows, n = [], 0
+                for f, block in parse(members(blob.as_py())):
+                    if f["warc-type"] == "warcinfo":
+                        continue
+                    payload, digest = block[block.index(b"\r\n\r\n") + 4 :], f["warc-payload-digest"].removeprefix("sha1:")
+                    if f["warc-type"] == "response" and base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest:
+                        raise ValueError(f"the payload of {f['warc-record-id']} has another digest")
+                    refers = _page_id(f["warc-refers-to"]) if "warc-refers-to" in f else None
+                    rows.append((_page_id(f["warc-record-id"]), f["warc-type"], f["warc-target-uri"], digest, refers, payload))
+                    n += len(payload)
+                    if n >= BLOCK_BYTES or len(rows) >= 1000:
+                        yield batch_of(rows)
+                        rows, n = [], 0
+                if rows:
+                    yield batch_of(rows)
+
+    files = spark.read.format("binaryFile").load(path).select("content")
+    return files.mapInArrow(run, "page_id long, record_type string, url string, payload_digest string, refers_to long, payload binary")
 
 
 def deduplicated(spark, pages: DataFrame, min_bytes: int = MIN_BYTES) -> tuple[str, DataFrame]:
@@ -169,7 +254,7 @@ def deduplicated(spark, pages: DataFrame, min_bytes: int = MIN_BYTES) -> tuple[s
 def op7_warc(spark, sf_dir: str) -> DataFrame:
     """What the archives say, read back; a revisit's payload length is its response's."""
     path, _ = deduplicated(spark, spark.read.parquet(f"{sf_dir}/pages.parquet"))
-    records = read_archives(spark, path).withColumn("n", F.length("block").cast("long"))
+    records = read_archives(spark, path).withColumn("n", F.length("payload").cast("long"))
     slim = written(spark, records.select("page_id", "record_type", "payload_digest", "refers_to", "n"), "warc-read")
     revisits = slim.filter(F.col("record_type") == "revisit")
     referred = revisits.groupBy(F.col("refers_to").alias("_id"), F.col("payload_digest").alias("_digest")).agg(F.count(F.lit(1)).alias("_times"))
