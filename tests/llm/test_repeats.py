@@ -46,11 +46,33 @@ def made(seed):
     return {i: t for i, t in enumerate(texts)}
 
 
-@pytest.mark.parametrize("group", [2, repeats.GROUP])
-def test_passages_edits_and_periods(spark, group):
+@pytest.mark.parametrize(("group", "memory"), [(2, 100), (repeats.GROUP, repeats.MEMORY), (repeats.GROUP, 2_000)])
+def test_passages_edits_and_periods(spark, group, memory):
+    """With little memory each shard is far larger than its queues."""
     texts = made(group)
     df = spark.createDataFrame([(i, t, "x") for i, t in texts.items()], "doc_id long, text string, gram string")
-    assert result(repeats.kept_texts(df, group)) == plain({i: t.encode() for i, t in texts.items()})
+    spilled = spark.sparkContext.accumulator(0)
+    assert result(repeats.kept_texts(df, group, memory, spilled)) == plain({i: t.encode() for i, t in texts.items()})
+    assert (spilled.value > 0) == (memory < repeats.MEMORY)
+
+
+def test_hot_runs(spark, monkeypatch):
+    monkeypatch.setattr(repeats.skew, "MIN_HOT", 3)
+    monkeypatch.setattr(repeats.skew, "MOST_HOT", 20)
+    texts = made(7)
+    texts |= {1000 + i: texts[0] + str(i) * (i % 5) for i in range(40)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert result(repeats.kept_texts(df)) == plain({i: t.encode() for i, t in texts.items()})
+
+
+def test_chunks_of_a_long_text_meet(monkeypatch):
+    rng = random.Random(8)
+    raw = repeats.np.frombuffer(bytes(rng.choices(b"abcdefgh", k=5_000)), repeats.np.uint8)
+    whole = repeats.anchor_runs(raw)
+    monkeypatch.setattr(repeats, "_CHUNK", 700)
+    parts = repeats.anchor_runs(raw)
+    windows = lambda found: {w: (int(at), int(g)) for s, n, at, g in zip(*found, strict=True) for w in range(int(s), int(s + n))}
+    assert windows(parts) == windows(whole) and len(windows(whole)) == 4_801
 
 
 def test_nulls_repeated_rows_and_empty_tables(spark):
@@ -61,21 +83,40 @@ def test_nulls_repeated_rows_and_empty_tables(spark):
     assert repeats.kept_texts(df.limit(0)).count() == 0
 
 
-def test_suffix_order_equals_sorting():
-    rng = random.Random(1)
-    for _ in range(200):
-        text = bytes(rng.choices(rng.choice([b"ab", b"abc", bytes(range(256)), b"a"]), k=rng.randint(1, 150)))
-        assert suffixsort.suffix_order(text, rng.choice([64, 1 << 20])).tolist() == sorted(range(len(text)), key=lambda i: text[i:])
+def plain_order(text):
+    order = sorted(range(len(text)), key=lambda i: text[i:])
+    common = [0]
+    for i, j in zip(order, order[1:]):
+        k = 0
+        while i + k < len(text) and j + k < len(text) and text[i + k] == text[j + k] and k < suffixsort.DEPTH:
+            k += 1
+        common.append(k)
+    return order, common
 
 
-def test_queues_spill_to_disk_and_clean_up():
-    text = bytes(random.Random(4).choices(b"abcd", k=60_000))
+def test_suffixes_and_common_prefixes_equal_sorting():
+    rng = random.Random(1)
+    for n in range(400):
+        text = bytes(rng.choices(rng.choice([b"ab", b"abc", bytes(range(1, 255)), b"a"]), k=rng.randint(0, 150))) + b"\0"
+        if n % 9 == 0:
+            text = text[:-1][:30] * 5 + b"\0"
+        symbols = suffixsort.np.frombuffer(text, suffixsort.np.uint8).astype(suffixsort.np.uint16)
+        with suffixsort.Sorter(symbols, rng.choice([8, 64, 1 << 20])) as own:
+            order, common = own.order()
+        assert (order.tolist(), common.tolist()) == plain_order(text)
+        assert suffixsort.suffix_order(text, 64).tolist() == order.tolist()
+
+
+def test_queues_spill_recursion_carries_values_and_files_go():
+    rng = random.Random(4)
+    passage = bytes(rng.choices(b"abcd", k=900))
+    text = b"".join(bytes(rng.choices(b"abcd", k=rng.randint(1, 900))) + passage[rng.randint(0, 600) :] for _ in range(60)) + b"\0"
     symbols = suffixsort.np.frombuffer(text, suffixsort.np.uint8).astype(suffixsort.np.uint16)
-    with suffixsort.Sorter(suffixsort.np.concatenate([symbols, [0]]).astype(suffixsort.np.uint16), memory=20_000) as own:
-        order = own.order()[1:]
-        assert own.spilled > 100_000
+    with suffixsort.Sorter(symbols, memory=20_000) as own:
+        order, common = own.order()
+        assert own.spilled > 100_000 and own.deeper > 0 and own.mapped > 0
+        assert (order.tolist(), common.tolist()) == plain_order(text)
         folder = own.folder
-    assert order.tolist() == sorted(range(len(text)), key=lambda i: text[i : i + 300])
     import os
 
     assert not os.path.exists(folder)

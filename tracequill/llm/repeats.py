@@ -6,39 +6,44 @@ first occurrences included. Sharding is exact:
 1. :func:`anchors`: each window of WIDTH bytes names as anchor its least hashed gram
    of ``GRAM`` bytes (the leftmost), so equal windows have equal anchors at equal offsets. A
    run of windows with one anchor is one row: hash of the gram, digest of the run's text.
-2. Runs that occur twice are covered whole, without looking further. Of all
-   equal runs one goes on, and only where its gram has other runs too.
+2. Equal runs (64 bits of gram and 64 of digest) are counted before anything is shuffled by
+   text, so that a passage of a third of all documents is one row; runs that occur twice
+   are covered whole. Of all equal runs one goes on, and only where its gram has other runs too.
 3. Grams with more than ``GROUP`` such runs are dealt again by the longer text that parts of
-   their windows share, then by single windows; no gram fills a task.
+   their windows share, then by single windows, counted in the same way; no gram fills a task.
 4. The others are sharded by gram; each shard's runs are suffix-sorted by external
-   induced sorting (:mod:`suffixsort`), whose equal windows are the repeats.
+   induced sorting (:mod:`suffixsort`), whose common-prefix values tell the repeats. Queues
+   hold ``MEMORY`` bytes; a shard may be larger, and spills.
 5. Covered ranges are gathered by document and joined to the texts once.
 
 Defined results: null text is empty; texts under WIDTH bytes lose nothing; repeated
 rows are copies, which remove each other from WIDTH bytes on; an empty table gives an empty
-result; extra columns are ignored. Rows with a null doc_id are told apart by text.
+result; extra columns are ignored. Rows with a null doc_id are told apart by text. A long
+text is read in chunks of ``_CHUNK`` windows that overlap by a window.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.accumulators import Accumulator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracequill.session import written
 
-from .suffixsort import equal_windows
+from . import skew
+from .suffixsort import MEMORY, equal_windows
 
 WIDTH = 200
 GRAM = 32
 SPAN = WIDTH - GRAM + 1  # windows that hold a gram
 PART = 21
-GROUP = 20_000
+GROUP = 1_000
 SHARD_BYTES = 4 << 20
 _BASE = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
@@ -154,7 +159,7 @@ def _in_part(size: int, gram_at: int) -> Iterator[tuple[int, int, int, int]]:
         yield part, part * PART + PART - 1 - first, lo - first, hi - lo + 1
 
 
-def shard_repeats(rows: list[tuple]) -> list[tuple[int, int, int, int]]:
+def shard_repeats(rows: list[tuple], memory: int = MEMORY, spilled: Callable[[int], None] | None = None) -> list[tuple[int, int, int, int]]:
     """Covered (doc_id, text_hash, start, stop) of a shard's runs.
 
     Rows: gram, doc_id, text_hash, start, gram_at, copies, text. Parts of a run whose shared bytes
@@ -179,7 +184,7 @@ def shard_repeats(rows: list[tuple]) -> list[tuple[int, int, int, int]]:
         if twice:
             out += [(rows[i][1], rows[i][2], rows[i][3] + o, rows[i][3] + o + len(segment)) for i, o in home if rows[i][5] == 1]
     if segments:
-        which, at = equal_windows(segments, WIDTH)
+        which, at = equal_windows(segments, WIDTH, memory, spilled)
         if len(which):
             cut = np.flatnonzero((which[1:] != which[:-1]) | (at[1:] != at[:-1] + 1)) + 1
             begins, ends = np.concatenate([[0], cut]), np.concatenate([cut, [len(which)]]) - 1
@@ -195,12 +200,12 @@ def _shared_end(part: int, gram_at: int) -> int:
     return part * PART + WIDTH - (SPAN - 1 - gram_at)
 
 
-def _shards(runs: DataFrame) -> DataFrame:
+def _shards(runs: DataFrame, memory: int, spilled: Accumulator | None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("start", pa.int32()), ("stop", pa.int32())])
 
         def emit(rows: list[tuple]) -> pa.RecordBatch:
-            found = shard_repeats(rows)
+            found = shard_repeats(rows, memory, None if spilled is None else spilled.add)
             cols = list(zip(*found, strict=True)) or [[]] * 4
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
@@ -222,8 +227,11 @@ def _shards(runs: DataFrame) -> DataFrame:
     return runs.select(*cols).repartition(n, "gram").sortWithinPartitions("gram").mapInArrow(run, "doc_id long, text_hash long, start int, stop int")
 
 
-def covered_ranges(docs: DataFrame, group: int = GROUP) -> DataFrame:
-    """(doc_id, text_hash, start, stop), overlapping: together the bytes that repeat."""
+def covered_ranges(docs: DataFrame, group: int = GROUP, memory: int = MEMORY, spilled: Accumulator | None = None) -> DataFrame:
+    """(doc_id, text_hash, start, stop), overlapping: together the bytes that repeat.
+
+    ``memory``: share of each sorter's queues, whatever the size of its shard; ``spilled`` adds up the bytes beyond it.
+    """
     spark, keyed = docs.sparkSession, _keyed(docs)
     found = written(spark, anchors(keyed), "repeat-anchors")
     runs = written(
@@ -231,10 +239,10 @@ def covered_ranges(docs: DataFrame, group: int = GROUP) -> DataFrame:
         found.groupBy("gram", "run").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc_id", "text_hash", "start", "size", "gram_at")).alias("first")),
         "repeat-runs",
     )
-    twice = found.join(runs.filter("copies > 1").select("gram", "run"), ["gram", "run"], "left_semi")
+    twice = skew.joined(found, runs.filter("copies > 1").select("gram", "run", "copies"), ["gram", "run"], "copies")
     whole = twice.select("doc_id", "text_hash", "start", (F.col("start") + F.col("size")).alias("stop"))
     grams = written(spark, runs.groupBy("gram").count().filter("count > 1"), "repeat-grams")
-    heads = runs.join(grams, "gram").select("gram", "count", "copies", "first.*")
+    heads = skew.joined(runs, grams.withColumn("n", F.col("count")), ["gram"], "n").select("gram", "count", "copies", "first.*")
     texts = keyed.filter(F.length("text") >= WIDTH)
     known = F.substring("text", F.col("start") + 1, F.col("size")).alias("text")
     # A document that is there twice gives its runs twice; their copies say so already.
@@ -245,7 +253,7 @@ def covered_ranges(docs: DataFrame, group: int = GROUP) -> DataFrame:
         fit, single = _dealt_again(rows.filter(F.col("count") > group).drop("count", "size"), group)
         out = out.unionByName(single)
         rows = rows.filter(F.col("count") <= group).drop("count").unionByName(fit)
-    return out.unionByName(written(spark, _shards(rows), "repeat-ranges"))
+    return out.unionByName(written(spark, _shards(rows, memory, spilled), "repeat-ranges"))
 
 
 def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -258,9 +266,9 @@ def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def kept_texts(docs: DataFrame, group: int = GROUP) -> DataFrame:
+def kept_texts(docs: DataFrame, group: int = GROUP, memory: int = MEMORY, spilled: Accumulator | None = None) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and ``kept`` (bytes) of every row of ``docs``."""
-    return _removed(docs, covered_ranges(docs, group), whole=True)
+    return _removed(docs, covered_ranges(docs, group, memory, spilled), whole=True)
 
 
 def _removed(docs: DataFrame, ranges: DataFrame, whole: bool) -> DataFrame:
