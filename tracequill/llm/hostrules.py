@@ -32,6 +32,8 @@ MAX_REPEAT_PERCENT = 30
 WINDOW_WORDS = 8
 MAX_SYMBOLS_PER_100_WORDS = 10
 MAX_DUP_LINES_PER_100_LINES = 30
+#: In fewer lines a repeated one says nothing.
+MIN_LINES = 5
 SYMBOLS = b"#*$%&|<>"
 #: A host is rejected if its shrunk rate of a rule's failures is above this.
 MAX_HOST_RATE = 0.5
@@ -114,7 +116,7 @@ def _failures(measured: DataFrame) -> DataFrame:
         "*",
         ((F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))).alias("base_failed"),
         (100 * F.col("n_symbols") > MAX_SYMBOLS_PER_100_WORDS * F.col("n_words")).alias("symbols_failed"),
-        (100 * F.col("n_dup_lines") > MAX_DUP_LINES_PER_100_LINES * F.col("n_lines")).alias("dup_lines_failed"),
+        ((F.col("n_lines") >= MIN_LINES) & (100 * F.col("n_dup_lines") > MAX_DUP_LINES_PER_100_LINES * F.col("n_lines"))).alias("dup_lines_failed"),
     )
 
 
@@ -229,7 +231,7 @@ m AS (SELECT w.doc_id, host, len(ws)::BIGINT AS n_words, length(array_to_string(
       FROM w LEFT JOIN rep USING (doc_id)),
 f AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed,
              100 * n_symbols > {MAX_SYMBOLS_PER_100_WORDS} * n_words AS symbols_failed,
-             100 * n_dup_lines > {MAX_DUP_LINES_PER_100_LINES} * n_lines AS dup_lines_failed FROM m),
+             n_lines >= {MIN_LINES} AND 100 * n_dup_lines > {MAX_DUP_LINES_PER_100_LINES} * n_lines AS dup_lines_failed FROM m),
 h AS (SELECT host, count(*) AS n_docs, {_RATE_SQL} FROM f GROUP BY host),
 g AS (SELECT {_MOMENT_SQL} FROM h),
 r AS (SELECT host, {_SHRUNK_SQL} FROM h, g),
