@@ -277,22 +277,18 @@ def classes(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
     spark = edges.sparkSession
     current = written(spark, edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "links")
-    state = _state(current)
     for _ in range(max_rounds):
-        if not state[0]:
+        n, settled = _state(current)
+        if settled:
             break
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).withColumn("m", F.least("u", "m"))
-        large = _to_hubs(both, least, 2 * state[0]).filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
+        large = _to_hubs(both, least, 2 * n).filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
         large = large.distinct()
         floor = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
-        small = _to_hubs(large, floor, 2 * state[0]).select("u", "v", "m")
+        small = _to_hubs(large, floor, 2 * n).select("u", "v", "m")
         current_next = small.select("u", F.col("m").alias("v")).unionByName(small.select(F.col("v").alias("u"), F.col("m").alias("v"))).filter("u <> v").distinct()
         current = written(spark, current_next, "links")
-        after = _state(current)
-        if after == state:
-            break
-        state = after
     else:
         raise RuntimeError("star contraction did not settle")
     return current.select(F.col("u").alias("node"), F.col("v").alias("root"))
@@ -304,9 +300,12 @@ def _to_hubs(edges: DataFrame, hubs: DataFrame, most: int) -> DataFrame:
     return skew.joined(edges, written(edges.sparkSession, hubs, "hubs"), ["u"], "n")
 
 
-def _state(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count(F.lit(1)), F.countDistinct("u"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    return tuple(row)
+def _state(edges: DataFrame) -> tuple[int, bool]:
+    """How many edges there are, and whether they are stars: no node has two centres or is one itself."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("x"), F.lit(1).alias("out")), F.struct(F.col("v").alias("x"), F.lit(0).alias("out")))).alias("e"))
+    by_node = ends.groupBy("e.x").agg(F.sum("e.out").alias("up"), F.count(F.lit(1)).alias("all"))
+    row = by_node.agg(F.sum("up"), F.count_if((F.col("up") > 1) | (F.col("up") > 0) & (F.col("all") > F.col("up")))).first()
+    return row[0] or 0, not row[1]
 
 
 def components(docs: DataFrame, width: int = SHINGLE, bits: int = MAX_BITS, size: int = BUCKET) -> DataFrame:
