@@ -7,11 +7,11 @@ from tracequill.operators import gates as G
 from tracequill.operators import leaves as L
 from tracequill.operators import releases as R
 
-FIELDS = "case_id long, ref string, verdict string, atomicity string, support string, importance_verdict string, theme_verdict string, speaker string, n_issues int"
+FIELDS = "case_id long, ref string, verdict string, atomicity string, support string, importance_verdict string, theme_verdict string, speaker string, n_issues int, importance_proposed string, theme_proposed string"
 
 
 def entry(case, ref, **more):
-    row = {"verdict": "pass", "atomicity": "pass", "support": "supported", "importance_verdict": "confirmed", "theme_verdict": "confirmed", "speaker": "confirmed", "n_issues": 0} | more
+    row = {"verdict": "pass", "atomicity": "pass", "support": "supported", "importance_verdict": "confirmed", "theme_verdict": "confirmed", "speaker": "confirmed", "n_issues": 0, "importance_proposed": None, "theme_proposed": None} | more
     return (case, ref, *row.values())
 
 

@@ -75,10 +75,19 @@ def attribution(claims: DataFrame, aliases: DataFrame, verbs: list[str]) -> Data
     return hits.groupBy("case_id", "id").agg(F.max_by("name", F.struct(F.length("alias"), "name")).alias("name"))
 
 
-def importance(statement: Column, index: Column) -> Column:
-    """Heuristic level from length, figures and emphasis, with the index's parity to break ties."""
-    score = (F.length(statement) > 120).cast("int") + statement.rlike("[0-9]").cast("int") + statement.rlike("[!?]").cast("int") + (index % 2 == 0).cast("int")
-    return F.when(score >= 3, "high").when(score == 2, "medium").otherwise("low")
+#: Words that mark a reason, a conclusion, a risk or an outlook.
+KEYWORDS = "因为|所以|意味着|关键|核心|结论|风险|限制|但是|未来"
+
+
+def importance(statement: Column, index: Column, tags: list[str], keywords: str = KEYWORDS) -> Column:
+    """Heuristic level from figures, tags, keywords and length; every second or third index can rise above low."""
+    low = F.lower(statement)
+    tagged = F.lit(False)
+    for tag in (t for t in tags if len(t) >= 2):
+        tagged = tagged | F.contains(low, F.lit(tag.lower()))
+    points = lambda test, n: F.when(test, n).otherwise(0)
+    score = points(statement.rlike("[0-9]"), 2) + points(tagged, 2) + points(statement.rlike(keywords), 1) + points(T.compact_characters(statement) >= 70, 1)
+    return F.when((score >= 4) & (index % 2 == 0), "high").when((score >= 2) & (index % 3 == 0), "medium").otherwise("low")
 
 
 def contained_quotes(quotes: DataFrame, least: int = 6) -> DataFrame:

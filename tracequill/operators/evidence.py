@@ -35,23 +35,38 @@ def full_diff(baseline: DataFrame, current: DataFrame, keys: list[str]) -> DataF
 def near_duplicates(claims: DataFrame, threshold: float = 0.9) -> DataFrame:
     """(case_id, id) of claims that are near duplicates of any earlier claim of the case, by Jaccard of bigrams.
 
-    Prefix filter: sets at ``threshold`` or more share one of their rarest
-    floor((1 - t) n) + 1 grams, so only those are joined; sizes are compared before the exact check.
+    Prefix filter: sets at ``threshold`` or more share one of their first floor((1 - t) n) + 1
+    grams in any one order, so only those are joined, with sizes that fit. The order is that of a
+    hash, so the prefix is cut inside the row and no other gram is ever a row.
     """
     grams = claims.select("case_id", "pos", "id", T.bigrams(F.col("statement")).alias("g")).filter(F.size("g") > 0)
-    spread = grams.select("case_id", "pos", F.explode("g").alias("gram"))
-    often = spread.groupBy("case_id", "gram").agg(F.count(F.lit(1)).alias("df"))
-    rank = F.row_number().over(Window.partitionBy("case_id", "pos").orderBy("df", "gram"))
-    n = F.count(F.lit(1)).over(Window.partitionBy("case_id", "pos"))
-    prefix = spread.join(often, ["case_id", "gram"]).withColumn("k", rank).withColumn("n", n).filter(F.col("k") <= F.floor((1 - threshold) * F.col("n") + 1e-9) + 1)
-    left, right = prefix.select("case_id", "gram", F.col("pos").alias("p"), F.col("n").alias("m")), prefix.select("case_id", "gram", "pos", "n")
+    n = F.size("g")
+    ordered = F.array_sort(F.transform("g", lambda x: F.struct(F.xxhash64(x).alias("h"), x.alias("x"))))
+    prefix = F.slice(ordered, F.lit(1), (F.floor((1 - threshold) * n + 1e-9) + 1).cast("int"))
+    rows = grams.select("case_id", "pos", n.alias("n"), F.explode(prefix).alias("x")).select("case_id", F.col("x.x").alias("gram"), "pos", "n")
+    left = rows.select("case_id", "gram", F.col("pos").alias("p"), F.col("n").alias("m"))
     close = F.least("m", "n") >= threshold * F.greatest("m", "n") - 1e-9
-    pairs = left.join(right, ["case_id", "gram"]).filter((F.col("p") < F.col("pos")) & close).select("case_id", "p", "pos").distinct()
+    pairs = left.join(rows, ["case_id", "gram"]).filter((F.col("p") < F.col("pos")) & close).select("case_id", "p", "pos").distinct()
     first = grams.select("case_id", F.col("pos").alias("p"), F.col("g").alias("h"))
     checked = pairs.join(grams, ["case_id", "pos"]).join(first, ["case_id", "p"]).filter(T.jaccard(F.col("g"), F.col("h")) >= threshold)
     return checked.select("case_id", "id").distinct()
 
 
+def quoted_in(quotes: DataFrame, least: int = 6) -> DataFrame:
+    """(case_id, id, plain) -> case_id, quote_id, first_match and matches: the claims of the case that contain a quote's text.
+
+    Quotes of ``least`` characters or more are found by their first ``least``, which are held against
+    every such gram of the others, so no case is paired with itself as a whole.
+    """
+    letters = F.split("plain", "")
+    key = lambda c, i: F.array_join(F.slice(c, i, F.lit(least)), "")
+    held = quotes.filter(F.length("plain") >= least)
+    grams = held.select("case_id", "id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("plain") - least + 1), lambda i: F.concat(*(F.element_at(letters, i + k) for k in range(least)))))).alias("gram"))
+    found = held.select("case_id", F.col("id").alias("quote_id"), F.col("plain").alias("quote"), key(letters, F.lit(1)).alias("gram")).join(grams, ["case_id", "gram"])
+    whole = found.join(held.select("case_id", "id", "plain"), ["case_id", "id"]).filter(F.contains("plain", "quote"))
+    return whole.groupBy("case_id", "quote_id").agg(F.min("id").alias("first_match"), F.count(F.lit(1)).alias("matches"))
+
+
 def greedy_merge(claims: DataFrame, threshold: float = 0.93) -> DataFrame:
     """(case_id, id, kept_id): each claim joins the first retained claim it resembles, else it is retained.
 

@@ -17,10 +17,11 @@ def listed(rules: list[tuple[str, Column]]) -> Column:
 
 
 def clean_pass() -> Column:
-    """Whether a review entry passes in every respect; unknown parts fail it."""
+    """Whether a review entry passes in every respect and proposes nothing; unknown parts fail it."""
     parts = [
         F.col("verdict") == "pass", F.col("atomicity") == "pass", F.col("support") == "supported", F.col("importance_verdict") == "confirmed",
         F.col("theme_verdict") == "confirmed", F.col("speaker").isin("confirmed", "unknown_safe"), F.col("n_issues") == 0,
+        F.col("importance_proposed").isNull(), F.col("theme_proposed").isNull(),
     ]
     ok = F.lit(True)
     for part in parts:

@@ -21,7 +21,7 @@ def _spans(spark, sf):
 
 
 def u02_first_findings(spark, sf):
-    return C.first_findings(X.units(spark, sf).select("case_id", "pos", F.substring("text", 1, 2).alias("message")))
+    return C.first_findings(X.units(spark, sf).select("case_id", "pos", F.col("text").alias("message")))
 
 
 def l10_severities(spark, sf):
@@ -59,8 +59,11 @@ def f17_attribution(spark, sf):
     return C.attribution(claims, aliases, ["says", "thinks"])
 
 
+LEVEL_TAGS, LEVEL_WORDS = ["ION", "heit", "x"], "the |que |und "
+
+
 def f19_importance(spark, sf):
-    return X.claims(spark, sf).select("case_id", "id", C.importance(F.col("statement"), F.col("pos")).alias("level"))
+    return X.claims(spark, sf).select("case_id", "id", C.importance(F.col("statement"), F.col("pos"), LEVEL_TAGS, LEVEL_WORDS).alias("level"))
 
 
 def l07_contained_quotes(spark, sf):
@@ -69,10 +72,10 @@ def l07_contained_quotes(spark, sf):
 
 
 def l08_deletion_only(spark, sf):
-    words = F.split("statement", " ")
-    text = F.array_join(F.slice(words, 1, 6), " ")
-    source = F.concat(F.lit("um "), F.array_join(F.slice(words, 1, 3), " "), F.lit(", well "), F.array_join(F.slice(words, 4, 3), " "), F.when(F.col("pos") % 3 == 0, " entirely").otherwise(" um"))
-    return C.deletion_only(X.claims(spark, sf).filter("size(split(statement, ' ')) >= 6 AND NOT statement RLIKE '[^A-Za-z ,.]'").select("case_id", "id", "pos", source.alias("source"), text.alias("text")), ["um", "well"]).select("case_id", "id", "deleted_only")
+    words, half = F.split("statement", " "), F.floor(F.size(F.split("statement", " ")) / 2).cast("int")
+    head, tail = F.slice(words, F.lit(1), half), F.slice(words, half + 1, F.size(words))
+    source = F.concat(F.lit("um "), F.array_join(head, " "), F.lit(", well "), F.array_join(tail, " "), F.when(F.col("pos") % 3 == 0, " entirely").otherwise(" um"))
+    return C.deletion_only(X.claims(spark, sf).select("case_id", "id", "pos", source.alias("source"), F.col("statement").alias("text")), ["um", "well"]).select("case_id", "id", "deleted_only")
 
 
 def k07_html(spark, sf):
@@ -116,7 +119,7 @@ _MEAN = "statement || '|' || provenance || '|' || importance || '|' || theme_id"
 _SUP = "seg || '/' || u0 || ',' || seg || '/' || u1"
 _CARD = "'<article><h3>' || id || '</h3><p>' || replace(replace(replace(replace(replace(statement, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;') || '</p><sup>' || theme_id || ' ' || id || '</sup></article>'"
 ORACLE = {
-    "u02_first_findings": f"WITH {X.UNITS} SELECT case_id, substr(text, 1, 2) AS message, min(pos) AS pos FROM units GROUP BY ALL",
+    "u02_first_findings": f"WITH {X.UNITS} SELECT case_id, text AS message, min(pos) AS pos FROM units GROUP BY ALL",
     "l10_severities": f"WITH {X.UNITS} SELECT case_id, CASE WHEN regexp_matches(text, 'tion|^Th|[0-9]{{4}}') THEN 'diagnostic' ELSE 'hard' END AS severity, count(*) AS n FROM units GROUP BY ALL",
     "j11_same_theme": f"WITH {X.CLAIMS}, t AS (SELECT DISTINCT case_id, theme_id FROM claims WHERE pos % 9 = 0) SELECT case_id, id FROM claims JOIN t USING (case_id, theme_id) WHERE pos % 9 <> 0",
     "j15_guide_errors": f"""WITH {X.CLAIMS}, k AS (SELECT case_id, id, case_id + pos AS k, pos % 21 AS m, count(*) OVER (PARTITION BY case_id, pos % 21) AS n FROM claims), e AS (SELECT case_id, id, array_to_string(list_filter([CASE WHEN n > 1 THEN 'repeated_name' END, CASE WHEN k % 2 = 0 AND m > 9 THEN 'unknown_person' END,
@@ -125,7 +128,9 @@ CASE WHEN k % 3 <> 0 AND k % 5 = 0 THEN 'no_evidence' END, CASE WHEN k % 3 = 0 A
 j AS (SELECT b.*, c.theme_id AS own, count(*) OVER (PARTITION BY b.case_id, b.id) AS n FROM b LEFT JOIN claims c ON c.case_id = b.case_id AND c.id = b.id), e AS (SELECT case_id, bundle_id, id, CASE WHEN own IS NULL THEN 'unknown_ref' WHEN own <> theme THEN 'other_theme' WHEN n > 1 THEN 'in_two_bundles' END AS error FROM j) SELECT * FROM e WHERE error IS NOT NULL""",
     "j16_document_errors": f"WITH {GQ._LEAF} SELECT case_id, leaf AS id, 'unknown_section' AS errors FROM lf WHERE section_id = 'closing'",
     "f17_attribution": f"WITH {X.CLAIMS} SELECT case_id, id, 'Ann Lee' AS name FROM claims WHERE pos % 3 <> 1",
-    "f19_importance": f"WITH {X.CLAIMS}, s AS (SELECT case_id, id, (length(statement) > 120)::INT + regexp_matches(statement, '[0-9]')::INT + regexp_matches(statement, '[!?]')::INT + (pos % 2 = 0)::INT AS s FROM claims) SELECT case_id, id, CASE WHEN s >= 3 THEN 'high' WHEN s = 2 THEN 'medium' ELSE 'low' END AS level FROM s",
+    "f19_importance": f"""WITH {X.CLAIMS}, s AS (SELECT case_id, id, pos, 2 * regexp_matches(statement, '[0-9]')::INT + 2 * (contains(lower(statement), 'ion') OR contains(lower(statement), 'heit'))::INT
+  + regexp_matches(statement, '{LEVEL_WORDS}')::INT + ({X.compact('statement')} >= 70)::INT AS s FROM claims)
+SELECT case_id, id, CASE WHEN s >= 4 AND pos % 2 = 0 THEN 'high' WHEN s >= 2 AND pos % 3 = 0 THEN 'medium' ELSE 'low' END AS level FROM s""",
     "l07_contained_quotes": f"""WITH {X.CLAIMS}, q AS (SELECT case_id, id, {X.plain('statement')} AS s, CASE WHEN pos % 3 = 0 THEN 'abc' WHEN pos % 5 = 0 THEN 'qqq' || {X.plain('statement')} ELSE {X.plain('substr(statement, 2, 30)')} END AS t FROM claims) SELECT case_id, id, length(t) >= 6 AND contains(s, t) AS verbatim FROM q""",
     "k07_html": f"WITH {X.CLAIMS} SELECT case_id, md5('<section>' || string_agg({_CARD}, '' ORDER BY pos) || '</section>') AS digest FROM claims GROUP BY case_id",
     "p01_snapshots": f"WITH {_SPAN} SELECT case_id, id, sha256({_MEAN}) AS semantic_hash, sha256({_SUP}) AS support_hash, sha256(id || '|' || {_MEAN} || '|' || {_SUP} || '|' || q || '|' || q) AS full_hash FROM sp",

@@ -47,11 +47,8 @@ chg AS (SELECT case_id, id, CASE WHEN k % 7 = 0 THEN 'added' WHEN k % 11 = 0 THE
 
 
 def j02_span_check(spark, sf):
-    """Claims whose quote is not in their unit."""
-    units = X.units(spark, sf)
-    quote = F.when(F.col("pos") % 3 == 0, F.concat(F.lit("no such "), F.substring("statement", 1, 20))).otherwise(F.substring("statement", 3, 30))
-    joined = X.claims(spark, sf).withColumn("quote", quote).join(units.select("case_id", "pos", "text"), ["case_id", "pos"])
-    return joined.select("case_id", "id", (F.instr(T.normalized_claim(F.col("text")), "x") >= 0).alias("checked"), F.contains(T.normalized_claim(F.col("text")), T.normalized_claim(F.col("quote"))).alias("supported"))
+    """Ownership, contiguity and exact quote of each claim's span."""
+    return X.span_checks(spark, sf)
 
 
 def j03_dangling_refs(spark, sf):
@@ -91,8 +88,8 @@ gr AS (SELECT case_id, pos, id, {X.grams(X.plain('statement'))} AS g FROM dbl)""
 
 def j08_source_overlap(spark, sf):
     units = X.units(spark, sf)
-    old = units.filter("pos % 4 = 1").select("case_id", F.col("id").alias("old_id"), F.explode(F.sequence("pos", F.col("pos") + 2)).alias("u"))
-    new = units.filter("pos % 3 = 2").select("case_id", F.col("id").alias("new_id"), F.explode(F.sequence("pos", F.col("pos") + 1)).alias("u"))
+    old = units.select("case_id", F.col("id").alias("old_id"), F.explode(F.sequence("pos", F.col("pos") + 2)).alias("u"))
+    new = units.select("case_id", F.col("id").alias("new_id"), F.explode(F.sequence("pos", F.col("pos") + 1)).alias("u"))
     return old.join(new, ["case_id", "u"]).groupBy("case_id", "old_id", "new_id").agg(F.count(F.lit(1)).alias("shared"))
 
 
@@ -125,9 +122,7 @@ def j14_lineage(spark, sf):
 
 
 def j17_quote_containment(spark, sf):
-    claims = X.claims(spark, sf).withColumn("plain", T.normalized_claim(F.col("statement")))
-    quotes = claims.filter("pos % 3 = 1").select("case_id", F.col("id").alias("quote_id"), F.substring("plain", 4, 12).alias("q")).filter("length(q) >= 6")
-    return quotes.join(claims, "case_id").filter(F.contains("plain", F.col("q"))).groupBy("case_id", "quote_id").agg(F.min("id").alias("first_match"), F.count(F.lit(1)).alias("matches"))
+    return E.quoted_in(X.claims(spark, sf).select("case_id", "id", T.normalized_claim(F.col("statement")).alias("plain")))
 
 
 def j18_theme_omissions(spark, sf):
@@ -268,7 +263,7 @@ def u04_change_set_equality(spark, sf):
 
 def g04_quote_repair(spark, sf):
     units = X.units(spark, sf)
-    spans = units.filter("pos % 4 = 1").select("case_id", F.col("pos").alias("span_id"), F.when(F.col("pos") % 3 == 0, "given").alias("quote"), F.explode(F.array(*(F.struct(F.lit(o).alias("ord"), (F.col("pos") + o * F.when(F.col("pos") % 5 == 0, 2).otherwise(1)).alias("pos")) for o in range(2)))).alias("x"))
+    spans = units.select("case_id", F.col("pos").alias("span_id"), F.when(F.col("pos") % 3 == 0, "given").alias("quote"), F.explode(F.array(*(F.struct(F.lit(o).alias("ord"), (F.col("pos") + o * F.when(F.col("pos") % 5 == 0, 2).otherwise(1)).alias("pos")) for o in range(2)))).alias("x"))
     return E.quote_repair(spans.select("case_id", "span_id", "quote", "x.ord", "x.pos"), units).select("case_id", "span_id", "action", F.md5(F.col("quote").cast("binary")).alias("digest"))
 
 
@@ -296,7 +291,7 @@ def g13_change_mode(spark, sf):
 
 
 def g22_numbering(spark, sf):
-    rows = table(spark, sf, "documents").filter("doc_id % 50 <> 7").select("lang", "doc_id").withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("doc_id")))
+    rows = table(spark, sf, "documents").select("lang", "doc_id").withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("doc_id")))
     return rows.groupBy("lang").agg((F.max("n") == F.max("doc_id") - F.min("doc_id") + 1).alias("contiguous"), F.max("n").cast("long").alias("cases"))
 
 
@@ -360,19 +355,19 @@ def _rate(k: str, n: str, e: float) -> str:
 _SC = [f"((o_orderkey // {i + 1}) % {3 + i} + 3 - o_orderkey % 2)" for i in range(4)]
 _HASH = "map_from_entries(list_transform(list_filter(range(0, 4), lambda i: (doc_id + i + {s}) % 5 <> 0), lambda i: ('k' || i, 'h' || ((doc_id + i * (1 + {s})) % 3))))"
 ORACLE = {
-    "j02_span_check": f"WITH {X.CLAIMS} SELECT case_id, id, true AS checked, contains({X.plain('statement')}, {X.plain(chr(40) + 'CASE WHEN pos % 3 = 0 THEN ' + repr('no such ') + ' || substr(statement, 1, 20) ELSE substr(statement, 3, 30) END' + chr(41))}) AS supported FROM claims",
+    "j02_span_check": f"WITH {X.SPAN_CHECKS} SELECT * FROM checks",
     "j03_dangling_refs": f"WITH {X.CLAIMS}, r AS (SELECT case_id, theme_id, 'E' || lpad((pos + CASE WHEN pos % 3 = 0 THEN 1 ELSE 0 END)::VARCHAR, 4, '0') AS id FROM claims) SELECT * FROM r ANTI JOIN claims USING (case_id, id)",
     "j04_missing_reviews": f"WITH {X.REVIEWS} SELECT case_id, id FROM claims c WHERE NOT EXISTS (SELECT 1 FROM reviews r WHERE r.case_id = c.case_id AND r.evidence_ref = c.id AND confidence > 0.7)",
     "j05_body_cited": f"WITH {X.REVIEWS} SELECT case_id, id, importance FROM claims c WHERE EXISTS (SELECT 1 FROM reviews r WHERE r.case_id = c.case_id AND r.evidence_ref = c.id AND role = 'A' AND verdict = 'covered')",
     "j06_evidence_diff": f"WITH {_CHANGE} SELECT * FROM chg",
     "j07_near_duplicates": f"WITH {_DOUBLED} SELECT DISTINCT b.case_id, b.id FROM gr a JOIN gr b ON a.case_id = b.case_id AND a.pos < b.pos WHERE {X.jaccard('a.g', 'b.g')} >= 0.9",
-    "j08_source_overlap": f"WITH {X.UNITS}, o AS (SELECT case_id, id AS old_id, unnest(range(pos, pos + 3)) AS u FROM units WHERE pos % 4 = 1), n AS (SELECT case_id, id AS new_id, unnest(range(pos, pos + 2)) AS u FROM units WHERE pos % 3 = 2) SELECT case_id, old_id, new_id, count(*) AS shared FROM o JOIN n USING (case_id, u) GROUP BY ALL",
+    "j08_source_overlap": f"WITH {X.UNITS}, o AS (SELECT case_id, id AS old_id, unnest(range(pos, pos + 3)) AS u FROM units), n AS (SELECT case_id, id AS new_id, unnest(range(pos, pos + 2)) AS u FROM units) SELECT case_id, old_id, new_id, count(*) AS shared FROM o JOIN n USING (case_id, u) GROUP BY ALL",
     "j10_effective_decisions": f"WITH {_TRIG} SELECT case_id, id, CASE WHEN triggers <> '' AND length(id) % 2 = 1 THEN 'subsumed' ELSE relation END AS relation FROM tr",
     "j12_duplicate_sources": "SELECT doc_id, first_id FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS first_id FROM documents) WHERE doc_id <> first_id",
     "j13_leaf_diff": f"""WITH {X.CLAIMS}, k AS (SELECT case_id, id, array_to_string(list_filter([CASE WHEN pos % 7 = 0 THEN 'structure' END, CASE WHEN pos % 7 <> 0 AND pos % 5 = 0 THEN 'text' END, CASE WHEN pos % 7 <> 0 AND pos % 6 = 0 THEN 'provenance' END], lambda x: x IS NOT NULL), ',') AS kinds FROM claims) SELECT * FROM k WHERE kinds <> ''""",
     "j14_lineage": """WITH e AS (SELECT o_orderkey AS entry_id, ['preserved', 'split', 'merged', 'retired', 'new'][o_orderkey % 5 + 1] AS kind, o_orderkey % 3 AS o, (o_orderkey // 3) % 4 AS n FROM orders), f AS (SELECT *, least(n, 3) AS m FROM e)
 SELECT entry_id, kind FROM f WHERE NOT CASE kind WHEN 'preserved' THEN o = 1 AND m = 1 WHEN 'split' THEN o = 1 AND m >= 2 WHEN 'merged' THEN o >= 2 AND m = 1 WHEN 'retired' THEN o >= 1 AND m = 0 ELSE o = 0 AND m >= 1 END""",
-    "j17_quote_containment": f"WITH {X.CLAIMS}, p AS (SELECT *, {X.plain('statement')} AS plain FROM claims), q AS (SELECT case_id, id AS quote_id, substr(plain, 4, 12) AS q FROM p WHERE pos % 3 = 1 AND length(substr(plain, 4, 12)) >= 6) SELECT case_id, quote_id, min(id) AS first_match, count(*) AS matches FROM q JOIN p USING (case_id) WHERE contains(plain, q) GROUP BY ALL",
+    "j17_quote_containment": f"WITH {X.CLAIMS}, p AS (SELECT *, {X.plain('statement')} AS plain FROM claims), q AS (SELECT case_id, id AS quote_id, plain AS q FROM p WHERE length(plain) >= 6) SELECT case_id, quote_id, min(id) AS first_match, count(*) AS matches FROM q JOIN p USING (case_id) WHERE contains(plain, q) GROUP BY ALL",
     "j18_theme_omissions": f"WITH {X.CLAIMS} SELECT case_id, id, CASE WHEN pos % 6 = 0 THEN 'declared' ELSE 'undeclared' END AS state FROM claims WHERE pos % 3 = 0",
     "a03_importance_histogram": f"WITH {X.CLAIMS} SELECT case_id, theme_id, count(*) FILTER (importance = 'high') AS high, count(*) FILTER (importance = 'medium') AS medium, count(*) FILTER (importance = 'low') AS low FROM claims GROUP BY ALL",
     "a04_reference_coverage": f"WITH {X.REVIEWS}, c AS (SELECT case_id, importance <> 'low' AS main, verdict = 'covered' AS hit FROM reviews WHERE role = 'A'), n AS (SELECT case_id, count(*) FILTER (main) AS n, count(*) FILTER (main AND hit) AS k, count(*) FILTER (hit) AS h, count(*) AS m FROM c GROUP BY ALL) SELECT case_id, {_rate('k', 'n', 1.0)} AS main_coverage, {_rate('h', 'm', 1.0)} AS coverage FROM n",
@@ -402,14 +397,14 @@ SELECT case_id, CASE WHEN score >= 0.75 AND score - s2 >= 0.15 THEN profile END
     "u03_append_only": f"WITH {_CHANGE} SELECT case_id, count(*) FILTER (change IN ('removed', 'modified', 'mechanical')) AS lost, count(*) FILTER (change IN ('removed', 'modified', 'mechanical')) = 0 AS append_only FROM chg WHERE change <> 'added' GROUP BY case_id",
     "u04_change_set_equality": f"""WITH {_CHANGE}, d AS (SELECT case_id, id FROM k WHERE k % 10 = 0), f AS (SELECT case_id, id FROM chg WHERE change = 'modified')
 SELECT *, 'undeclared' AS side FROM f ANTI JOIN d USING (case_id, id) UNION ALL SELECT *, 'unfounded' FROM d ANTI JOIN f USING (case_id, id)""",
-    "g04_quote_repair": f"""WITH {X.UNITS}, s AS (SELECT u.case_id, u.pos AS span_id, v.pos IS NOT NULL AND u.pos % 5 <> 0 AS ok, {X.norm("u.text || chr(32) || coalesce(v.text, '')")} AS t FROM units u LEFT JOIN units v ON v.case_id = u.case_id AND v.pos = u.pos + CASE WHEN u.pos % 5 = 0 THEN 2 ELSE 1 END WHERE u.pos % 4 = 1)
+    "g04_quote_repair": f"""WITH {X.UNITS}, s AS (SELECT u.case_id, u.pos AS span_id, v.pos IS NOT NULL AND u.pos % 5 <> 0 AS ok, {X.norm("u.text || chr(32) || coalesce(v.text, '')")} AS t FROM units u LEFT JOIN units v ON v.case_id = u.case_id AND v.pos = u.pos + CASE WHEN u.pos % 5 = 0 THEN 2 ELSE 1 END)
 SELECT case_id, span_id, CASE WHEN span_id % 3 = 0 THEN 'kept' WHEN ok THEN 'filled' ELSE 'refused' END AS action, md5(CASE WHEN span_id % 3 = 0 THEN 'given' WHEN ok THEN t END) AS digest FROM s""",
     "g06_coverage_consensus": f"""WITH {_PAIR} SELECT case_id, evidence_ref, CASE WHEN triggers = '' THEN va WHEN substr(evidence_ref, 2)::INT % 8 = 1 THEN 'covered' ELSE 'unresolved' END AS verdict, triggers <> '' AS disputed, triggers, array_to_string(shared, ',') AS shared FROM pr""",
     "g07_policy_status": f"""WITH {_PAIR}, n AS (SELECT case_id, count(*) FILTER (va = vb AND va = 'missing') AS hard FROM pr GROUP BY case_id) SELECT case_id, hard, CASE WHEN hard = 0 THEN 'pass' WHEN case_id % 4 + 1 > 2 THEN 'human_required' ELSE 'repair_required' END AS status FROM n""",
     "g08_recall_triggers": f"WITH {_TRIG} SELECT case_id, id, triggers FROM tr WHERE triggers <> ''",
     "g13_change_mode": f"""WITH {_CHANGE}, n AS (SELECT case_id, count(*) FILTER (change IN ('added', 'removed', 'modified')) AS m, count(*) FILTER (change = 'mechanical') AS x, case_id % 9 = 0 AS s FROM chg GROUP BY case_id)
 SELECT case_id, CASE WHEN s THEN 'structural_full' WHEN m > 0 THEN 'semantic_delta' ELSE 'mechanical' END AS mode, CASE WHEN s THEN 'source_changed' WHEN m > 0 THEN 'claim_semantics_changed' WHEN x > 0 THEN 'only_other_fields_changed' ELSE 'no_changes' END AS reason, s OR m > 0 AS claim_audit, s AS full_audit FROM n""",
-    "g22_numbering": "SELECT lang, count(*) = max(doc_id) - min(doc_id) + 1 AS contiguous, count(*) AS cases FROM documents WHERE doc_id % 50 <> 7 GROUP BY lang",
+    "g22_numbering": "SELECT lang, count(*) = max(doc_id) - min(doc_id) + 1 AS contiguous, count(*) AS cases FROM documents GROUP BY lang",
     "k03_next_identity": "SELECT source, lpad((max(doc_id % 9000) + 1)::VARCHAR, 4, '0') AS next FROM documents GROUP BY source",
     "k05_staleness": f"""WITH a AS (SELECT doc_id, unnest(map_entries({_HASH.format(s=0)})) AS e FROM documents), b AS (SELECT doc_id, unnest(map_entries({_HASH.format(s=1)})) AS e FROM documents),
 x AS (SELECT doc_id, e.key AS key, e.value AS was FROM a), y AS (SELECT doc_id, e.key AS key, e.value AS now_ FROM b), j AS (SELECT doc_id AS case_id, key, CASE WHEN now_ IS NULL THEN 'missing' WHEN was IS NULL THEN 'added' WHEN was <> now_ THEN 'stale' END AS state FROM x FULL JOIN y USING (doc_id, key)) SELECT * FROM j WHERE state IS NOT NULL""",

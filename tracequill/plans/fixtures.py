@@ -1,7 +1,7 @@
 """Evidence tables derived from the test tables by fixed rules, in Spark and in DuckDB SQL.
 
 The test tables hold no claims, spans or reviews, so these are derived: document
-lines are source units, every fourth unit carries a claim, verdicts come from remainders.
+lines are source units, every unit carries a claim, verdicts come from remainders.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracequill.functions import text as T
+from tracequill.operators import segments
 from tracequill.session import table
 from tracequill.sources import parse
 
@@ -60,12 +61,12 @@ units AS (SELECT case_id, row_number() OVER (PARTITION BY case_id ORDER BY ln)::
 
 
 def claims(spark, sf_dir: str) -> DataFrame:
-    """Every fourth unit is a claim over itself and the next unit; importance and theme by remainders."""
+    """Every unit is a claim over itself and the next unit; importance and theme by remainders."""
     return claims_of(units(spark, sf_dir))
 
 
 def claims_of(rows: DataFrame) -> DataFrame:
-    return rows.filter("pos % 4 = 1").select(
+    return rows.select(
         "case_id", "pos", F.concat(F.lit("E"), F.lpad(F.col("pos").cast("string"), 4, "0")).alias("id"), F.col("text").alias("statement"),
         F.element_at(F.array(*map(F.lit, ("high", "medium", "low"))), (F.col("pos") % 3 + 1)).alias("importance"),
         F.concat(F.lit("T"), F.lpad((F.col("pos") % 5 + 1).cast("string"), 3, "0")).alias("theme_id"),
@@ -75,7 +76,7 @@ def claims_of(rows: DataFrame) -> DataFrame:
 
 CLAIMS = f"""{UNITS},
 claims AS (SELECT case_id, pos, 'E' || lpad(pos::VARCHAR, 4, '0') AS id, text AS statement, ['high', 'medium', 'low'][pos % 3 + 1] AS importance,
-                  'T' || lpad((pos % 5 + 1)::VARCHAR, 3, '0') AS theme_id, CASE WHEN (case_id + pos) % 2 = 0 THEN 'source_fact' ELSE 'speaker_view' END AS provenance FROM units WHERE pos % 4 = 1)"""
+                  'T' || lpad((pos % 5 + 1)::VARCHAR, 3, '0') AS theme_id, CASE WHEN (case_id + pos) % 2 = 0 THEN 'source_fact' ELSE 'speaker_view' END AS provenance FROM units)"""
 
 VERDICTS = ("covered", "partial", "missing", "contradicted")
 
@@ -106,3 +107,28 @@ REVIEWS = f"{CLAIMS},\nreviews AS ({_REVIEW.format(role='A', step=1)} UNION ALL
 
 def text_column(name: str):
     return T.normalize_text(F.col(name))
+
+
+def span_checks(spark, sf_dir: str) -> DataFrame:
+    """case_id, id, owned, contiguous and supported of each claim.
+
+    A claim's span is its unit and the next (of every fifth, the one after), a segment is ten units, and the quote is
+    the span's text, of every third claim without its stops and commas.
+    """
+    rows = units(spark, sf_dir).select("case_id", "pos", "text")
+    at = lambda i, pos: F.struct(F.lit(i).alias("ord"), pos.alias("pos"))
+    claimed = claims(spark, sf_dir).select("case_id", "id", F.col("pos").alias("span_id"), F.explode(F.array(at(0, F.col("pos")), at(1, F.col("pos") + F.when(F.col("pos") % 5 == 0, 2).otherwise(1)))).alias("x"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("text").isNotNull(), F.struct("ord", "text")))), lambda x: x["text"]), " ")
+    joined = claimed.select("case_id", "id", "span_id", "x.*").join(rows.withColumn("found", F.col("pos")), ["case_id", "pos"], "left")
+    owned = F.bool_and(F.coalesce(F.floor(F.col("found") / 10) == F.floor(F.col("span_id") / 10), F.lit(False)))
+    spans = joined.groupBy("case_id", "id", "span_id").agg(T.normalize_text(body).alias("body"), owned.alias("owned"))
+    quote = F.when(F.col("span_id") % 3 == 0, F.regexp_replace("body", "[.,]", "")).otherwise(F.col("body"))
+    steps = segments.contiguous(joined.select("case_id", "span_id", "ord", F.col("found").alias("pos")))
+    return spans.join(steps, ["case_id", "span_id"]).select("case_id", "id", "owned", "contiguous", F.contains("body", quote).alias("supported"))
+
+
+SPAN_CHECKS = f"""{CLAIMS},
+span AS (SELECT c.case_id, c.id, c.pos, v.pos AS after, {norm("u.text || coalesce(' ' || v.text, '')")} AS body FROM claims c JOIN units u ON u.case_id = c.case_id AND u.pos = c.pos
+  LEFT JOIN units v ON v.case_id = c.case_id AND v.pos = c.pos + CASE WHEN c.pos % 5 = 0 THEN 2 ELSE 1 END),
+checks AS (SELECT case_id, id, coalesce(after // 10 = pos // 10, false) AS owned, coalesce(after = pos + 1, false) AS contiguous,
+  contains(body, CASE WHEN pos % 3 = 0 THEN regexp_replace(body, '[.,]', '', 'g') ELSE body END) AS supported FROM span)"""

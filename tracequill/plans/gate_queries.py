@@ -21,20 +21,28 @@ def _pick(names, k):
     return F.element_at(F.array(*map(F.lit, names)), (k % len(names) + 1).cast("int"))
 
 
+# A reviewer proposes another level for long claims and another theme for those with a figure.
+def _proposals() -> list:
+    return [F.when(F.length("statement") > 200, "low").alias("importance_proposed"), F.when(F.col("statement").rlike("[0-9]"), "T001").alias("theme_proposed")]
+
+
+_PROPOSED = "CASE WHEN length(statement) > 200 THEN 'low' END AS importance_proposed, CASE WHEN regexp_matches(statement, '[0-9]') THEN 'T001' END AS theme_proposed"
+
+
 def _entries(spark, sf, step: int):
     k = F.floor((F.col("case_id") * 5 + F.col("pos")) / step)
     calm = (F.col("case_id") + F.col("pos")) % 4 != 0
     fields = [F.when(calm, F.lit(v[0])).otherwise(_pick(v, k)).alias(n) for n, v in FIELDS.items()]
-    return X.claims(spark, sf).select("case_id", F.col("id").alias("ref"), *fields, F.when(calm, 0).otherwise(k % 2).cast("int").alias("n_issues"))
+    return X.claims(spark, sf).select("case_id", F.col("id").alias("ref"), *fields, F.when(calm, 0).otherwise(k % 2).cast("int").alias("n_issues"), *_proposals())
 
 
 def _entry_sql(step: int) -> str:
     k = f"((case_id * 5 + pos) // {step})"
     fields = ", ".join(f"CASE WHEN (case_id + pos) % 4 <> 0 THEN '{v[0]}' ELSE {list(v)}[{k} % {len(v)} + 1] END AS {n}" for n, v in FIELDS.items())
-    return f"SELECT case_id, pos, id AS ref, {fields}, CASE WHEN (case_id + pos) % 4 <> 0 THEN 0 ELSE {k} % 2 END AS n_issues FROM claims"
+    return f"SELECT case_id, pos, id AS ref, {fields}, CASE WHEN (case_id + pos) % 4 <> 0 THEN 0 ELSE {k} % 2 END AS n_issues, {_PROPOSED} FROM claims"
 
 
-_CODES = """SELECT *, verdict = 'pass' AND atomicity = 'pass' AND support = 'supported' AND importance_verdict = 'confirmed' AND theme_verdict = 'confirmed' AND speaker IN ('confirmed', 'unknown_safe') AND n_issues = 0 AS clean,
+_CODES = """SELECT *, verdict = 'pass' AND atomicity = 'pass' AND support = 'supported' AND importance_verdict = 'confirmed' AND theme_verdict = 'confirmed' AND speaker IN ('confirmed', 'unknown_safe') AND n_issues = 0 AND importance_proposed IS NULL AND theme_proposed IS NULL AS clean,
 array_to_string(list_filter([CASE WHEN atomicity = 'fail' OR verdict = 'split' THEN 'compound_claim' END, CASE WHEN verdict = 'merge' THEN 'duplicate_claim' END, CASE WHEN verdict = 'remove' THEN 'empty_semantics' END,
 CASE WHEN importance_verdict = 'change' THEN 'importance_misclassified' END, CASE WHEN speaker = 'change' THEN 'speaker_attribution_unsafe' END, CASE WHEN support IN ('partial', 'unsupported') THEN 'support_gap' END,
 CASE WHEN theme_verdict = 'change' THEN 'theme_misclassified' END], lambda x: x IS NOT NULL), ',') AS c0 FROM {t}"""
@@ -144,7 +152,8 @@ def g16_quote_errors(spark, sf):
 
 
 def a02_support_rate(spark, sf):
-    rows = X.claims(spark, sf).withColumn("ok", F.col("pos") % 3 != 0)
+    """Claims whose span is owned, contiguous and quoted exactly."""
+    rows = X.span_checks(spark, sf).withColumn("ok", F.col("owned") & F.col("contiguous") & F.col("supported"))
     return rows.groupBy("case_id").agg((F.floor(F.avg(F.col("ok").cast("double")) * 10000 + 0.5) / 10000).alias("rate"), F.array_join(F.array_sort(F.collect_list(F.when(~F.col("ok"), F.col("id")))), ",").alias("unsupported"))
 
 
@@ -206,6 +215,6 @@ CASE WHEN pending AND p IS NOT NULL THEN 'pending_with_primary' END, CASE WHEN N
     "p04_reference_free": f"WITH {_LEAF} SELECT case_id, leaf AS id, md5(text) AS digest FROM lf",
     "g16_quote_errors": f"""WITH {_LEAF}, q AS (SELECT case_id, pos, leaf, {X.plain('text')} AS t FROM lf WHERE i = 1), r AS (SELECT case_id, CASE WHEN pos % 7 = 0 THEN 'gone' ELSE leaf END AS leaf_id, CASE WHEN pos % 7 = 0 THEN 'unknown_leaf' WHEN pos % 3 = 0 THEN 'too_short'
 WHEN pos % 5 = 0 THEN CASE WHEN NOT contains(t, 'zzzzzzzzzqqq') THEN 'not_in_leaf' END WHEN length({X.plain('substr((SELECT statement FROM claims c WHERE c.case_id = q.case_id AND c.pos = q.pos), 1, 40)')}) < 6 THEN 'too_short' END AS error FROM q) SELECT * FROM r WHERE error IS NOT NULL""",
-    "a02_support_rate": f"WITH {X.CLAIMS} SELECT case_id, floor(avg((pos % 3 <> 0)::INT) * 10000 + 0.5) / 10000 AS rate, coalesce(string_agg(id, ',' ORDER BY id) FILTER (pos % 3 = 0), '') AS unsupported FROM claims GROUP BY case_id",
+    "a02_support_rate": f"WITH {X.SPAN_CHECKS}, c AS (SELECT case_id, id, owned AND contiguous AND supported AS ok FROM checks) SELECT case_id, floor(avg(ok::INT) * 10000 + 0.5) / 10000 AS rate, coalesce(string_agg(id, ',' ORDER BY id) FILTER (NOT ok), '') AS unsupported FROM c GROUP BY case_id",
     "s09_latest_round": "SELECT user_id, max('round-' || lpad((event_id % 40)::VARCHAR, 2, '0')) AS latest FROM events WHERE event_type = 'purchase' GROUP BY user_id",
 }

@@ -74,7 +74,7 @@ def w06_locators(spark, sf):
 
 def w03_contiguity(spark, sf):
     units = X.units(spark, sf)
-    spans = units.filter("pos % 4 = 1").select("case_id", F.col("pos").alias("span_id"), F.explode(F.array(*(F.struct(F.lit(o).alias("ord"), (F.col("pos") + F.when((F.col("pos") % 3 == 0) & (F.lit(o) == 2), 3).otherwise(o)).alias("want")) for o in range(3)))).alias("x")).select("case_id", "span_id", "x.*")
+    spans = units.select("case_id", F.col("pos").alias("span_id"), F.explode(F.array(*(F.struct(F.lit(o).alias("ord"), (F.col("pos") + F.when((F.col("pos") % 3 == 0) & (F.lit(o) == 2), 3).otherwise(o)).alias("want")) for o in range(3)))).alias("x")).select("case_id", "span_id", "x.*")
     known = units.select("case_id", F.col("pos").alias("want"), "pos")
     return S.contiguous(spans.join(known, ["case_id", "want"], "left"))
 
@@ -161,7 +161,7 @@ SELECT case_id, 'C' || lpad(pos::VARCHAR, 6, '0') AS id, pos, s AS start_ms, s +
 (VALUES (4200000, 70000, 8400000, 140000, 'First'), (10800000, 180000, 3600000, 570000, 'Second part')) v(a, b, c, d, title)""",
     "l01_exclusions": f"WITH {_REW} SELECT case_id, pos, kind FROM ex",
     "w02_segments": f"WITH {_SEG} SELECT case_id, pos, segment FROM segs",
-    "w03_contiguity": f"""WITH {X.UNITS}, m AS (SELECT case_id, max(pos) AS last FROM units GROUP BY case_id) SELECT case_id, pos AS span_id, pos % 3 <> 0 AND pos + 2 <= last AS contiguous FROM units JOIN m USING (case_id) WHERE pos % 4 = 1""",
+    "w03_contiguity": f"""WITH {X.UNITS}, m AS (SELECT case_id, max(pos) AS last FROM units GROUP BY case_id) SELECT case_id, pos AS span_id, pos % 3 <> 0 AND pos + 2 <= last AS contiguous FROM units JOIN m USING (case_id)""",
     "w04_context": f"""WITH {_SEG}, b AS (SELECT case_id, segment, min(i) AS lo, max(i) AS hi FROM segs GROUP BY ALL)
 SELECT case_id, segment, coalesce((SELECT string_agg(k.pos::VARCHAR, ',' ORDER BY k.pos) FROM kept k WHERE k.case_id = b.case_id AND k.i BETWEEN lo - 2 AND lo - 1), '') AS context_before,
        coalesce((SELECT string_agg(k.pos::VARCHAR, ',' ORDER BY k.pos) FROM kept k WHERE k.case_id = b.case_id AND k.i BETWEEN hi + 1 AND hi + 2), '') AS context_after FROM b""",
