@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, hostrules, media, mixing, neighbours, pii, preference, repeats, simhash, warc
+from . import bpe, decontaminate, hostrules, media, mixing, neighbours, pii, preference, repeats, simhash, warc
 
 QUERIES = {
     "op1_gif": media.op1_gif,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_host_rules": hostrules.op8_host_rules,
     "op9_repeats": repeats.op9_repeats,
     "op10_bpe": bpe.op10_bpe,
+    "op11_decontaminate": decontaminate.op11_decontaminate,
 }
 
 ORACLE = {
@@ -22,6 +23,7 @@ ORACLE = {
     "op5_mixing": mixing.OP5_SQL,
     "op7_warc": warc.OP7_SQL,
     "op8_host_rules": hostrules.OP8_SQL,
+    "op11_decontaminate": decontaminate.OP11_SQL,
 }
 
 
