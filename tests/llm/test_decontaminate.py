@@ -77,7 +77,7 @@ def test_texts_equal_brute_force(shard):
         assert decontaminate.search_texts([(t or "").encode() for t in texts], own, shard) == plain(texts, items)
 
 
-@pytest.mark.parametrize("limit", [decontaminate.BLOCK_BYTES, 1500])
+@pytest.mark.parametrize("limit", [decontaminate.BLOCK_BYTES, 900])
 def test_rows_blocks_and_other_columns(spark, limit, monkeypatch):
     """A benchmark of several blocks, long items in pieces, null and repeated rows, columns with clashing names."""
     monkeypatch.setattr(decontaminate, "PIECE_WORDS", 7)
@@ -86,7 +86,7 @@ def test_rows_blocks_and_other_columns(spark, limit, monkeypatch):
     bench = spark.createDataFrame([(i, t, 0) for i, t in items], "item_id long, text string, doc_id int")
     got = sorted((r.item_id, r.doc_id, r.text, r.n_words, r._hits.n_words, [tuple(x) for x in r._hits.spans], list(r._hits["items"])) for r in decontaminate.marked(docs, bench, block_bytes=limit).collect())
     assert got == [(i, i % 40 or None, t, "s", *found) for i, (t, found) in enumerate(zip(texts, plain(texts, items), strict=True))]
-    assert (decontaminate._blocks(bench, 10, limit)[1] > 1) == (limit == 1500)
+    assert (decontaminate._blocks(bench, 10, limit)[1] > 1) == (limit == 900)
 
 
 def test_empty_tables(spark):

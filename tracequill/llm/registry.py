@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, hostrules, media, mixing, neighbours, pii, preference, repeats, simhash, warc
+from . import bpe, decontaminate, hostrules, lexical, media, mixing, neighbours, pii, preference, repeats, simhash, warc
 
 QUERIES = {
     "op1_gif": media.op1_gif,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_repeats": repeats.op9_repeats,
     "op10_bpe": bpe.op10_bpe,
     "op11_decontaminate": decontaminate.op11_decontaminate,
+    "op12_lexical": lexical.op12_lexical,
 }
 
 ORACLE = {
@@ -24,6 +25,7 @@ ORACLE = {
     "op7_warc": warc.OP7_SQL,
     "op8_host_rules": hostrules.OP8_SQL,
     "op11_decontaminate": decontaminate.OP11_SQL,
+    "op12_lexical": lexical.OP12_SQL,
 }
 
 
