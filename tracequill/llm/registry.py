@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, hostrules, lexical, media, mixing, neighbours, pii, preference, repeats, simhash, warc
+from . import bpe, decontaminate, hostrules, lexical, media, mixing, neighbours, pii, preference, prefixtrie, repeats, simhash, warc
 
 QUERIES = {
     "op1_gif": media.op1_gif,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_bpe": bpe.op10_bpe,
     "op11_decontaminate": decontaminate.op11_decontaminate,
     "op12_lexical": lexical.op12_lexical,
+    "op13_prefix_trie": prefixtrie.op13_prefix_trie,
 }
 
 ORACLE = {
@@ -26,6 +27,7 @@ ORACLE = {
     "op8_host_rules": hostrules.OP8_SQL,
     "op11_decontaminate": decontaminate.OP11_SQL,
     "op12_lexical": lexical.OP12_SQL,
+    "op13_prefix_trie": prefixtrie.OP13_SQL,
 }
 
 
