@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracequill.functions import canonical as C
 from tracequill.functions import text as T
+from tracequill.functions.canonical import let
 
 
 def first_findings(findings: DataFrame) -> DataFrame:
@@ -117,18 +119,23 @@ def html_cards(rows: DataFrame) -> DataFrame:
     return found.select("case_id", F.concat(F.lit("<section>"), F.array_join(F.transform("x", lambda y: y["card"]), ""), F.lit("</section>")).alias("html"))
 
 
-def snapshots(claims: DataFrame, spans: DataFrame) -> DataFrame:
-    """Semantic, support and full hash of each claim; span order and quotes do not matter to the first two.
+#: A claim's column and its name in JSON: what carries meaning, in the order of the names.
+SEMANTIC = {"claim_role": "claimRole", "importance": "importance", "provenance": "provenance", "speaker": "speaker", "speaker_confidence": "speakerConfidence", "statement": "statement", "theme_id": "themeId", "uncertainty": "uncertainty"}
 
-    ``spans``: case_id, id, segment_id, source_id, quote.
+
+def snapshots(claims: DataFrame) -> DataFrame:
+    """Semantic, support and full hash of each claim, over canonical JSON; absent fields are left out.
+
+    ``claims``: case_id, id, the columns of :data:`SEMANTIC`, and support_spans (array of segmentId, sourceIds, quote). To
+    the support hash a span is its segment and its distinct ids in order; spans go by their own hash, so
+    neither their order nor quotes matter, but how ids are grouped into spans does.
     """
-    own = spans.groupBy("case_id", "id").agg(
-        F.array_join(F.array_sort(F.collect_set(F.concat_ws("/", "segment_id", "source_id"))), ",").alias("support"),
-        F.array_join(F.array_sort(F.collect_list(F.coalesce("quote", F.lit("")))), "|").alias("quotes"),
-    )
-    meaning = F.concat_ws("|", "statement", "provenance", "importance", "theme_id")
-    rows = claims.join(own, ["case_id", "id"], "left")
-    return rows.select("case_id", "id", F.sha2(meaning, 256).alias("semantic_hash"), F.sha2(F.coalesce("support", F.lit("")), 256).alias("support_hash"), F.sha2(F.concat_ws("|", "id", meaning, "support", "quotes"), 256).alias("full_hash"))
+    named = [F.col(c).alias(n) for c, n in SEMANTIC.items()]
+    span = lambda x: C.canonical_json(F.to_json(F.struct(x["segmentId"].alias("segmentId"), F.array_sort(F.array_distinct(x["sourceIds"])).alias("sourceIds"))))
+    spans = F.transform(F.coalesce("support_spans", F.array()), lambda x: let(span(x), lambda y: F.struct(F.sha2(y.cast("binary"), 256).alias("h"), y.alias("json"))))
+    support = F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(spans), lambda x: x["json"]), ","), F.lit("]"))
+    whole = F.to_json(F.struct("id", *named, F.col("support_spans").alias("supportSpans")))
+    return claims.select("case_id", "id", C.canonical_hash(F.to_json(F.struct(*named))).alias("semantic_hash"), F.sha2(support.cast("binary"), 256).alias("support_hash"), C.canonical_hash(whole).alias("full_hash"))
 
 
 def with_units(claims: DataFrame, spans: DataFrame, units: DataFrame) -> DataFrame:

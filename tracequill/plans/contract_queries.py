@@ -82,10 +82,6 @@ def k07_html(spark, sf):
     return C.html_cards(X.claims(spark, sf).select("case_id", "pos", F.col("id").alias("title"), F.col("statement").alias("body"), F.array("theme_id", "id").alias("refs"))).select("case_id", F.md5(F.col("html").cast("binary")).alias("digest"))
 
 
-def p01_snapshots(spark, sf):
-    return C.snapshots(X.claims(spark, sf), _spans(spark, sf))
-
-
 def p08_claims_with_units(spark, sf):
     rows = C.with_units(X.claims(spark, sf), _spans(spark, sf), X.units(spark, sf))
     return rows.select("case_id", "id", F.array_join(F.transform("units", lambda u: u["source_id"]), ",").alias("units"), F.md5(F.array_join(F.transform("units", lambda u: u["text"]), " ").cast("binary")).alias("digest"))
@@ -115,8 +111,6 @@ def k04_release(spark, sf):
 QUERIES = {n: f for n, f in list(globals().items()) if n[0] in "ulgjafkp" and n[1:3].isdigit()}
 
 _SPAN = f"""{X.CLAIMS}, sp AS (SELECT case_id, id, pos, statement, provenance, importance, theme_id, 'S' || (pos % 3) AS seg, substr(statement, 1, 12) AS q, 'P' || lpad(pos::VARCHAR, 6, '0') AS u0, 'P' || lpad((pos + 1)::VARCHAR, 6, '0') AS u1 FROM claims)"""
-_MEAN = "statement || '|' || provenance || '|' || importance || '|' || theme_id"
-_SUP = "seg || '/' || u0 || ',' || seg || '/' || u1"
 _CARD = "'<article><h3>' || id || '</h3><p>' || replace(replace(replace(replace(replace(statement, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;') || '</p><sup>' || theme_id || ' ' || id || '</sup></article>'"
 ORACLE = {
     "u02_first_findings": f"WITH {X.UNITS} SELECT case_id, text AS message, min(pos) AS pos FROM units GROUP BY ALL",
@@ -133,7 +127,6 @@ j AS (SELECT b.*, c.theme_id AS own, count(*) OVER (PARTITION BY b.case_id, b.id
 SELECT case_id, id, CASE WHEN s >= 4 AND pos % 2 = 0 THEN 'high' WHEN s >= 2 AND pos % 3 = 0 THEN 'medium' ELSE 'low' END AS level FROM s""",
     "l07_contained_quotes": f"""WITH {X.CLAIMS}, q AS (SELECT case_id, id, {X.plain('statement')} AS s, CASE WHEN pos % 3 = 0 THEN 'abc' WHEN pos % 5 = 0 THEN 'qqq' || {X.plain('statement')} ELSE {X.plain('substr(statement, 2, 30)')} END AS t FROM claims) SELECT case_id, id, length(t) >= 6 AND contains(s, t) AS verbatim FROM q""",
     "k07_html": f"WITH {X.CLAIMS} SELECT case_id, md5('<section>' || string_agg({_CARD}, '' ORDER BY pos) || '</section>') AS digest FROM claims GROUP BY case_id",
-    "p01_snapshots": f"WITH {_SPAN} SELECT case_id, id, sha256({_MEAN}) AS semantic_hash, sha256({_SUP}) AS support_hash, sha256(id || '|' || {_MEAN} || '|' || {_SUP} || '|' || q || '|' || q) AS full_hash FROM sp",
     "p08_claims_with_units": f"WITH {_SPAN} SELECT sp.case_id, sp.id, sp.u0 || CASE WHEN n.id IS NULL THEN '' ELSE ',' || n.id END AS units, md5(sp.statement || CASE WHEN n.id IS NULL THEN '' ELSE ' ' || n.text END) AS digest FROM sp LEFT JOIN units n ON n.case_id = sp.case_id AND n.id = sp.u1",
     "a17_reader_map_build": f"WITH {X.CLAIMS} SELECT case_id, id, CASE WHEN pos % 2 = 0 THEN 'n1-' || id ELSE 'n1-' || id || ',n2-' || id END AS leaves FROM claims",
     "a19_anchor_coverage": f"WITH {X.CLAIMS} SELECT case_id, floor(count(*) FILTER (pos % 3 <> 0) / count(*) * 10000 + 0.5) / 10000 AS coverage FROM claims GROUP BY case_id",
