@@ -32,18 +32,21 @@ def _shape(d: Column, digits: Column, point: Column) -> Column:
     return F.concat(F.when(d < 0, "-").otherwise(""), text)
 
 
-def _shortest(d: Column, digits: Column, point: Column, times: int = 2) -> Column:
-    """Shaped, with fewer digits where they read back as the same double: the JVM writes up to two too many at times."""
-    if not times:
-        return _shape(d, digits, point)
-    up = F.floor((digits.cast("decimal(20,0)") + 5) * F.lit("0.1").cast("decimal(2,1)")).cast("string")
-    at = point + F.length(up) - F.length(digits) + 1
+def _shorter(d: Column, x: Column) -> Column:
+    """``x`` (digits, point) with one digit less where a neighbour reads back as the same double: the JVM writes up to two too many at times."""
+    digits, point = x["digits"], x["point"]
+    near = [F.floor((digits.cast("decimal(20,0)") + n) * F.lit("0.1").cast("decimal(2,1)")).cast("string") for n in (5, 0, 10)]
 
-    def of(x: Column) -> Column:
-        same = (F.length(digits) > 1) & (F.concat(F.lit("0."), x["up"], F.lit("E"), x["at"].cast("string")).cast("double") == F.abs(d))
-        return F.when(same, _shortest(d, F.rtrim(x["up"], F.lit("0")), x["at"], times - 1)).otherwise(_shape(d, digits, point))
+    def of(tried: Column) -> Column:
+        out = x
+        for i in reversed(range(3)):
+            up = tried[i]
+            at = point + F.length(up) - F.length(digits) + 1
+            same = (F.length(digits) > 1) & (F.concat(F.lit("0."), up, F.lit("E"), at.cast("string")).cast("double") == F.abs(d))
+            out = F.when(same, F.struct(F.rtrim(up, F.lit("0")).alias("digits"), at.alias("point"))).otherwise(out)
+        return out
 
-    return let(F.struct(up.alias("up"), at.alias("at")), of)
+    return let(F.array(*near), of)
 
 
 def number(token: Column) -> Column:
@@ -60,7 +63,7 @@ def number(token: Column) -> Column:
         digits = F.concat(whole, fraction)
         bare = F.ltrim(digits, F.lit("0"))
         split = F.struct(F.rtrim(bare, F.lit("0")).alias("digits"), (F.length(whole) + exponent - F.length(digits) + F.length(bare)).alias("point"))
-        return F.when(d == 0, "0").otherwise(let(split, lambda x: _shortest(d, x["digits"], x["point"])))
+        return F.when(d == 0, "0").otherwise(let(split, lambda x: let(_shorter(d, x), lambda y: let(_shorter(d, y), lambda z: _shape(d, z["digits"], z["point"])))))
 
     return let(token.cast("double"), of)
 
