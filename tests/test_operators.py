@@ -1,5 +1,6 @@
 """Golden cases of parsers, text functions, segmentation and evidence operators."""
 
+import random
 import struct
 
 import pytest
@@ -81,6 +82,36 @@ def test_segments_break_by_size_gap_and_heading(spark):
     assert [r.segment for r in S.segmented(units(spark, ["a", "b", "c"], heading=["x", "x", "y"])).orderBy("pos").collect()] == [1, 1, 2]
 
 
+def plain_segments(rows, maximum=1200, preferred=650, most=48, gap=8000):
+    out, current, k = [], [], 1
+    for row in rows:
+        if current:
+            size, last = sum(len("".join(x[0].split())) for x in current), current[-1]
+            late = row[1] - last[2] > gap
+            if len(current) >= most or size >= maximum or late or size >= preferred and last[0][-1:] in "。！？!?" and last[0] or last[3] and row[3] and last[3] != row[3]:
+                current, k = [], k + 1
+        current.append(row)
+        out.append(k)
+    return out
+
+
+def test_segments_of_a_long_case_equal_the_greedy_loop(spark):
+    """Sizes, sentence ends, headings and time gaps in one case of 20,000 units, and small ones."""
+    rng = random.Random(3)
+    for n, options in ((20_000, {}), (1, {}), (300, {"maximum": 40, "preferred": 15, "most_units": 4})):
+        rows, at = [], 0
+        for _ in range(n):
+            at += rng.choice([0, 100, 7_999, 8_000, 8_001]) if rng.random() < 0.05 else 10
+            text = rng.choice(["", "a b", "word " * 8, "long " * 60, "x" * 700]) + rng.choice(["", "!", "。", "."])
+            rows.append((text, at, at + 5, rng.choice(["H", "H", "H", "J", ""]) if rng.random() < 0.02 else rows[-1][3] if rows else "H"))
+            at += 5
+        df = spark.createDataFrame([(1, i, *r, "kept") for i, r in enumerate(rows)], "case_id long, pos int, text string, start_ms long, end_ms long, heading string, other string")
+        got = sorted((r.pos, r.segment, r.text, r.other) for r in S.segmented(df, **options).collect())
+        names = {"maximum": "maximum", "preferred": "preferred", "most_units": "most"}
+        want = plain_segments(rows, **{names[k]: v for k, v in options.items()})
+        assert got == [(i, k, r[0], "kept") for i, (k, r) in enumerate(zip(want, rows, strict=True))]
+
+
 def test_contiguity_and_ranges(spark):
     spans = spark.createDataFrame([(1, "a", 0, 3), (1, "a", 1, 4), (1, "b", 0, 3), (1, "b", 1, 5), (1, "c", 0, None), (1, "d", 0, 4), (1, "d", 1, 3)], "case_id long, span_id string, ord int, pos int")
     assert {r.span_id: r.contiguous for r in S.contiguous(spans).collect()} == {"a": True, "b": False, "c": False, "d": False}

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracequill.functions import text as T
+from tracequill.functions.folds import first_at_least, least_after, orbit, settled, sums_before
 
 #: Defaults of our own; callers give theirs.
 GREETING = r"(?i)^(?:hello|hi|hey|ok(?:ay)?|thanks|thank you|hola|salut|merci|danke|gracias)[!,. ]*$"
@@ -17,45 +18,68 @@ SOUND = r"(?i)music|applause|laugh|noise"
 def exclusions(units: DataFrame, greeting: str = GREETING, promotion: str = PROMOTION, sound: str = SOUND) -> DataFrame:
     """Adds ``kind``: noise, greeting, advertisement, duplicate (of the last unit that stayed) or null; first match wins.
 
-    A run of equal units compares equal to its predecessor, so one lag over the
-    survivors of the row-local rules equals the running comparison.
+    A run of equal units compares equal to its predecessor, so the last survivor of the
+    row-local rules stands for the running comparison. One shuffle, by case.
     """
-    text, n = T.normalize_text(F.col("text")), T.compact_characters(T.normalize_text(F.col("text")))
+    text, n = F.col("_norm"), F.col("_size")
     local = (
         F.when(text == "", "noise")
         .when(text.rlike(STAGE) & text.rlike(sound), "noise")
         .when((n <= 12) & text.rlike(greeting), "greeting")
         .when((n <= 80) & text.rlike(promotion), "advertisement")
     )
-    marked = units.withColumn("_local", local).withColumn("_norm", text)
-    order = Window.partitionBy("case_id", F.col("_local").isNull()).orderBy("pos")
-    again = F.col("_local").isNull() & F.coalesce(F.lag("_norm").over(order) == F.col("_norm"), F.lit(False))
+    marked = units.withColumn("_norm", T.normalize_text(F.col("text"))).withColumn("_size", T.compact_characters(text)).withColumn("_local", local).drop("_size")
+    earlier = Window.partitionBy("case_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    last = F.last(F.when(F.col("_local").isNull(), F.col("_norm")), ignorenulls=True).over(earlier)
+    again = F.col("_local").isNull() & F.coalesce(last == F.col("_norm"), F.lit(False))
     return marked.withColumn("kind", F.when(again, "duplicate").otherwise(F.col("_local"))).drop("_local", "_norm")
 
 
+def _cases(units: DataFrame, keys: list[str]) -> DataFrame:
+    """One row a case: its units in order, their characters ``_n`` and the sums before each ``_c`` (and in all)."""
+    others = [c for c in units.columns if c not in (*keys, "pos")]
+    rows = units.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", *others))).alias("_u"))
+    rows = settled(rows.withColumn("_n", F.transform("_u", lambda x: T.compact_characters(x["text"]).cast("long"))))
+    return rows.withColumn("_c", F.expr(f"array_append({sums_before('_n')}, aggregate(_n, 0L, (a, x) -> a + x))")).drop("_n")
+
+
+def _runs(rows: DataFrame, after: str) -> DataFrame:
+    """Adds ``_runs``: (start, stop) of the runs that greedy breaking makes.
+
+    ``after``: SQL text of where a run from unit ``i`` ends. ``_ends`` and ``_hard`` say whether a unit ends a
+    sentence and whether a run must break before it; ``_sentence`` and ``_break`` become the first such place from each place on, after it.
+    """
+    rows = rows.withColumn("_s", F.expr("transform(sequence(0, size(_ends)), j -> cast(CASE WHEN j > 0 AND _ends[j - 1] THEN j ELSE size(_ends) END AS bigint))"))
+    rows = settled(rows.withColumn("_h", F.expr("transform(_hard, (h, j) -> cast(CASE WHEN h THEN j ELSE size(_hard) END AS bigint))")))
+    rows = rows.withColumn("_sentence", F.expr(f"zip_with(_s, {least_after('_s', 'size(_u)')}, (a, b) -> least(a, b))")).withColumn("_break", F.expr(least_after("_h", "size(_u)"))).drop("_s", "_h", "_ends", "_hard")
+    rows = settled(settled(rows).withColumn("_after", F.expr(f"transform(sequence(0, size(_u)), i -> cast(CASE WHEN i = size(_u) THEN i ELSE {after} END AS int))")))
+    return settled(rows.withColumn("_runs", F.expr(f"transform({orbit('_after')}, s -> named_struct('start', s, 'stop', _after[s]))"))).drop("_sentence", "_break", "_after")
+
+
 def segmented(included: DataFrame, maximum: int = 1200, preferred: int = 650, most_units: int = 48, max_gap_ms: int = 8000) -> DataFrame:
     """Adds ``segment`` (1, 2, ... in a case) by greedy breaking.
 
-    Breaks that depend on neighbours only (heading, time gap) cut a case into islands by
-    window; the size rules are a fold inside each island.
+    Where a segment ends depends on where it starts alone: prefix sums of characters, the next sentence
+    end and the next heading or time gap give each unit the end of a segment that would start
+    there, and pointer doubling follows these from the first unit. One shuffle by case, n log n in a case.
     """
     columns = included.columns
-    order = Window.partitionBy("case_id").orderBy("pos")
-    hard = F.lit(False)
-    if "heading" in columns:
-        hard = hard | (F.col("heading") != F.lag("heading").over(order))
-    if "start_ms" in columns:
-        hard = hard | (F.col("start_ms") - F.lag("end_ms").over(order) > max_gap_ms)
-    islands = included.withColumn("_island", F.sum(F.coalesce(hard, F.lit(False)).cast("int")).over(order))
-    unit = F.struct("pos", T.compact_characters(F.col("text")).alias("n"), F.col("text").rlike(T.SENTENCE_END).alias("ends"))
-    folded = islands.groupBy("case_id", "_island").agg(F.array_sort(F.collect_list(unit)).alias("units"))
-    step = f"""aggregate(units, named_struct('k', 0, 'u', 0, 'c', 0, 'e', false, 'out', cast(array() AS array<struct<pos:int,k:int>>)), (a, x) ->
-      CASE WHEN a.u > 0 AND (a.u >= {most_units} OR a.c >= {maximum} OR (a.c >= {preferred} AND a.e))
-      THEN named_struct('k', a.k + 1, 'u', 1, 'c', x.n, 'e', x.ends, 'out', array_append(a.out, named_struct('pos', x.pos, 'k', a.k + 1)))
-      ELSE named_struct('k', a.k, 'u', a.u + 1, 'c', a.c + x.n, 'e', x.ends, 'out', array_append(a.out, named_struct('pos', x.pos, 'k', a.k))) END, a -> a.out)"""
-    placed = folded.select("case_id", "_island", F.explode(F.expr(step)).alias("x")).select("case_id", "_island", F.col("x.pos").alias("pos"), F.col("x.k").alias("_k"))
-    numbered = placed.withColumn("segment", F.dense_rank().over(Window.partitionBy("case_id").orderBy("_island", "_k")))
-    return included.join(numbered.drop("_island", "_k"), ["case_id", "pos"])
+    rows = _cases(included, ["case_id"])
+
+    def hard(x, i):
+        test = F.lit(False)
+        last = F.get("_u", i - 1)
+        if "heading" in columns:
+            test = test | ((x["heading"] != last["heading"]) & (x["heading"] != "") & (last["heading"] != ""))
+        if "start_ms" in columns:
+            test = test | (x["start_ms"] - last["end_ms"] > max_gap_ms)
+        return F.coalesce((i > 0) & test, F.lit(False))
+
+    rows = settled(rows.withColumn("_ends", F.transform("_u", lambda x: x["text"].rlike(T.SENTENCE_END))).withColumn("_hard", F.transform("_u", hard)))
+    after = f"least(i + {most_units}, size(_u), {first_at_least('_c', f'_c[i] + {maximum}', 'm')}, _sentence[least(size(_u), {first_at_least('_c', f'_c[i] + {preferred}', 'p')})], _break[i])"
+    placed = F.flatten(F.transform("_runs", lambda r, k: F.transform(F.slice("_u", r["start"] + 1, r["stop"] - r["start"]), lambda x: F.struct(x.alias("x"), (k + 1).alias("segment")))))
+    out = _runs(rows, after).select("case_id", F.explode(placed).alias("_p"))
+    return out.select(*(F.col("case_id") if c == "case_id" else F.col(f"_p.x.{c}").alias(c) for c in columns), F.col("_p.segment").cast("int").alias("segment"))
 
 
 def segment_table(units: DataFrame, context: int = 2) -> DataFrame:
@@ -118,13 +142,17 @@ def compact_ranges(refs: DataFrame) -> DataFrame:
     return runs.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("g", text.alias("t")))).alias("x")).select("key", F.transform("x", lambda y: y["t"]).alias("ranges"))
 
 
-def unit_groups(units: DataFrame, maximum: int = 150, enough: int = 65, least: int = 8) -> DataFrame:
-    """Greedy groups of neighbouring units of (case_id, segment, pos, text) for seeding claims; short ones go."""
-    unit = F.struct("pos", T.compact_characters(F.col("text")).alias("n"), F.col("text").rlike(T.SENTENCE_END + r"|\.$").alias("ends"))
-    folded = units.groupBy("case_id", "segment").agg(F.array_sort(F.collect_list(unit)).alias("units"))
-    step = f"""aggregate(units, named_struct('k', 0, 'p', -9, 'c', 0, 'e', false, 'out', cast(array() AS array<struct<pos:int,n:int,k:int>>)), (a, x) ->
-      CASE WHEN a.p <> -9 AND (x.pos <> a.p + 1 OR a.c + x.n > {maximum} OR (a.c >= {enough} AND a.e))
-      THEN named_struct('k', a.k + 1, 'p', x.pos, 'c', x.n, 'e', x.ends, 'out', array_append(a.out, named_struct('pos', x.pos, 'n', x.n, 'k', a.k + 1)))
-      ELSE named_struct('k', a.k, 'p', x.pos, 'c', a.c + x.n, 'e', x.ends, 'out', array_append(a.out, named_struct('pos', x.pos, 'n', x.n, 'k', a.k))) END, a -> a.out)"""
-    rows = folded.select("case_id", "segment", F.explode(F.expr(step)).alias("x")).select("case_id", "segment", "x.*")
-    return rows.groupBy("case_id", "segment", "k").agg(F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"), F.sum("n").cast("long").alias("characters")).filter(F.col("characters") >= least)
+def unit_groups(units: DataFrame, maximum: int = 150, enough: int = 65, least: int = 8, sentence_end: str = T.SENTENCE_END + r"|\.$") -> DataFrame:
+    """Greedy groups of neighbouring units of (case_id, segment, pos, text) for seeding claims; short ones go.
+
+    A group breaks at a gap in ``pos``, before it exceeds ``maximum`` characters, and after a sentence end from ``enough`` characters on.
+    """
+    rows = _cases(units.select("case_id", "segment", "pos", "text"), ["case_id", "segment"])
+    gap = lambda x, i: F.coalesce((i > 0) & (x["pos"] != F.get("_u", i - 1)["pos"] + 1), F.lit(False))
+    rows = settled(rows.withColumn("_ends", F.transform("_u", lambda x: x["text"].rlike(sentence_end))).withColumn("_hard", F.transform("_u", gap)))
+    after = f"least(size(_u), greatest(i + 1, {first_at_least('_c', f'_c[i] + {maximum + 1}', 'm')} - 1), _sentence[least(size(_u), {first_at_least('_c', f'_c[i] + {enough}', 'p')})], _break[i])"
+    run = F.col("_r")
+    found = _runs(rows, after).select("*", F.explode("_runs").alias("_r"))
+    at = lambda c, i: F.get(c, i)
+    out = found.select("case_id", "segment", at("_u", run["start"])["pos"].alias("first_pos"), at("_u", run["stop"] - 1)["pos"].alias("last_pos"), (at("_c", run["stop"]) - at("_c", run["start"])).alias("characters"))
+    return out.filter(F.col("characters") >= least)

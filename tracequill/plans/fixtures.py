@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tracequill.functions import text as T
 from tracequill.operators import segments
-from tracequill.session import table
+from tracequill.session import spread, table
 from tracequill.sources import parse
 
 NORM_SQL = (
@@ -47,7 +47,7 @@ def jaccard(a: str, b: str) -> str:
 
 def sources(spark, sf_dir: str) -> DataFrame:
     """Documents as articles: the source is the heading, each line a paragraph."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     return docs.select(F.col("doc_id").alias("case_id"), F.concat(F.lit("# "), F.col("source"), F.lit("\n"), F.replace("text", F.lit("\n"), F.lit("\n\n"))).alias("text"))
 
 

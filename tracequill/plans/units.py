@@ -63,6 +63,19 @@ def w02_segments(spark, sf):
     return _segmented(spark, sf).select("case_id", "pos", "segment")
 
 
+def _timed(spark, sf):
+    """Included units with times and headings that follow from the lengths of their texts: some wait 8 seconds before, some a moment longer."""
+    n = F.length("text")
+    until = Window.partitionBy("case_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    rows = _included(spark, sf).withColumn("end_ms", F.sum(n * 60 + F.when(n % 9 == 0, 8001).when(n % 9 == 1, 8000).otherwise(0)).over(until))
+    heading = F.when(n % 31 == 0, "").otherwise(F.concat(F.lit("H"), F.sum((n % 23 == 0).cast("int")).over(until).cast("string")))
+    return rows.withColumn("heading", heading).withColumn("start_ms", F.col("end_ms") - n * 60)
+
+
+def w02_timed_segments(spark, sf):
+    return S.segmented(_timed(spark, sf)).select("case_id", "pos", "segment")
+
+
 def w04_context(spark, sf):
     join = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
     return S.segment_table(_segmented(spark, sf)).select("case_id", "segment", join("context_before").alias("context_before"), join("context_after").alias("context_after"))
@@ -135,7 +148,7 @@ def session_gaps(spark, sf):
 
 
 MENTIONED = ["anthe", "cióndo", "enkeit", "quele", "tion"]
-NAMES = "s02_timed_units s03_article_units s04_json_lines s10_legacy_timeline l01_exclusions w02_segments w03_contiguity w04_context w05_uniform_sample w06_locators w07_unit_groups w08_compact_ranges w09_earliest_mention w11_order_contiguity f16_speakers a01_source_stats j01_ledger_findings session_gaps"
+NAMES = "s02_timed_units s03_article_units s04_json_lines s10_legacy_timeline l01_exclusions w02_segments w02_timed_segments w03_contiguity w04_context w05_uniform_sample w06_locators w07_unit_groups w08_compact_ranges w09_earliest_mention w11_order_contiguity f16_speakers a01_source_stats j01_ledger_findings session_gaps"
 QUERIES = {n: globals()[n] for n in NAMES.split()}
 
 _MS = "lpad((({m}) // 3600000)::VARCHAR, 2, '0') || ':' || lpad((({m}) % 3600000 // 60000)::VARCHAR, 2, '0') || ':' || lpad((({m}) % 60000 // 1000)::VARCHAR, 2, '0')"
@@ -149,6 +162,13 @@ seg(case_id, i, pos, segment, u, c, e) AS (SELECT case_id, i, pos, 1, 1, n, e FR
   SELECT k.case_id, k.i, k.pos, CASE WHEN b THEN segment + 1 ELSE segment END, CASE WHEN b THEN 1 ELSE u + 1 END, CASE WHEN b THEN k.n ELSE c + k.n END, k.e
   FROM (SELECT *, u >= 48 OR c >= 1200 OR (c >= 650 AND e) AS b FROM seg) s JOIN kept k ON k.case_id = s.case_id AND k.i = s.i + 1),
 segs AS (SELECT seg.case_id, seg.pos, segment, id, text, n, kept.i FROM seg JOIN kept ON seg.case_id = kept.case_id AND seg.pos = kept.pos)"""
+_TIMED = f"""RECURSIVE {_KEPT},
+tm AS (SELECT *, sum(length(text) * 60 + CASE WHEN length(text) % 9 = 0 THEN 8001 WHEN length(text) % 9 = 1 THEN 8000 ELSE 0 END) OVER w AS z, CASE WHEN length(text) % 31 = 0 THEN '' ELSE 'H' || sum((length(text) % 23 = 0)::INT) OVER w END AS h
+  FROM (SELECT * EXCLUDE (heading) FROM kept) WINDOW w AS (PARTITION BY case_id ORDER BY pos ROWS UNBOUNDED PRECEDING)),
+seg(case_id, i, pos, segment, u, c, e, z, h) AS (SELECT case_id, i, pos, 1, 1, n, e, z, h FROM tm WHERE i = 1 UNION ALL
+  SELECT case_id, i, pos, CASE WHEN b THEN segment + 1 ELSE segment END, CASE WHEN b THEN 1 ELSE u + 1 END, CASE WHEN b THEN n ELSE c + n END, e, z, h
+  FROM (SELECT k.case_id, k.i, k.pos, k.n, k.e, k.z, k.h, segment, u, c, u >= 48 OR c >= 1200 OR (c >= 650 AND s.e) OR k.z - length(k.text) * 60 - s.z > 8000 OR (s.h <> '' AND k.h <> '' AND s.h <> k.h) AS b
+        FROM seg s JOIN tm k ON k.case_id = s.case_id AND k.i = s.i + 1))"""
 _REW = f"""{X.UNITS}, rw AS (SELECT case_id, pos, CASE WHEN pos % 11 = 2 THEN 'Okay!' WHEN pos % 13 = 3 THEN 'use code SAVE' WHEN pos % 17 = 4 THEN '[music]' WHEN pos % 5 IN (0, 1) THEN 'same' ELSE text END AS text FROM units),
 lo AS (SELECT *, CASE WHEN pos % 11 = 2 THEN 'greeting' WHEN pos % 13 = 3 THEN 'advertisement' WHEN pos % 17 = 4 THEN 'noise' END AS local FROM rw),
 ex AS (SELECT case_id, pos, text, CASE WHEN local IS NULL AND lag(text) OVER (PARTITION BY case_id, local IS NULL ORDER BY pos) = text THEN 'duplicate' ELSE local END AS kind FROM lo)"""
@@ -161,6 +181,7 @@ SELECT case_id, 'C' || lpad(pos::VARCHAR, 6, '0') AS id, pos, s AS start_ms, s +
 (VALUES (4200000, 70000, 8400000, 140000, 'First'), (10800000, 180000, 3600000, 570000, 'Second part')) v(a, b, c, d, title)""",
     "l01_exclusions": f"WITH {_REW} SELECT case_id, pos, kind FROM ex",
     "w02_segments": f"WITH {_SEG} SELECT case_id, pos, segment FROM segs",
+    "w02_timed_segments": f"WITH {_TIMED} SELECT case_id, pos, segment FROM seg",
     "w03_contiguity": f"""WITH {X.UNITS}, m AS (SELECT case_id, max(pos) AS last FROM units GROUP BY case_id) SELECT case_id, pos AS span_id, pos % 3 <> 0 AND pos + 2 <= last AS contiguous FROM units JOIN m USING (case_id)""",
     "w04_context": f"""WITH {_SEG}, b AS (SELECT case_id, segment, min(i) AS lo, max(i) AS hi FROM segs GROUP BY ALL)
 SELECT case_id, segment, coalesce((SELECT string_agg(k.pos::VARCHAR, ',' ORDER BY k.pos) FROM kept k WHERE k.case_id = b.case_id AND k.i BETWEEN lo - 2 AND lo - 1), '') AS context_before,

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracequill.functions import text as T
+from tracequill.functions.folds import most_before, settled
 
 TIMED, ARTICLE = ("srt", "vtt"), ("txt", "md")
 
@@ -51,22 +52,29 @@ def timed_units(sources: DataFrame) -> DataFrame:
 
 
 def article_units(sources: DataFrame, default_heading: str = "Body") -> DataFrame:
-    """Paragraphs of (case_id, text): blank lines and ``#`` headings end one; each keeps the heading above it."""
-    lines = sources.select("case_id", F.posexplode(F.split(F.regexp_replace("text", r"^﻿", ""), r"\r?\n")).alias("line_pos", "line"))
-    heading: Column = F.regexp_extract("line", r"^#{1,6}\s+(.+)$", 1)
-    marked = lines.withColumn("title", F.when(heading != "", T.normalize_text(heading)))
-    stops = F.col("title").isNotNull() | (F.trim(F.regexp_replace("line", T.SPACE, " ")) == "")
-    order = Window.partitionBy("case_id").orderBy("line_pos").rowsBetween(Window.unboundedPreceding, 0)
-    grouped = (
-        marked.withColumn("paragraph", F.sum(stops.cast("int")).over(order))
-        .withColumn("heading", F.coalesce(F.last("title", ignorenulls=True).over(order), F.lit(default_heading)))
-        .filter(~stops)
-        .groupBy("case_id", "paragraph")
-        .agg(F.array_sort(F.collect_list(F.struct("line_pos", "line"))).alias("lines"), F.min("heading").alias("heading"))
-    )
-    text = T.normalize_text(F.array_join(F.transform("lines", lambda x: x["line"]), " "))
-    units = _numbered(grouped.withColumn("text", text).filter("text <> ''"), "P", "paragraph")
-    return units.withColumn("label", F.concat(F.col("heading"), F.lit(" · "), F.col("pos").cast("string"))).drop("lines", "paragraph")
+    """Paragraphs of (case_id, text): blank lines and ``#`` headings end one; each keeps the heading above it.
+
+    Found in the arrays of one row, so nothing is shuffled.
+    """
+    title = lambda x: F.regexp_extract(x, r"^#{1,6}\s+(.+)$", 1)
+    blank = lambda x: F.trim(F.regexp_replace(x, T.SPACE, " ")) == ""
+    rows = sources.select("case_id", F.split(F.regexp_replace("text", r"^﻿", ""), r"\r?\n").alias("lines"))
+    rows = settled(settled(rows).withColumn("titles", F.transform("lines", title)))
+    rows = rows.withColumn("stops", F.zip_with("lines", "titles", lambda x, t: (t != "") | blank(x)))
+    rows = rows.withColumn("above", F.expr(most_before("transform(titles, (t, i) -> CASE WHEN t <> '' THEN i + 1L ELSE 0L END)")))
+    rows = settled(rows)
+    edge = lambda near: F.filter(F.transform("stops", lambda s, i: F.when(~s & F.coalesce(F.get("stops", i + near), F.lit(True)), i)), lambda i: i.isNotNull())
+    rows = settled(rows.withColumn("firsts", edge(-1)).withColumn("lasts", edge(1)))
+
+    def paragraph(first: Column, last: Column) -> Column:
+        text = T.normalize_text(F.array_join(F.slice("lines", first + 1, last - first + 1), " "))
+        at = F.get("above", first)
+        return F.struct(text.alias("text"), F.when(at > 0, T.normalize_text(F.get("titles", at.cast("int") - 1))).otherwise(default_heading).alias("heading"))
+
+    paragraphs = settled(rows.select("case_id", F.zip_with("firsts", "lasts", paragraph).alias("paragraphs")))
+    found = paragraphs.select("case_id", F.posexplode(F.filter("paragraphs", lambda x: x["text"] != "")).alias("at", "x"))
+    units = found.select("case_id", F.col("x.heading").alias("heading"), F.col("x.text").alias("text"), (F.col("at") + 1).alias("pos"))
+    return units.withColumn("id", F.concat(F.lit("P"), F.lpad(F.col("pos").cast("string"), 6, "0"))).withColumn("label", F.concat(F.col("heading"), F.lit(" · "), F.col("pos").cast("string")))
 
 
 def section_of(text: Column, number: int) -> Column:
