@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tracequill.functions import canonical as C
 from tracequill.functions import text as T
 from tracequill.functions.canonical import let
+from tracequill.functions.folds import settled
 
 
 def first_findings(findings: DataFrame) -> DataFrame:
@@ -98,18 +99,86 @@ def contained_quotes(quotes: DataFrame, least: int = 6) -> DataFrame:
     return quotes.withColumn("verbatim", (F.length(plain) >= least) & F.contains(T.normalized_claim(F.col("source")), plain))
 
 
+def quote_form(text: Column) -> Column:
+    """For searches in quotes: the comparison form; null counts as empty."""
+    return T.normalized_claim(F.coalesce(text, F.lit("")))
+
+
+#: Neighbouring characters that a deleted piece may repeat.
+OVERLAP = 6
+
+
+def _deletions(fillers: list[str]) -> str:
+    """SQL text: whether ``_t`` is ``_s`` less fillers and repetitions, character by character.
+
+    Each character of ``_t`` takes the next equal one of ``_s``, found in one pass over ``_s`` that keeps two places.
+    What lies between is a deleted piece: it must consist of fillers, or repeat the text before or after it.
+    """
+    filler = "^(?:" + "|".join(f"{f}" for f in fillers) + ")+$"
+
+    def mechanical(gone: str, before: str, after: str) -> str:
+        return (
+            f"({gone} = '' OR {gone} RLIKE '{filler}' OR ({before} <> '' AND (endswith({before}, {gone}) OR endswith({gone}, right({before}, {OVERLAP})))) "
+            f"OR ({after} <> '' AND (startswith({after}, {gone}) OR startswith({gone}, left({after}, {OVERLAP})))))"
+        )
+
+    gap = "substr(_s, a.at + 1, a.k - a.at)"
+    step = f"""CASE WHEN NOT a.ok THEN a WHEN a.p < size(_tc) AND c = _tc[a.p] THEN named_struct('p', a.p + 1, 'at', a.k + 1, 'k', a.k + 1,
+      'ok', a.at = a.k OR {mechanical(gap, 'left(_t, a.p)', 'substr(_s, a.k + 1)')}) ELSE named_struct('p', a.p, 'at', a.at, 'k', a.k + 1, 'ok', a.ok) END"""
+    tail = mechanical("substr(_s, a.at + 1)", "_t", "''")
+    return f"_s <> '' AND _t <> '' AND aggregate(split(_s, ''), named_struct('p', 0, 'at', 0, 'k', 0, 'ok', true), (a, c) -> {step}, a -> a.ok AND a.p = size(_tc) AND {tail})"
+
+
 def deletion_only(quotes: DataFrame, fillers: list[str]) -> DataFrame:
-    """Adds ``deleted_only``: the text is the source without filler words and repeated words, nothing else.
+    """Adds ``deleted_only``: ``text`` is ``source`` with nothing but fillers and repetitions gone, and other punctuation.
 
-    Compared word by word: every word of the source is the text's next word, a filler, or repeats its neighbour.
+    ``fillers``: regular expressions of words without quotes or backslashes, already in the form of :func:`quote_form`. An empty side is never such an edit.
     """
-    words = lambda c: F.filter(F.split(F.trim(F.lower(F.regexp_replace(c, r"[\p{P}\p{S}]", " "))), r"\s+"), lambda x: x != "")
-    rows = quotes.withColumn("_s", words(F.col("source"))).withColumn("_t", words(F.col("text")))
-    listed = ", ".join(f"'{f}'" for f in fillers)
-    fold = f"""aggregate(_s, named_struct('at', 0, 'ok', true, 'before', ''), (a, w) -> CASE
-      WHEN a.at < size(_t) AND element_at(_t, a.at + 1) = w THEN named_struct('at', a.at + 1, 'ok', a.ok, 'before', w)
-      ELSE named_struct('at', a.at, 'ok', a.ok AND (w IN ({listed}) OR w = a.before), 'before', w) END, a -> a.ok AND a.at = size(_t))"""
-    return rows.withColumn("deleted_only", F.expr(fold) & (F.size("_t") > 0)).drop("_s", "_t")
+    if any(c in f for f in fillers for c in "'\\"):
+        raise ValueError("fillers hold no quotes or backslashes")
+    rows = settled(quotes.withColumn("_s", quote_form(F.col("source"))).withColumn("_t", quote_form(F.col("text"))))
+    rows = settled(rows.withColumn("_tc", F.split("_t", "")))
+    return rows.withColumn("deleted_only", F.expr(_deletions(fillers))).drop("_s", "_t", "_tc")
+
+
+def locators_match(left: Column, right: Column) -> Column:
+    """Equal first and last times where both have times, else equal text."""
+    times = lambda x: F.transform(F.regexp_extract_all(F.coalesce(x, F.lit("")), F.lit(r"\d{1,2}:\d{2}(?::\d{2})?(?:\.\d+)?"), F.lit(0)), lambda t: F.regexp_replace(t, r"\.\d+$", ""))
+    a, b = times(left), times(right)
+    both = (F.size(a) > 0) & (F.size(b) > 0)
+    ends = (F.get(a, F.lit(0)) == F.get(b, F.lit(0))) & (F.get(a, F.size(a) - 1) == F.get(b, F.size(b) - 1))
+    return F.when(both, ends).otherwise(T.normalize_text(F.coalesce(left, F.lit(""))) == T.normalize_text(F.coalesce(right, F.lit(""))))
+
+
+def controlled_quotes(blocks: DataFrame, spans: DataFrame, fillers: list[str], least: int = 6) -> DataFrame:
+    """case_id, id and errors of quote blocks that break a rule.
+
+    ``blocks``: case_id, id, mode, attribution, text, source_locator, source_text, evidence_refs; ``spans``: case_id,
+    ref, locator, quote. A verbatim quote lies in a span of its references; a cleaned one names a source text that
+    does, at that span's place, and only deletes from it.
+    """
+    blank = lambda c: F.trim(F.coalesce(c, F.lit(""))) == ""
+    named = blocks.select("case_id", "id", "text", "source_text", "source_locator", F.explode(F.array_distinct("evidence_refs")).alias("ref"))
+    held = named.join(spans.select("case_id", "ref", "locator", "quote"), ["case_id", "ref"])
+    found = held.groupBy("case_id", "id").agg(
+        F.bool_or(F.contains(quote_form(F.col("quote")), quote_form(F.col("text")))).alias("_verbatim"),
+        F.bool_or(locators_match(F.col("source_locator"), F.col("locator")) & F.contains(quote_form(F.col("quote")), quote_form(F.col("source_text")))).alias("_placed"),
+    )
+    edits = deletion_only(blocks.select("case_id", "id", F.col("source_text").alias("source"), "text"), fillers).select("case_id", "id", "deleted_only")
+    rows = blocks.join(found, ["case_id", "id"], "left").join(edits, ["case_id", "id"])
+    known, cleaned = F.coalesce(F.col("mode").isin("verbatim", "spoken_cleanup"), F.lit(False)), F.col("mode") == "spoken_cleanup"
+    rules = [
+        ("mode", ~known),
+        ("attribution", known & blank(F.col("attribution"))),
+        ("short", known & (F.length(quote_form(F.col("text"))) < least)),
+        ("not_verbatim", (F.col("mode") == "verbatim") & ~F.coalesce("_verbatim", F.lit(False))),
+        ("no_locator", cleaned & blank(F.col("source_locator"))),
+        ("no_source", cleaned & blank(F.col("source_text"))),
+        ("misplaced", cleaned & ~F.coalesce("_placed", F.lit(False))),
+        ("not_deletion_only", cleaned & ~F.col("deleted_only")),
+    ]
+    errors = F.array_compact(F.array(*(F.when(F.coalesce(r, F.lit(False)), F.lit(x)) for x, r in rules)))
+    return rows.withColumn("errors", errors).filter(F.size("errors") > 0).select("case_id", "id", "errors")
 
 
 def html_cards(rows: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracequill.functions import text as T
+from tracequill.session import written
 
 
 def dangling(refs: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame:
@@ -32,24 +33,49 @@ def full_diff(baseline: DataFrame, current: DataFrame, keys: list[str]) -> DataF
     return old.join(new, keys, "full").select(*keys, change.alias("change"))
 
 
-def near_duplicates(claims: DataFrame, threshold: float = 0.9) -> DataFrame:
-    """(case_id, id) of claims that are near duplicates of any earlier claim of the case, by Jaccard of bigrams.
+#: Hash buckets of grams whose counts order prefixes; a bounded table, whatever the corpus.
+GRAM_BUCKETS = 4096
+
+
+def similar_pairs(rows: DataFrame, threshold: float) -> DataFrame:
+    """(case_id, p, pos), p < pos, of rows of a case whose gram sets have a Jaccard similarity of ``threshold`` or more. ``rows``: case_id, pos, g; a written table.
 
-    Prefix filter: sets at ``threshold`` or more share one of their first floor((1 - t) n) + 1
-    grams in any one order, so only those are joined, with sizes that fit. The order is that of a
-    hash, so the prefix is cut inside the row and no other gram is ever a row.
+    Prefix filter: such sets share one of their first floor((1 - t) n) + 1 grams in any one order. Grams go by
+    how often their hash bucket occurs, rarest first, so common ones join nothing. The prefix is cut in the row, and no other gram is ever a row.
     """
-    grams = claims.select("case_id", "pos", "id", T.bigrams(F.col("statement")).alias("g")).filter(F.size("g") > 0)
+    bucket = lambda x: F.pmod(F.xxhash64(x), F.lit(GRAM_BUCKETS)).cast("int")
+    counted = rows.select(F.explode("g").alias("x")).groupBy(bucket("x").alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()  # GRAM_BUCKETS rows at most
+    often = dict.fromkeys(range(GRAM_BUCKETS), 0) | {r.b: r.n for r in counted}
+    rank = F.lit([often[i] for i in range(GRAM_BUCKETS)]).cast("array<bigint>")
     n = F.size("g")
-    ordered = F.array_sort(F.transform("g", lambda x: F.struct(F.xxhash64(x).alias("h"), x.alias("x"))))
+    ordered = F.array_sort(F.transform("g", lambda x: F.struct(F.get(rank, bucket(x)).alias("n"), F.xxhash64(x).alias("h"), x.alias("x"))))
     prefix = F.slice(ordered, F.lit(1), (F.floor((1 - threshold) * n + 1e-9) + 1).cast("int"))
-    rows = grams.select("case_id", "pos", n.alias("n"), F.explode(prefix).alias("x")).select("case_id", F.col("x.x").alias("gram"), "pos", "n")
-    left = rows.select("case_id", "gram", F.col("pos").alias("p"), F.col("n").alias("m"))
+    first = rows.filter(n > 0).select("case_id", "pos", n.alias("n"), F.explode(prefix).alias("x")).select("case_id", F.col("x.x").alias("gram"), "pos", "n")
+    left = first.select("case_id", "gram", F.col("pos").alias("p"), F.col("n").alias("m"))
     close = F.least("m", "n") >= threshold * F.greatest("m", "n") - 1e-9
-    pairs = left.join(rows, ["case_id", "gram"]).filter((F.col("p") < F.col("pos")) & close).select("case_id", "p", "pos").distinct()
-    first = grams.select("case_id", F.col("pos").alias("p"), F.col("g").alias("h"))
-    checked = pairs.join(grams, ["case_id", "pos"]).join(first, ["case_id", "p"]).filter(T.jaccard(F.col("g"), F.col("h")) >= threshold)
-    return checked.select("case_id", "id").distinct()
+    pairs = left.join(first, ["case_id", "gram"]).filter((F.col("p") < F.col("pos")) & close).select("case_id", "p", "pos").distinct()
+    earlier = rows.select("case_id", F.col("pos").alias("p"), F.col("g").alias("h"))
+    return pairs.join(rows, ["case_id", "pos"]).join(earlier, ["case_id", "p"]).filter(T.jaccard(F.col("g"), F.col("h")) >= threshold).select("case_id", "p", "pos")
+
+
+def _texts(claims: DataFrame) -> DataFrame:
+    """case_id, plain (a normalised text), pos (of its first claim) and g (its grams) of each distinct text, as a table."""
+    first = claims.select("case_id", "pos", T.normalized_claim(F.col("statement")).alias("plain"), "statement").groupBy("case_id", "plain").agg(F.min("pos").alias("pos"), F.min_by("statement", "pos").alias("statement"))
+    return written(claims.sparkSession, first.select("case_id", "plain", "pos", T.bigrams(F.col("statement")).alias("g")), "claim-texts")
+
+
+def near_duplicates(claims: DataFrame, threshold: float = 0.9) -> DataFrame:
+    """(case_id, id) of claims that are near duplicates of any earlier claim of the case, by Jaccard of bigrams.
+
+    Equal texts are one until the end: a claim is a near duplicate if its text has an earlier claim, or a similar text has.
+    """
+    texts = _texts(claims)
+    near = similar_pairs(texts, threshold)
+    least = near.groupBy("case_id", "pos").agg(F.min("p").alias("p"))
+    earliest = texts.join(least, ["case_id", "pos"], "left").filter(F.size("g") > 0)
+    known = earliest.select("case_id", "plain", F.least("pos", F.coalesce("p", "pos")).alias("_first"))
+    own = claims.select("case_id", "pos", "id", T.normalized_claim(F.col("statement")).alias("plain"))
+    return own.join(known, ["case_id", "plain"]).filter(F.col("pos") > F.col("_first")).select("case_id", "id").distinct()
 
 
 def quoted_in(quotes: DataFrame, least: int = 6) -> DataFrame:
@@ -67,21 +93,39 @@ def quoted_in(quotes: DataFrame, least: int = 6) -> DataFrame:
     return whole.groupBy("case_id", "quote_id").agg(F.min("id").alias("first_match"), F.count(F.lit(1)).alias("matches"))
 
 
+def leaders(pairs: DataFrame) -> DataFrame:
+    """(case_id, pos, lead) of all rows that the greedy order drops: ``lead`` is the first kept row that each resembles.
+
+    ``pairs``: case_id, p, pos of similar rows, p earlier. A row is kept if no kept row before it is
+    similar. In each round rows whose earlier similar rows are all decided are decided; rounds follow the
+    longest chain of rows that wait for one another, and only undecided pairs go on.
+    """
+    spark = pairs.sparkSession
+    edges = written(spark, pairs, "similar")
+    open_, dropped = edges, edges.select("case_id", "pos").limit(0)
+    while not open_.isEmpty():
+        waiting = open_.select("case_id", "pos").distinct()
+        free = open_.select("case_id", "p").distinct().join(waiting.withColumnRenamed("pos", "p"), ["case_id", "p"], "left_anti")
+        gone = written(spark, open_.join(free, ["case_id", "p"], "left_semi").select("case_id", "pos").distinct(), "dropped")
+        dropped = dropped.unionByName(gone)
+        rest = open_.join(gone, ["case_id", "pos"], "left_anti").join(gone.withColumnRenamed("pos", "p"), ["case_id", "p"], "left_anti")
+        open_ = written(spark, rest, "undecided")
+    kept = edges.select("case_id", F.col("p").alias("pos")).distinct().join(dropped, ["case_id", "pos"], "left_anti")
+    led = edges.join(dropped, ["case_id", "pos"], "left_semi").join(kept.withColumnRenamed("pos", "p"), ["case_id", "p"], "left_semi")
+    return led.groupBy("case_id", "pos").agg(F.min("p").alias("lead"))
+
+
 def greedy_merge(claims: DataFrame, threshold: float = 0.93) -> DataFrame:
-    """(case_id, id, kept_id): each claim joins the first retained claim it resembles, else it is retained.
+    """(case_id, id, kept_id): in order of arrival each claim joins the kept claim of equal text, else the first kept one it resembles, else it is kept.
 
-    The order of arrival decides, so a case is folded as a whole; its claims meet in one row by nature.
+    Equal texts are one; similar ones are found by :func:`similar_pairs` and decided by rounds (:func:`leaders`), so a case may hold any number of claims.
     """
-    grams = claims.groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("pos", "id", T.bigrams(F.col("statement")).alias("g")))).alias("c"))
-    like = (
-        "size(x.g) > 0 AND size(k.g) > 0 AND least(size(x.g), size(k.g)) >= {t} * greatest(size(x.g), size(k.g)) AND "
-        "size(array_intersect(x.g, k.g)) / (size(x.g) + size(k.g) - size(array_intersect(x.g, k.g))) >= {t}"
-    ).format(t=threshold)
-    fold = f"""aggregate(c, named_struct('kept', cast(array() AS array<struct<id:string,g:array<string>>>), 'out', cast(array() AS array<struct<id:string,kept_id:string>>)), (a, x) ->
-      CASE WHEN exists(a.kept, k -> {like})
-      THEN named_struct('kept', a.kept, 'out', array_append(a.out, named_struct('id', x.id, 'kept_id', element_at(filter(a.kept, k -> {like}), 1).id)))
-      ELSE named_struct('kept', array_append(a.kept, named_struct('id', x.id, 'g', x.g)), 'out', array_append(a.out, named_struct('id', x.id, 'kept_id', x.id))) END, a -> a.out)"""
-    return grams.select("case_id", F.explode(F.expr(fold)).alias("x")).select("case_id", "x.*")
+    texts = _texts(claims)
+    led = leaders(similar_pairs(texts, threshold))
+    places = texts.join(led, ["case_id", "pos"], "left").select("case_id", "plain", F.coalesce("lead", "pos").alias("_lead"))
+    own = claims.select("case_id", "pos", "id", T.normalized_claim(F.col("statement")).alias("plain")).join(places, ["case_id", "plain"])
+    named = claims.groupBy("case_id", F.col("pos").alias("_lead")).agg(F.min("id").alias("kept_id"))
+    return own.join(named, ["case_id", "_lead"]).select("case_id", "id", "kept_id")
 
 
 def importance_histogram(claims: DataFrame) -> DataFrame:

@@ -71,11 +71,33 @@ def l07_contained_quotes(spark, sf):
     return C.contained_quotes(rows).select("case_id", "id", "verbatim")
 
 
+FILLERS = ["um", "well"]
+
+
+def _edits(spark, sf):
+    """Claims as published texts, and sources with fillers, stutters, additions, lost words or another order, by the text's length."""
+    text, n = F.col("statement"), F.length("statement")
+    head, tail = F.substr(text, F.lit(1), (n / 2).cast("int")), F.substr(text, (n / 2).cast("int") + 1)
+    kind = n % 5
+    source = F.when(kind == 0, F.concat(F.lit("um "), head, F.lit(", well "), tail, F.lit(" um"))).when(kind == 1, F.concat(F.substring(text, 1, 4), text)).when(kind == 3, F.concat(F.lit("um "), text, F.lit(" entirely"))).otherwise(text)
+    published = F.when(kind == 2, F.concat(text, F.lit(" entirely"))).when(kind == 4, F.concat(tail, head)).otherwise(text)
+    return X.claims(spark, sf).select("case_id", "id", "pos", source.alias("source"), published.alias("text"))
+
+
 def l08_deletion_only(spark, sf):
-    words, half = F.split("statement", " "), F.floor(F.size(F.split("statement", " ")) / 2).cast("int")
-    head, tail = F.slice(words, F.lit(1), half), F.slice(words, half + 1, F.size(words))
-    source = F.concat(F.lit("um "), F.array_join(head, " "), F.lit(", well "), F.array_join(tail, " "), F.when(F.col("pos") % 3 == 0, " entirely").otherwise(" um"))
-    return C.deletion_only(X.claims(spark, sf).select("case_id", "id", "pos", source.alias("source"), F.col("statement").alias("text")), ["um", "well"]).select("case_id", "id", "deleted_only")
+    return C.deletion_only(_edits(spark, sf), FILLERS).select("case_id", "id", "deleted_only")
+
+
+def l07_controlled_quotes(spark, sf):
+    """Blocks quote their claim's source or the next one's; spans hold the sources, with times."""
+    rows = _edits(spark, sf).withColumn("n", F.length("source"))
+    at = lambda p: F.concat(F.lpad((p % 60).cast("string"), 2, "0"), F.lit(":07.5–"), F.lpad((p % 60).cast("string"), 2, "0"), F.lit(":59"))
+    spans = rows.select("case_id", F.col("id").alias("ref"), at(F.col("pos")).alias("locator"), F.col("source").alias("quote"))
+    refs = F.when(F.col("n") % 7 == 0, F.array(F.concat(F.lit("E"), F.lpad((F.col("pos") + 1).cast("string"), 4, "0")))).otherwise(F.array("id", F.lit("E0001")))
+    mode = F.when(F.col("n") % 11 == 0, "free").when(F.col("n") % 2 == 0, "verbatim").otherwise("spoken_cleanup")
+    locator = F.when(F.col("n") % 13 == 0, "").otherwise(F.replace(at(F.col("pos") + F.when(F.col("n") % 17 == 0, 1).otherwise(0)), F.lit(".5"), F.lit("")))
+    blocks = rows.select("case_id", "id", mode.alias("mode"), F.when(F.col("n") % 19 > 0, "Ann").alias("attribution"), "text", locator.alias("source_locator"), F.when(F.col("n") % 23 > 0, F.col("source")).alias("source_text"), refs.alias("evidence_refs"))
+    return C.controlled_quotes(blocks, spans, FILLERS).select("case_id", "id", F.array_join("errors", ",").alias("errors"))
 
 
 def k07_html(spark, sf):
@@ -112,7 +134,28 @@ QUERIES = {n: f for n, f in list(globals().items()) if n[0] in "ulgjafkp" and n[
 
 _SPAN = f"""{X.CLAIMS}, sp AS (SELECT case_id, id, pos, statement, provenance, importance, theme_id, 'S' || (pos % 3) AS seg, substr(statement, 1, 12) AS q, 'P' || lpad(pos::VARCHAR, 6, '0') AS u0, 'P' || lpad((pos + 1)::VARCHAR, 6, '0') AS u1 FROM claims)"""
 _CARD = "'<article><h3>' || id || '</h3><p>' || replace(replace(replace(replace(replace(statement, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;') || '</p><sup>' || theme_id || ' ' || id || '</sup></article>'"
+def _mechanical(gone, before, after):
+    return f"({gone} = '' OR regexp_full_match({gone}, '(?:um|well)+') OR ({before} <> '' AND (suffix({before}, {gone}) OR suffix({gone}, right({before}, 6)))) OR ({after} <> '' AND (prefix({after}, {gone}) OR prefix({gone}, left({after}, 6)))))"
+
+
+_EDIT = f"""{X.CLAIMS}, ed AS (SELECT case_id, id, pos, CASE length(statement) % 5 WHEN 0 THEN 'um ' || left(statement, length(statement) // 2) || ', well ' || substr(statement, length(statement) // 2 + 1) || ' um' WHEN 1 THEN left(statement, 4) || statement
+  WHEN 3 THEN 'um ' || statement || ' entirely' ELSE statement END AS source, CASE length(statement) % 5 WHEN 2 THEN statement || ' entirely' WHEN 4 THEN substr(statement, length(statement) // 2 + 1) || left(statement, length(statement) // 2) ELSE statement END AS text FROM claims),
+pe AS (SELECT case_id, id, {X.plain(X.norm('source'))} AS s, {X.plain(X.norm('text'))} AS t FROM ed),
+fo AS (SELECT *, list_reduce(list_concat([{{'p': 0, 'at': 0, 'k': 0, 'ok': true, 'c': ''}}], list_transform(regexp_extract_all(s, '(?s).'), lambda c: {{'p': 0, 'at': 0, 'k': 0, 'ok': true, 'c': c}})), lambda a, x:
+  CASE WHEN NOT a.ok THEN a WHEN a.p < length(t) AND x.c = substr(t, a.p + 1, 1) THEN {{'p': a.p + 1, 'at': a.k + 1, 'k': a.k + 1, 'ok': {_mechanical('substr(s, a.at + 1, a.k - a.at)', 'left(t, a.p)', 'substr(s, a.k + 1)')}, 'c': ''}}
+  ELSE {{'p': a.p, 'at': a.at, 'k': a.k + 1, 'ok': a.ok, 'c': ''}} END) AS f FROM pe),
+de AS (SELECT case_id, id, s <> '' AND t <> '' AND f.ok AND f.p = length(t) AND {_mechanical('substr(s, f.at + 1)', 't', "''")} AS deleted_only FROM fo)"""
 ORACLE = {
+    "l08_deletion_only": f"WITH {_EDIT} SELECT * FROM de",
+    "l07_controlled_quotes": f"""WITH {_EDIT}, q AS (SELECT ed.*, s, t, length(source) AS n, deleted_only FROM ed JOIN pe USING (case_id, id) JOIN de USING (case_id, id)),
+bl AS (SELECT *, CASE WHEN n % 11 = 0 THEN 'free' WHEN n % 2 = 0 THEN 'verbatim' ELSE 'spoken_cleanup' END AS mode, CASE WHEN n % 7 = 0 THEN ['E' || lpad((pos + 1)::VARCHAR, 4, '0')] ELSE list_distinct([id, 'E0001']) END AS refs,
+  CASE WHEN n % 23 > 0 THEN s ELSE '' END AS st, CASE WHEN n % 17 = 0 THEN pos + 1 ELSE pos END AS lp FROM q),
+rf AS (SELECT case_id, id, unnest(refs) AS ref, t, st, n, lp FROM bl),
+ok AS (SELECT rf.case_id, rf.id, bool_or(contains(q.s, rf.t)) AS verbatim, bool_or(rf.n % 13 > 0 AND rf.lp % 60 = q.pos % 60 AND contains(q.s, rf.st)) AS placed FROM rf JOIN q ON q.case_id = rf.case_id AND q.id = rf.ref GROUP BY ALL),
+e AS (SELECT bl.case_id, bl.id, array_to_string(list_filter([CASE WHEN mode = 'free' THEN 'mode' END, CASE WHEN mode <> 'free' AND n % 19 = 0 THEN 'attribution' END, CASE WHEN mode <> 'free' AND length(t) < 6 THEN 'short' END,
+  CASE WHEN mode = 'verbatim' AND NOT coalesce(verbatim, false) THEN 'not_verbatim' END, CASE WHEN mode = 'spoken_cleanup' AND n % 13 = 0 THEN 'no_locator' END, CASE WHEN mode = 'spoken_cleanup' AND n % 23 = 0 THEN 'no_source' END,
+  CASE WHEN mode = 'spoken_cleanup' AND NOT coalesce(placed, false) THEN 'misplaced' END, CASE WHEN mode = 'spoken_cleanup' AND NOT (deleted_only AND n % 23 > 0) THEN 'not_deletion_only' END], lambda x: x IS NOT NULL), ',') AS errors FROM bl LEFT JOIN ok USING (case_id, id))
+SELECT * FROM e WHERE errors <> ''""",
     "u02_first_findings": f"WITH {X.UNITS} SELECT case_id, text AS message, min(pos) AS pos FROM units GROUP BY ALL",
     "l10_severities": f"WITH {X.UNITS} SELECT case_id, CASE WHEN regexp_matches(text, 'tion|^Th|[0-9]{{4}}') THEN 'diagnostic' ELSE 'hard' END AS severity, count(*) AS n FROM units GROUP BY ALL",
     "j11_same_theme": f"WITH {X.CLAIMS}, t AS (SELECT DISTINCT case_id, theme_id FROM claims WHERE pos % 9 = 0) SELECT case_id, id FROM claims JOIN t USING (case_id, theme_id) WHERE pos % 9 <> 0",

@@ -82,8 +82,12 @@ def _doubled(spark, sf):
     return claims.unionByName(again)
 
 
-_DOUBLED = f"""{X.CLAIMS}, dbl AS (SELECT case_id, pos::BIGINT AS pos, id, statement FROM claims UNION ALL SELECT case_id, pos + 100000, 'D' || id, statement || '!!' FROM claims WHERE pos % 8 = 1),
-gr AS (SELECT case_id, pos, id, {X.grams(X.plain('statement'))} AS g FROM dbl)"""
+_DOUBLED = f"""{X.CLAIMS}, dbl AS (SELECT case_id, pos::BIGINT AS pos, id, statement FROM claims UNION ALL SELECT case_id, pos + 100000, 'D' || id, statement || '!!' FROM claims WHERE pos % 8 = 1)"""
+_SIMILAR = f"""{_DOUBLED},
+tx AS (SELECT *, {X.grams('plain')} AS g FROM (SELECT case_id, {X.plain('statement')} AS plain, min(pos) AS pos FROM dbl GROUP BY ALL)),
+px AS (SELECT case_id, pos, len(g) AS n, unnest(list_sort(g)[1:(floor((1 - THRESHOLD) * len(g) + 1e-9) + 1)::BIGINT]) AS x FROM tx),
+cd AS (SELECT DISTINCT a.case_id, a.pos AS p, b.pos AS pos FROM px a JOIN px b ON a.case_id = b.case_id AND a.x = b.x AND a.pos < b.pos AND least(a.n, b.n) >= THRESHOLD * greatest(a.n, b.n) - 1e-9),
+sim AS (SELECT cd.* FROM cd JOIN tx a ON a.case_id = cd.case_id AND a.pos = p JOIN tx b ON b.case_id = cd.case_id AND b.pos = cd.pos WHERE {X.jaccard('a.g', 'b.g')} >= THRESHOLD)"""
 
 
 def j08_source_overlap(spark, sf):
@@ -360,7 +364,16 @@ ORACLE = {
     "j04_missing_reviews": f"WITH {X.REVIEWS} SELECT case_id, id FROM claims c WHERE NOT EXISTS (SELECT 1 FROM reviews r WHERE r.case_id = c.case_id AND r.evidence_ref = c.id AND confidence > 0.7)",
     "j05_body_cited": f"WITH {X.REVIEWS} SELECT case_id, id, importance FROM claims c WHERE EXISTS (SELECT 1 FROM reviews r WHERE r.case_id = c.case_id AND r.evidence_ref = c.id AND role = 'A' AND verdict = 'covered')",
     "j06_evidence_diff": f"WITH {_CHANGE} SELECT * FROM chg",
-    "j07_near_duplicates": f"WITH {_DOUBLED} SELECT DISTINCT b.case_id, b.id FROM gr a JOIN gr b ON a.case_id = b.case_id AND a.pos < b.pos WHERE {X.jaccard('a.g', 'b.g')} >= 0.9",
+    "j07_near_duplicates": f"""WITH {_SIMILAR.replace('THRESHOLD', '0.9')}, f AS (SELECT case_id, pos, min(p) AS p FROM sim GROUP BY ALL)
+SELECT DISTINCT d.case_id, d.id FROM dbl d JOIN tx ON d.case_id = tx.case_id AND {X.plain('d.statement')} = tx.plain LEFT JOIN f ON f.case_id = tx.case_id AND f.pos = tx.pos WHERE len(tx.g) > 0 AND d.pos > least(tx.pos, coalesce(f.p, tx.pos))""",
+    "w10_greedy_merge": f"""WITH RECURSIVE {_SIMILAR.replace('THRESHOLD', '0.93')}, vx AS (SELECT case_id, pos, list(p) FILTER (p IS NOT NULL) AS nb, row_number() OVER (PARTITION BY case_id ORDER BY pos) AS i
+  FROM (SELECT case_id, pos, p FROM sim UNION ALL SELECT case_id, p, NULL FROM sim) GROUP BY case_id, pos),
+st(case_id, i, kept) AS (SELECT DISTINCT case_id, 0::BIGINT, []::BIGINT[] FROM vx UNION ALL
+  SELECT v.case_id, v.i, CASE WHEN list_has_any(kept, coalesce(nb, [])) THEN kept ELSE list_append(kept, v.pos) END FROM st JOIN vx v ON v.case_id = st.case_id AND v.i = st.i + 1),
+kp AS (SELECT case_id, arg_max(kept, i) AS kept FROM st GROUP BY case_id),
+ld AS (SELECT v.case_id, v.pos, list_min(list_intersect(nb, kept)) AS lead FROM vx v JOIN kp ON v.case_id = kp.case_id WHERE NOT list_contains(kept, v.pos)),
+pl AS (SELECT tx.case_id, tx.plain, coalesce(ld.lead, tx.pos) AS lead FROM tx LEFT JOIN ld ON ld.case_id = tx.case_id AND ld.pos = tx.pos)
+SELECT d.case_id, d.id, k.id AS kept_id FROM dbl d JOIN pl ON pl.case_id = d.case_id AND pl.plain = {X.plain('d.statement')} JOIN dbl k ON k.case_id = d.case_id AND k.pos = pl.lead""",
     "j08_source_overlap": f"WITH {X.UNITS}, o AS (SELECT case_id, id AS old_id, unnest(range(pos, pos + 3)) AS u FROM units), n AS (SELECT case_id, id AS new_id, unnest(range(pos, pos + 2)) AS u FROM units) SELECT case_id, old_id, new_id, count(*) AS shared FROM o JOIN n USING (case_id, u) GROUP BY ALL",
     "j10_effective_decisions": f"WITH {_TRIG} SELECT case_id, id, CASE WHEN triggers <> '' AND length(id) % 2 = 1 THEN 'subsumed' ELSE relation END AS relation FROM tr",
     "j12_duplicate_sources": "SELECT doc_id, first_id FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS first_id FROM documents) WHERE doc_id <> first_id",
