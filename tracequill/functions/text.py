@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .nfkc import nfkc
+
 #: White space of the web platform: ASCII, no-break and typographic spaces.
 SPACE = r"[\s\u000B   -     　﻿]"
 SENTENCE_END = "[。！？!?]$"
@@ -24,8 +26,13 @@ def compact_characters(text: Column) -> Column:
 
 
 def normalized_claim(text: Column) -> Column:
-    """For comparisons: without punctuation, symbols and space, lower case."""
-    return F.lower(F.regexp_replace(normalize_text(text), r"[\p{P}\p{S}]|" + SPACE, ""))
+    """For comparisons: in Unicode's compatibility form, without punctuation, symbols and space, lower case."""
+    return F.lower(F.regexp_replace(nfkc(normalize_text(text)), r"[\p{P}\p{S}]|" + SPACE, ""))
+
+
+def normalize_review_text(text: Column) -> Column:
+    """In Unicode's compatibility form, without white space; null counts as empty."""
+    return F.regexp_replace(nfkc(F.coalesce(text, F.lit(""))), SPACE + "+", "")
 
 
 def bigrams(text: Column) -> Column:

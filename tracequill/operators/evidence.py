@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracequill.functions import text as T
+from tracequill.functions.folds import settled
 from tracequill.session import written
 
 
@@ -84,9 +85,10 @@ def quoted_in(quotes: DataFrame, least: int = 6) -> DataFrame:
     Quotes of ``least`` characters or more are found by their first ``least``, which are held against
     every such gram of the others, so no case is paired with itself as a whole.
     """
-    letters = F.split("plain", "")
+    letters = F.col("letters")
     key = lambda c, i: F.array_join(F.slice(c, i, F.lit(least)), "")
-    held = quotes.filter(F.length("plain") >= least)
+    held = settled(quotes.select("case_id", "id", "plain")).filter(F.length("plain") >= least)
+    held = settled(held.withColumn("letters", F.split("plain", "")))
     grams = held.select("case_id", "id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("plain") - least + 1), lambda i: F.concat(*(F.element_at(letters, i + k) for k in range(least)))))).alias("gram"))
     found = held.select("case_id", F.col("id").alias("quote_id"), F.col("plain").alias("quote"), key(letters, F.lit(1)).alias("gram")).join(grams, ["case_id", "gram"])
     whole = found.join(held.select("case_id", "id", "plain"), ["case_id", "id"]).filter(F.contains("plain", "quote"))

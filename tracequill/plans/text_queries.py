@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -19,6 +21,22 @@ def f02_compact_characters(spark, sf):
     return table(spark, sf, "documents").select("doc_id", T.compact_characters(F.col("text")).cast("long").alias("n"))
 
 
+def _unusual(text):
+    """``text`` with its accents apart, full-width digits and a ligature."""
+    for i in range(0xC0, 0x180):
+        if len(apart := unicodedata.normalize("NFD", chr(i))) == 2:
+            text = F.replace(text, F.lit(chr(i)), F.lit(apart))
+    return F.translate(F.replace(text, F.lit("fi"), F.lit("ﬁ")), "0123456789", "０１２３４５６７８９")
+
+
+def f03_compatibility_forms(spark, sf):
+    return X.claims(spark, sf).select("case_id", "id", T.normalized_claim(_unusual(F.col("statement"))).alias("plain"))
+
+
+def f04_review_text(spark, sf):
+    return X.claims(spark, sf).select("case_id", "id", F.md5(T.normalize_review_text(_unusual(F.col("statement"))).cast("binary")).alias("digest"))
+
+
 def f03_normalized_claim(spark, sf):
     return X.claims(spark, sf).select("case_id", "id", T.normalized_claim(F.col("statement")).alias("plain"))
 
@@ -97,12 +115,14 @@ def l09_readable_paragraphs(spark, sf):
 
 
 TERMS = ["the", "que", "und", "tion", "mail", "token", "xyzzy"]
-NAMES = "f01_normalize_text f02_compact_characters f03_normalized_claim f05_bigrams f06_similarity f07_timestamps f08_adaptive_targets f09_reading_minutes f10_round_rate f11_end_sentence f12_escape_html f13_markdown_cell f14_content_hash f15_valid_dates f20_term_hits f22_guide_characters f23_percentage l04_corruption l09_readable_paragraphs"
+NAMES = "f01_normalize_text f02_compact_characters f03_normalized_claim f03_compatibility_forms f04_review_text f05_bigrams f06_similarity f07_timestamps f08_adaptive_targets f09_reading_minutes f10_round_rate f11_end_sentence f12_escape_html f13_markdown_cell f14_content_hash f15_valid_dates f20_term_hits f22_guide_characters f23_percentage l04_corruption l09_readable_paragraphs"
 QUERIES = {n: globals()[n] for n in NAMES.split()}
 
 _ESC = "replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '{q}')"
 _STAMP = "lpad((m // 3600000)::VARCHAR, greatest(2, length((m // 3600000)::VARCHAR))::INT, '0') || ':' || lpad((m % 3600000 // 60000)::VARCHAR, 2, '0') || ':' || lpad((m % 60000 // 1000)::VARCHAR, 2, '0') || '.' || lpad((m % 1000)::VARCHAR, 3, '0')"
 ORACLE = {
+    "f03_compatibility_forms": f"WITH {X.CLAIMS} SELECT case_id, id, {X.plain('nfc_normalize(statement)')} AS plain FROM claims",
+    "f04_review_text": f"WITH {X.CLAIMS} SELECT case_id, id, md5(regexp_replace(nfc_normalize(statement), '\\s+', '', 'g')) AS digest FROM claims",
     "f01_normalize_text": f"SELECT page_id, md5({X.norm('html')}) AS digest, length({X.norm('html')}) AS n FROM pages",
     "f02_compact_characters": f"SELECT doc_id, {X.compact('text')} AS n FROM documents",
     "f03_normalized_claim": f"WITH {X.CLAIMS} SELECT case_id, id, {X.plain('statement')} AS plain FROM claims",
