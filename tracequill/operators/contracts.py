@@ -78,11 +78,7 @@ def attribution(claims: DataFrame, aliases: DataFrame, verbs: list[str]) -> Data
     return hits.groupBy("case_id", "id").agg(F.max_by("name", F.struct(F.length("alias"), "name")).alias("name"))
 
 
-#: Words that mark a reason, a conclusion, a risk or an outlook.
-KEYWORDS = "因为|所以|意味着|关键|核心|结论|风险|限制|但是|未来"
-
-
-def importance(statement: Column, index: Column, tags: list[str], keywords: str = KEYWORDS) -> Column:
+def importance(statement: Column, index: Column, tags: list[str], keywords: str) -> Column:
     """Heuristic level from figures, tags, keywords and length; every second or third index can rise above low."""
     low = F.lower(statement)
     tagged = F.lit(False)
