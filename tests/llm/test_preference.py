@@ -1,5 +1,6 @@
 import time
 
+import duckdb
 from pyspark.sql import functions as F
 
 from tracequill.llm import preference as P
@@ -39,7 +40,7 @@ def test_conversations_branch_at_their_last_reply(spark):
     turns = [
         (0, 0, "system", "s"), (0, 1, "user", "a"), (0, 2, "assistant", "A"), (0, 3, "user", "b"), (0, 4, "assistant", "B"), (0, 5, "user", "bye"),
         (1, 0, "user", "x"), (1, 1, "assistant", "X"), (2, 0, "user", "alone"), (2, 1, "assistant", "yes"), (4, 0, "user", "q"), (5, 0, "user", "w"), (5, 1, "assistant", "W"),
-        (7, 0, "assistant", "R"), (6, 0, "assistant", "R"), (None, 0, "user", "d"),
+        (7, 0, "assistant", "R"), (6, 0, "assistant", "R"), (None, 0, "user", "d"), (None, 1, "assistant", "D"),
     ]
     rows = spark.createDataFrame([(*t, "x") for t in turns], "conv_id long, turn long, role string, text string, own string")
     got = {r.pair_id: r for r in P.formatted(P.branched(rows)).collect()}
@@ -47,6 +48,12 @@ def test_conversations_branch_at_their_last_reply(spark):
     assert got[0].n_prompt_turns == 4 and "|>\nB<|end|>" in got[0].chosen_completion and "|>\nX<|end|>" in got[0].rejected_completion
     assert got[1].n_prompt_turns == 1 and "|>\nB<|end|>" in got[1].rejected_completion
     assert [got[k].status for k in (0, 1, 2, 4, 5, 6, 7, None)] == ["ok", "ok", "unpaired", "unpaired", "unpaired", "identical", "identical", "unpaired"]
+    assert got[None].chosen_completion == "<|user|>\nd<|end|>\n<|assistant|>\nD<|end|>\n" and got[None].rejected_completion == ""
+    db = duckdb.connect()
+    db.register("conversations", rows.toPandas().astype({"conv_id": "Int64"}))
+    sql = db.execute(P.OP3_SQL)
+    at = [d[0] for d in sql.description]
+    assert sorted(map(repr, sql.fetchall())) == sorted(repr(tuple(r[c] for c in at)) for r in got.values())
     assert P.formatted(P.branched(rows.limit(0))).count() == 0
 
 

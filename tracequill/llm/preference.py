@@ -93,14 +93,15 @@ def branched(conversations: DataFrame) -> DataFrame:
 
     Chosen are the turns up to it, rejected the same turns with the last assistant turn of the
     neighbour (conversations 2k and 2k + 1 are neighbours) in its place. Where either has no assistant
-    turn, chosen is the whole conversation and nothing is rejected.
+    turn, chosen is the whole conversation and nothing is rejected. Turns without a conv_id are one
+    conversation, which has no neighbour.
     """
-    odd = F.pmod("conv_id", F.lit(2))
+    odd = F.coalesce(F.pmod("conv_id", F.lit(2)), F.lit(0))
     sides = (F.array_sort(F.collect_list(F.when(odd == i, _turn()))).alias(x) for i, x in enumerate("ab"))
     both = conversations.withColumn("turn", F.col("turn").cast("long")).groupBy(F.floor(F.col("conv_id") / 2).cast("long").alias("k")).agg(*sides)
     one = lambda i, own, other: F.struct((2 * F.col("k") + i).alias("pair_id"), F.col(own).alias("own"), F.col(other).alias("other"))
     each = both.select(F.explode(F.array(one(0, "a", "b"), one(1, "b", "a"))).alias("x")).select("x.*")
-    each = each.filter("size(own) > 0 OR pair_id IS NULL").distinct()
+    each = each.filter("size(own) > 0")
     reply = f"x -> x.role = '{TRAINED_ROLE}'"
     last = f"size(own) - array_position(transform(reverse(own), {reply}), true) + 1"
     ends = each.selectExpr("pair_id", "own", f"filter(other, {reply}) AS replies", f"IF(exists(own, {reply}), cast({last} AS int), 0) AS last")
@@ -126,7 +127,7 @@ s AS (SELECT pair_id, count(*) FILTER (side = 'c') AS nc, count(*) FILTER (side
 d AS (SELECT c.pair_id, min(c.i) AS first FROM o c JOIN o r ON c.pair_id = r.pair_id AND c.i = r.i AND c.side = 'c' AND r.side = 'r'
       WHERE c.role <> r.role OR c.text <> r.text GROUP BY c.pair_id),
 n AS (SELECT s.*, coalesce(d.first - 1, least(nc, nr)) AS n FROM s LEFT JOIN d USING (pair_id)),
-x AS (SELECT o.pair_id, side, i, n.n, role, '<|' || role || '|>' || chr(10) AS head, text || '{END}' AS tail FROM o JOIN n USING (pair_id)),
+x AS (SELECT o.pair_id, side, i, n.n, role, '<|' || role || '|>' || chr(10) AS head, text || '{END}' AS tail FROM o JOIN n ON o.pair_id IS NOT DISTINCT FROM n.pair_id),
 a AS (SELECT *, coalesce(sum(length(head) + length(tail) + 1) OVER (PARTITION BY pair_id, side, i > n ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS at_ FROM x),
 g AS (SELECT pair_id, side, string_agg(head || tail || chr(10), '' ORDER BY i) FILTER (i <= n) AS p,
              string_agg(head || tail || chr(10), '' ORDER BY i) FILTER (i > n) AS k,
@@ -134,7 +135,7 @@ g AS (SELECT pair_id, side, string_agg(head || tail || chr(10), '' ORDER BY i) F
                FILTER (i > n AND role = '{TRAINED_ROLE}') AS m FROM a GROUP BY pair_id, side),
 f AS (SELECT n.pair_id, n.n AS n_prompt_turns, coalesce(c.p, '') AS prompt, coalesce(c.k, '') AS chosen_completion, coalesce(c.m, '') AS chosen_mask,
              coalesce(r.k, '') AS rejected_completion, coalesce(r.m, '') AS rejected_mask, least(nc, nr) = 0 AS lone
-      FROM n LEFT JOIN g c ON c.pair_id = n.pair_id AND c.side = 'c' LEFT JOIN g r ON r.pair_id = n.pair_id AND r.side = 'r')
+      FROM n LEFT JOIN g c ON c.pair_id IS NOT DISTINCT FROM n.pair_id AND c.side = 'c' LEFT JOIN g r ON r.pair_id IS NOT DISTINCT FROM n.pair_id AND r.side = 'r')
 SELECT * EXCLUDE (lone), CASE WHEN lone THEN 'unpaired' WHEN chosen_completion = '' AND rejected_completion = '' THEN 'identical'
        WHEN chosen_mask = '' OR rejected_mask = '' THEN 'untrained' ELSE 'ok' END AS status FROM f
 """
