@@ -81,3 +81,14 @@ def test_ties_and_places_do_not_matter(spark):
     for r in neighbours.scored(docs, labels).collect():
         by_text.setdefault(rows[r.doc_id][1], set()).add(r.score)
     assert all(len(v) == 1 for v in by_text.values())
+
+
+def test_one_text_of_a_repeated_doc_id_counts(spark):
+    rows = [(i, f"word{i} text {k}") for i in range(6) for k in range(3)] + [(1, None), (None, "x")]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(6)], "doc_id long, quality int")
+    found = []
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame(order, "doc_id long, text string").repartition(5, "text")
+        found.append(neighbours.labelled_sample(docs, labels))
+    (x, y), (again, _) = found
+    assert len(x) == len(y) > 1 and (x == again).all()

@@ -116,7 +116,10 @@ def held_out(doc_id) -> F.Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels of at most ``limit`` labelled documents that aren't held out."""
+    """Features and labels of at most ``limit`` labelled documents that aren't held out.
+
+    Of several texts under one doc_id the one with the least hash counts.
+    """
     chosen = (
         labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
         .groupBy(F.col("doc_id").cast("long").alias("doc_id"))
@@ -132,7 +135,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLE
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     # At most ``limit`` rows of 12 bytes: a proven bound.
-    found = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text").dropDuplicates(["doc_id"])
+    least = F.min_by("text", F.struct(F.xxhash64("text"), F.col("text"))).alias("text")
+    found = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(least)
     rows = sorted(found.mapInArrow(run, "doc_id long, label int, x binary").collect())
     x = np.array([np.frombuffer(r.x, np.float16) for r in rows], np.float32).reshape(len(rows), SIZE)
     return x, np.array([r.label for r in rows], np.float32)
