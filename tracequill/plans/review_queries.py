@@ -26,7 +26,7 @@ WILD = {
     "speaker": "CASE WHEN n % 31 = 0 THEN 'nobody' WHEN n % 5 = 1 THEN 'unknown_safe' ELSE 'confirmed' END",
     "issues": "CASE WHEN n % 67 = 0 THEN NULL WHEN n % 21 = 0 THEN array('a', 'a') WHEN n % 33 = 0 THEN array('a', '') WHEN n % 3 = 0 THEN array('a') ELSE array() END",
     "rationale": "CASE WHEN n % 23 = 0 THEN '  ' WHEN n % 71 = 0 THEN NULL ELSE statement END",
-    "merge_refs": "CASE WHEN n % 12 = 9 THEN array('E0001') WHEN n % 24 = 21 THEN array('E9999') WHEN n % 73 = 0 THEN array('E0001', 'E0002') WHEN n % 11 = 0 THEN NULL ELSE array() END",
+    "merge_refs": "CASE WHEN n % 24 = 21 THEN array('E9999') WHEN n % 73 = 0 THEN array('E0001', 'E0002') WHEN n % 11 = 0 THEN NULL WHEN n % 12 = 9 THEN array('E0001') ELSE array() END",
     "replacements": "CASE WHEN n % 24 = 0 THEN array('one', 'two') WHEN n % 36 = 0 THEN array('one', ' ') WHEN n % 25 = 0 THEN array('one') ELSE array() END",
     "codes": "CASE WHEN n % 79 = 0 THEN NULL WHEN n % 15 = 0 THEN array('support_gap', 'support_gap') WHEN n % 27 = 0 THEN array('odd') WHEN n % 6 = 0 THEN array('overstatement') WHEN n % 49 = 0 THEN array('support_gap') ELSE array() END",
 }
@@ -138,7 +138,7 @@ def _rulings(rows, disputes):
     lengths = rows.select("case_id", F.col("id").alias("ref"), F.col("n").alias("k"), "m").filter("m % 7 <> 0")
     fields = [F.expr(v).cast("double" if c == "confidence" else "string").alias(c) for c, v in _RULED.items()]
     triggers = F.when(F.col("k") % 41 == 0, F.array(F.lit("verdict_conflict"))).otherwise(F.col("triggers"))
-    on = disputes.join(lengths, ["case_id", "ref"]).filter("k % 61 <> 0").select("case_id", "ref", triggers.alias("triggers"), *fields)
+    on = disputes.join(lengths, ["case_id", "ref"]).filter("k % 36 <> 0").select("case_id", "ref", triggers.alias("triggers"), *fields)
     beside = lengths.filter("k % 103 = 0").join(disputes, ["case_id", "ref"], "left_anti").select("case_id", "ref", F.array(F.lit("verdict_conflict")).alias("triggers"), *fields)
     return on.unionByName(beside)
 
@@ -157,7 +157,7 @@ compared AS (SELECT a.case_id, a.ref, a.verdict AS v1, b.verdict AS v2, list_fil
   FROM targets a JOIN d2 b USING (case_id, ref)),
 disputes AS (SELECT * FROM compared WHERE len(triggers) > 0),
 lengths AS (SELECT case_id, id AS ref, n AS k, m FROM sized WHERE m % 7 <> 0),
-rulings AS (SELECT case_id, ref, CASE WHEN k % 41 = 0 THEN ['verdict_conflict'] ELSE triggers END AS triggers, {', '.join(f'{v} AS {c}' for c, v in _RULED.items())} FROM disputes JOIN lengths USING (case_id, ref) WHERE k % 61 <> 0
+rulings AS (SELECT case_id, ref, CASE WHEN k % 41 = 0 THEN ['verdict_conflict'] ELSE triggers END AS triggers, {', '.join(f'{v} AS {c}' for c, v in _RULED.items())} FROM disputes JOIN lengths USING (case_id, ref) WHERE k % 36 <> 0
   UNION ALL SELECT case_id, ref, ['verdict_conflict'], {', '.join(_RULED.values())} FROM lengths ANTI JOIN disputes USING (case_id, ref) WHERE k % 103 = 0)"""
 RULING_ERRORS = """SELECT case_id, ref, unnest(list_filter([CASE WHEN ruled AND t IS NULL THEN 'outside_conflicts' END, CASE WHEN ruled IS NULL THEN 'not_ruled' END, CASE WHEN ruled AND t IS NOT NULL AND list_sort(triggers) <> list_sort(t) THEN 'triggers_differ' END,
   CASE WHEN ruled AND selection NOT IN ('primary', 'secondary', 'original', 'unreviewable') THEN 'selection' END, CASE WHEN ruled AND confidence > 1 THEN 'confidence' END, CASE WHEN ruled AND trim(rationale) = '' THEN 'rationale' END], lambda x: x IS NOT NULL)) AS error
