@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tracequill.functions import text as T
 from tracequill.operators import segments as S
-from tracequill.session import table
+from tracequill.session import scratch_path, table
 from tracequill.sources import parse
 
 from . import fixtures as X
@@ -76,6 +76,20 @@ def w02_timed_segments(spark, sf):
     return S.segmented(_timed(spark, sf)).select("case_id", "pos", "segment")
 
 
+def w02_streamed_segments(spark, sf):
+    """The timed units as a stream: a first run takes them all, a last one moves the watermark past them."""
+    from tracequill.streaming.segments import streamed_segments
+
+    rows = _timed(spark, sf).select(F.col("case_id").cast("long"), F.timestamp_millis(F.col("start_ms") + 86_400_000).alias("at"), "pos", "text", "heading", "start_ms", "end_ms")
+    last = rows.agg((F.max("at") + F.expr("INTERVAL 1 DAY")).alias("at")).selectExpr("-1L AS case_id", "at", "0 AS pos", "'' AS text", "'' AS heading", "0L AS start_ms", "0L AS end_ms")
+    arrived, sink, progress = (scratch_path(spark, tag) for tag in ("arrived", "placed", "progress"))
+    for step in (rows, last):
+        step.write.mode("append").parquet(arrived)
+        stream = streamed_segments(spark.readStream.schema(rows.schema).parquet(arrived), "1 hour")
+        stream.writeStream.format("parquet").option("path", sink).option("checkpointLocation", progress).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(sink)
+
+
 def w04_context(spark, sf):
     join = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
     return S.segment_table(_segmented(spark, sf)).select("case_id", "segment", join("context_before").alias("context_before"), join("context_after").alias("context_after"))
@@ -148,7 +162,7 @@ def session_gaps(spark, sf):
 
 
 MENTIONED = ["anthe", "cióndo", "enkeit", "quele", "tion"]
-NAMES = "s02_timed_units s03_article_units s04_json_lines s10_legacy_timeline l01_exclusions w02_segments w02_timed_segments w03_contiguity w04_context w05_uniform_sample w06_locators w07_unit_groups w08_compact_ranges w09_earliest_mention w11_order_contiguity f16_speakers a01_source_stats j01_ledger_findings session_gaps"
+NAMES = "s02_timed_units s03_article_units s04_json_lines s10_legacy_timeline l01_exclusions w02_segments w02_timed_segments w02_streamed_segments w03_contiguity w04_context w05_uniform_sample w06_locators w07_unit_groups w08_compact_ranges w09_earliest_mention w11_order_contiguity f16_speakers a01_source_stats j01_ledger_findings session_gaps"
 QUERIES = {n: globals()[n] for n in NAMES.split()}
 
 _MS = "lpad((({m}) // 3600000)::VARCHAR, 2, '0') || ':' || lpad((({m}) % 3600000 // 60000)::VARCHAR, 2, '0') || ':' || lpad((({m}) % 60000 // 1000)::VARCHAR, 2, '0')"
@@ -182,6 +196,7 @@ SELECT case_id, 'C' || lpad(pos::VARCHAR, 6, '0') AS id, pos, s AS start_ms, s +
     "l01_exclusions": f"WITH {_REW} SELECT case_id, pos, kind FROM ex",
     "w02_segments": f"WITH {_SEG} SELECT case_id, pos, segment FROM segs",
     "w02_timed_segments": f"WITH {_TIMED} SELECT case_id, pos, segment FROM seg",
+    "w02_streamed_segments": f"WITH {_TIMED} SELECT case_id, pos, segment FROM seg",
     "w03_contiguity": f"""WITH {X.UNITS}, m AS (SELECT case_id, max(pos) AS last FROM units GROUP BY case_id) SELECT case_id, pos AS span_id, pos % 3 <> 0 AND pos + 2 <= last AS contiguous FROM units JOIN m USING (case_id)""",
     "w04_context": f"""WITH {_SEG}, b AS (SELECT case_id, segment, min(i) AS lo, max(i) AS hi FROM segs GROUP BY ALL)
 SELECT case_id, segment, coalesce((SELECT string_agg(k.pos::VARCHAR, ',' ORDER BY k.pos) FROM kept k WHERE k.case_id = b.case_id AND k.i BETWEEN lo - 2 AND lo - 1), '') AS context_before,
