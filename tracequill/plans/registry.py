@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import case_queries, contract_queries, delta_queries, evidence_queries, gate_queries, lineage_queries, rereview_queries, review_queries, term_queries, text_queries, tree_queries, units
+from . import case_queries, contract_queries, delta_queries, evidence_queries, gate_queries, lineage_queries, quality_queries, rereview_queries, review_queries, term_queries, text_queries, tree_queries, units
 
-_MODULES = (units, text_queries, evidence_queries, gate_queries, contract_queries, tree_queries, case_queries, rereview_queries, lineage_queries, term_queries, review_queries, delta_queries)
+_MODULES = (units, text_queries, evidence_queries, gate_queries, contract_queries, tree_queries, case_queries, rereview_queries, lineage_queries, term_queries, review_queries, delta_queries, quality_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
