@@ -10,6 +10,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tracequill.operators import claimreview as C
+from tracequill.session import written
 
 from . import fixtures as X
 
@@ -55,8 +56,9 @@ LISTS = ("issues", "merge_refs", "replacements", "codes")
 
 
 def _claims(spark, sf):
+    """Claims with ``n`` and ``m``, stored, as reviews, rulings and checks all read them."""
     rows = X.claims(spark, sf).withColumn("n", F.length("statement"))
-    return rows.withColumn("m", F.sum("n").over(Window.partitionBy("case_id")))
+    return written(spark, rows.withColumn("m", F.sum("n").over(Window.partitionBy("case_id"))), "claims")
 
 
 def _entries(rows, columns, kind="NULL"):
