@@ -1,22 +1,18 @@
-"""Compatibility composition (NFKC) as column expressions over tables that Python's Unicode data gives by rule.
+"""Compatibility composition (NFKC) by Python's Unicode data.
 
-A text is cut into plain runs, which are in the form already, and short tokens: one character with the marks that may
-join it. Only tokens are decomposed, put in canonical order and composed; texts of plain runs alone cost one search by pattern.
+Spark has no function for it, so texts go through Python in Arrow batches. ``_tables`` holds what the form changes, by rule.
 """
 
 from __future__ import annotations
 
 import functools
-import json
 import sys
 import unicodedata
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .canonical import let
-
-_BLOCK = 256
 #: Hangul syllables are composed by arithmetic.
 _S, _L, _V, _T, _NL, _NV, _NT = 0xAC00, 0x1100, 0x1161, 0x11A7, 19, 21, 28
 
@@ -45,112 +41,10 @@ def _tables() -> tuple[dict[int, str], dict[int, int], dict[tuple[str, str], str
     return apart, ranks, pairs
 
 
-def _class(points: list[int]) -> str:
-    """A character class of ``points``, in ranges."""
-    out, i = [], 0
-    while i < len(points):
-        j = i
-        while j + 1 < len(points) and points[j + 1] == points[j] + 1:
-            j += 1
-        out.append(f"\\x{{{points[i]:X}}}" + (f"-\\x{{{points[j]:X}}}" if j > i else ""))
-        i = j + 1
-    return "".join(out)
-
-
-@functools.cache
-def _quick() -> str:
-    """A pattern of texts that are in the form already: the longest runs of such characters, and Latin letters, as few ranges."""
-    apart, ranks, pairs = _tables()
-    seconds = {ord(b) for _, b in pairs} | set(range(_V, _V + _NV)) | set(range(_T + 1, _T + _NT))
-    runs, start = [], 0
-    for i in range(0x10000):
-        if i in apart and unicodedata.normalize("NFKC", chr(i)) != chr(i) or i in ranks or i in seconds or 0xD800 <= i < 0xE000:
-            if i > start and (i - start >= 200 or start < 0x250):
-                runs.append(f"\\x{{{start:X}}}-\\x{{{i - 1:X}}}")
-            start = i + 1
-    return f"^[{''.join(runs)}]*$"
-
-
-@functools.cache
-def _classes() -> tuple[str, str]:
-    """Characters that change alone but never join what stands before them, and those that may join it."""
-    apart, ranks, pairs = _tables()
-    seconds = {ord(b) for _, b in pairs} | set(range(_V, _V + _NV)) | set(range(_T + 1, _T + _NT)) | set(ranks)
-    joins = sorted(seconds | {i for i, x in apart.items() if ord(x[0]) in seconds})
-    alone = sorted(i for i in apart if i not in set(joins))
-    return _class(alone), _class(joins)
-
-
-def _lookup(values: dict[int, object], kind: str, at: Column) -> Column:
-    """The value of a code point, or null: a constant array of blocks of 256."""
-    blocks: list = [None] * (max(values) // _BLOCK + 1)
-    for i, x in values.items():
-        if blocks[i // _BLOCK] is None:
-            blocks[i // _BLOCK] = [None] * _BLOCK
-        blocks[i // _BLOCK][i % _BLOCK] = x
-    table = F.from_json(F.lit(json.dumps(blocks)), f"array<array<{kind}>>")
-    return F.get(F.get(table, F.floor(at / _BLOCK).cast("int")), (at % _BLOCK).cast("int"))
-
-
-def _char(point: Column) -> Column:
-    return F.decode(F.unhex(F.lpad(F.hex(point.cast("long")), 8, "0")), "UTF-32")
-
-
-def _decomposed(c: Column) -> Column:
-    apart, _, _ = _tables()
-    i = F.ascii(c)
-    s = i - _S
-    lead, vowel, tail = F.floor(s / (_NV * _NT)), F.floor(s % (_NV * _NT) / _NT), s % _NT
-    jamo = F.concat(_char(lead + _L), _char(vowel + _V), F.when(tail > 0, _char(tail + _T)).otherwise(""))
-    return F.when((s >= 0) & (s < _NL * _NV * _NT), jamo).otherwise(F.coalesce(_lookup(apart, "string", i), c))
-
-
-def _pair(a: Column, b: Column) -> Column:
-    """What two characters compose to, or null."""
-    _, _, pairs = _tables()
-    by_second: dict[int, dict[str, str]] = {}
-    for (x, y), c in pairs.items():
-        by_second.setdefault(ord(y), {})[x] = c
-    # Each second character has two aligned texts: the first ones, and what they compose to; one character a place.
-    first = _lookup({i: "".join(x) for i, x in by_second.items()}, "string", F.ascii(b))
-    whole = _lookup({i: "".join(x.values()) for i, x in by_second.items()}, "string", F.ascii(b))
-    at = F.call_function("instr", first, a)
-    listed = F.when(at > 0, F.substr(whole, at, F.lit(1)))
-    i, j = F.ascii(a), F.ascii(b)
-    lv = (i >= _L) & (i < _L + _NL) & (j >= _V) & (j < _V + _NV)
-    lvt = (i >= _S) & (i < _S + _NL * _NV * _NT) & ((i - _S) % _NT == 0) & (j > _T) & (j < _T + _NT)
-    return F.when(lv, _char(((i - _L) * _NV + (j - _V)) * _NT + _S)).when(lvt, _char(i + j - _T)).otherwise(listed)
-
-
-def _token(token: Column) -> Column:
-    """One token in the form: decomposed, marks in the order of their classes, composed."""
-    _, ranks, _ = _tables()
-    none = F.array().cast("array<struct<g:int,k:int,i:int,c:string>>")
-    parts = F.split(F.array_join(F.transform(F.split(token, ""), _decomposed), ""), "")
-    ranked = F.transform(parts, lambda c: F.struct(F.coalesce(_lookup(ranks, "int", F.ascii(c)), F.lit(0)).alias("k"), c.alias("c")))
-    # Marks may change places only between two characters of class 0: those count the groups.
-    group = lambda a, x: F.array_append(a, F.struct((F.coalesce(F.try_element_at(a, F.lit(-1))["g"], F.lit(0)) + F.when(x["k"] == 0, 1).otherwise(0)).alias("g"), x["k"].alias("k"), F.size(a).alias("i"), x["c"].alias("c")))
-    ordered = F.array_sort(F.aggregate(ranked, none, group))
-
-    def step(a: Column, x: Column) -> Column:
-        fits = (a["s"] != "") & ((a["m"] == "") | ((x["k"] > 0) & (a["k"] < x["k"])))
-        state = lambda o, s, m, k: F.struct(o.alias("o"), s.alias("s"), m.alias("m"), k.alias("k"))
-        mark = F.when(x["k"] == 0, state(F.concat(a["o"], a["s"], a["m"]), x["c"], F.lit(""), F.lit(0))).otherwise(state(a["o"], a["s"], F.concat(a["m"], x["c"]), x["k"]))
-        return let(F.when(fits, _pair(a["s"], x["c"])), lambda p: F.when(p.isNotNull(), state(a["o"], p, a["m"], a["k"])).otherwise(mark))
-
-    start = F.struct(F.lit("").alias("o"), F.lit("").alias("s"), F.lit("").alias("m"), F.lit(0).alias("k"))
-    return F.aggregate(ordered, start, step, lambda a: F.concat(a["o"], a["s"], a["m"]))
+def _composed(texts: pa.Array) -> pa.Array:
+    return pa.array([None if x is None else unicodedata.normalize("NFKC", x) for x in texts.to_pylist()], pa.string())
 
 
 def nfkc(text: Column) -> Column:
-    """``text`` in Unicode's form NFKC; null stays null."""
-    alone, joins = _classes()
-    # A plain run gives its last character back where a mark follows it.
-    pattern = f"[^{alone}{joins}]+(?![{joins}])|[^{joins}][{joins}]*+|[{joins}]++"
-    plain = f"^[^{alone}{joins}]*$"
-
-    def of(x: Column) -> Column:
-        tokens = F.regexp_extract_all(x, F.lit(f"(?s){pattern}"), F.lit(0))
-        return F.array_join(F.transform(tokens, lambda t: F.when(t.rlike(plain), t).otherwise(_token(t))), "")
-
-    return F.when(text.rlike(_quick()), text).otherwise(let(text, of))
+    """``text`` in Unicode's form NFKC; null stays null. It names columns of the table, no variables of lambdas."""
+    return F.arrow_udf(_composed, "string")(text)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 
+import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -21,12 +22,17 @@ def f02_compact_characters(spark, sf):
     return table(spark, sf, "documents").select("doc_id", T.compact_characters(F.col("text")).cast("long").alias("n"))
 
 
+#: Accented letters of which the accent is taken apart, and full-width digits.
+_APART = {i: two for i in range(0xC0, 0x180) if len(two := unicodedata.normalize("NFD", chr(i))) == 2} | {0x30 + i: chr(0xFF10 + i) for i in range(10)}
+
+
+def _taken_apart(texts: pa.Array) -> pa.Array:
+    return pa.array([None if x is None else x.translate(_APART).replace("fi", "ﬁ") for x in texts.to_pylist()], pa.string())
+
+
 def _unusual(text):
     """``text`` with its accents apart, full-width digits and a ligature."""
-    for i in range(0xC0, 0x180):
-        if len(apart := unicodedata.normalize("NFD", chr(i))) == 2:
-            text = F.replace(text, F.lit(chr(i)), F.lit(apart))
-    return F.translate(F.replace(text, F.lit("fi"), F.lit("ﬁ")), "0123456789", "０１２３４５６７８９")
+    return F.arrow_udf(_taken_apart, "string")(text)
 
 
 def f03_compatibility_forms(spark, sf):
