@@ -162,3 +162,12 @@ def test_sessions_stream_like_batches(spark, tmp_path):
     done = stream.writeStream.format("memory").queryName("closed").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     done.awaitTermination()
     assert sorted((r.user_id, r.events) for r in spark.table("closed").collect()) == batch[:3]
+
+
+def test_white_space_and_entities_by_character(spark):
+    """Every character of two bytes and some others between letters, and tags and entities that appear late: as the rules say, one by one."""
+    marks = [chr(i) for i in (*range(1, 0x700), *range(0x1670, 0x1690), *range(0x1FF0, 0x2070), 0x3000, 0xFEFF)]
+    space = set("\t\n\x0b\x0c\r \xa0     　﻿") | {chr(i) for i in range(0x2000, 0x200B)}
+    texts = {f"a{c}b": "a b" if c in space else f"a{c}b" for c in marks} | {"a  b": "a b", " a ": "a", "x<b>y</b>": "xy", "&AMP;lt;i&gt;": "<i>", "1 < 2": "1 < 2", "&amp;nbsp;": "&nbsp;", "a&nbsp;&nbsp;b": "a b", "": ""}
+    rows = spark.createDataFrame([(x,) for x in texts], "x string").select("x", T.normalize_text(F.col("x")).alias("n")).collect()
+    assert {r.x: r.n for r in rows} == texts
