@@ -98,3 +98,10 @@ def test_states(spark):
         1: "pass", 2: "invalid", 3: "needs_secondary", 4: "repair_required", 5: "needs_adjudication", 6: "pass", 7: "human_required", 8: "invalid",
         9: "needs_mechanical_fix", 10: "repair_required", 11: "invalid", 12: "invalid", 13: "invalid",
     }
+
+
+def test_unknown_targets_belong_to_their_own_entry(spark):
+    """Three entries of one ref: only that with the unknown target breaks the rule."""
+    rows = frames(spark, gap("E0001", verdict="merge", merge_refs=["E0002"]), gap("E0001", verdict="merge", merge_refs=["E0009"]), gap("E0001"))
+    got = sorted((r.verdict, r.merge_refs, r.errors) for r in C.entry_errors(rows, claims(spark, "E0001", "E0002")).collect())
+    assert got == [("merge", ["E0002"], []), ("merge", ["E0009"], ["merge_into_unknown"]), ("revise", [], [])]

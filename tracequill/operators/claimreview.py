@@ -69,9 +69,11 @@ def entry_errors(entries: DataFrame, claims: DataFrame) -> DataFrame:
     """
     nothing = F.array().cast("array<string>")
     rows = entries.withColumn("merge_refs", F.coalesce("merge_refs", nothing)).withColumn("replacements", F.coalesce("replacements", nothing))
-    merges = rows.filter("verdict = 'merge'").select("case_id", "ref", F.explode("merge_refs").alias("id")).filter("NOT id <=> ref")
-    lost = merges.join(claims.select("case_id", "id"), ["case_id", "id"], "left_anti").select("case_id", F.col("ref").alias("_ref"), F.lit(True).alias("_lost")).distinct()
-    rows = rows.join(lost.withColumnRenamed("case_id", "_case"), F.col("case_id").eqNullSafe(F.col("_case")) & F.col("ref").eqNullSafe(F.col("_ref")), "left").drop("_case", "_ref")
+    # Entries of one ref may have other targets: what is lost is known by the targets too.
+    merges = rows.filter("verdict = 'merge'").select("case_id", "ref", "merge_refs", F.explode("merge_refs").alias("id")).filter("NOT id <=> ref")
+    lost = merges.join(claims.select("case_id", "id"), ["case_id", "id"], "left_anti").select(F.col("case_id").alias("_case"), F.col("ref").alias("_ref"), F.col("merge_refs").alias("_refs"), F.lit(True).alias("_lost")).distinct()
+    same = F.col("case_id").eqNullSafe(F.col("_case")) & F.col("ref").eqNullSafe(F.col("_ref")) & F.col("merge_refs").eqNullSafe(F.col("_refs"))
+    rows = rows.join(lost, same, "left").drop("_case", "_ref", "_refs")
     merge, passed, split = yes(F.col("verdict") == "merge"), yes(F.col("verdict") == "pass"), yes(F.col("verdict") == "split")
     empty = F.exists("replacements", blank)
     rules = [
@@ -86,7 +88,7 @@ def entry_errors(entries: DataFrame, claims: DataFrame) -> DataFrame:
         ("rationale", blank(F.col("rationale"))),
         ("merge_target_count", merge & (F.size("merge_refs") != 1)),
         ("merge_into_itself", merge & F.array_contains("merge_refs", F.col("ref"))),
-        ("merge_into_unknown", yes(F.col("_lost"))),
+        ("merge_into_unknown", merge & yes(F.col("_lost"))),
         ("targets_without_merge", ~merge & (F.size("merge_refs") > 0)),
         ("replacement_blank", empty),
         ("split_needs_two", ~empty & split & (F.size("replacements") < 2)),
