@@ -61,3 +61,23 @@ def test_long_words_equal_the_library():
     words = ["".join(rng.choices(a, k=n)) for a in ("ab", "abcdefghijklmnopqrstuvwxyz", "éa", "x") for n in (1, 2, 201, 5_000)]
     for word in [*words, "".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", k=300_000))]:
         assert bpe.contracted(word.encode(), ranks) == library.encode_ordinary(word)
+
+
+def test_words_that_earlier_blocks_repeat_are_not_encoded_again(monkeypatch, library):
+    codec = bpe.Codec(PATH, P.PATTERN, bpe.reclassified())
+    encoded = []
+    encode = codec.encode_words
+    monkeypatch.setattr(codec, "encode_words", lambda words: encoded.append(words) or encode(words))
+    first, second = ["qzxabl", " qzyabl", "qzxabl", " once", "z" * 300, "z" * 300], [" qzwabl", "qzxabl", " once", "z" * 300, "qzxabl", " qzwabl"]
+    for limit, again in ((bpe.KNOWN_WORDS, [" qzwabl", " once", "z" * 300]), (0, list(dict.fromkeys(second)))):
+        monkeypatch.setattr(bpe, "KNOWN_WORDS", limit)
+        codec.known = {}
+        for words in (first, second):
+            block = bpe.Block()
+            block.add(1, words)
+            block.add(2, [])
+            found = dict(zip(block.words, zip(*codec.encode_block(block), strict=True), strict=True))
+            for w in words:
+                want = library.encode_ordinary(w)
+                assert found[w] == (",".join(map(str, want)), len(want), w.encode())
+        assert encoded[-1] == again and len(codec.known) <= limit

@@ -3,7 +3,8 @@
 A block's distinct words (matches of the split pattern) become token lists. Each
 recursion step unnests their token-position rows, joins adjacent pairs to the
 merge table, takes each word's leftmost pair of minimum rank and contracts it,
-until no word has a pair left. Decoding joins token rows to the vocabulary and
+until no word has a pair left. Words that a worker's earlier blocks had repeatedly are not
+encoded again (at most ``KNOWN_WORDS``). Decoding joins token rows to the vocabulary and
 aggregates their bytes in order. Documents are put together from their words, so
 no shuffle is needed.
 
@@ -37,6 +38,8 @@ LONG_WORD = 200
 #: A block ends at so many distinct words, or so many words, which bounds a worker's memory.
 BLOCK_DISTINCT = 200_000
 BLOCK_WORDS = 4_000_000
+#: Up to so many words that stood in a block twice or more, about 300 bytes each, are remembered for the worker's next blocks.
+KNOWN_WORDS = 150_000
 
 _SHORT = """
 WITH RECURSIVE s AS (
@@ -140,12 +143,41 @@ class Splitter:
         return [text[m.start() : m.end()] for m in self.pattern.finditer(text.translate(self.stand_in))]
 
 
+class Numbers(dict):
+    """Numbers of words in the order in which they are first asked for."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        return n
+
+
+class Block:
+    """Documents as sequences of word numbers, until the block is full."""
+
+    def __init__(self) -> None:
+        self.words = Numbers()
+        self.docs: list[tuple[int | None, np.ndarray]] = []
+        self.n = 0
+
+    def add(self, key: int | None, found: list[str]) -> None:
+        self.docs.append((key, np.fromiter(map(self.words.__getitem__, found), np.int32, len(found))))
+        self.n += len(found)
+
+    def counts(self) -> np.ndarray:
+        """How often each word stands in the block."""
+        return np.bincount(np.concatenate([seq for _, seq in self.docs]), minlength=len(self.words))
+
+    def full(self) -> bool:
+        return len(self.words) >= BLOCK_DISTINCT or self.n >= BLOCK_WORDS
+
+
 class Codec:
     """Vocabulary and merge table in an in-memory DuckDB of this worker."""
 
     def __init__(self, path: str, pattern: str, odd: tuple[tuple[int, int, str], ...], memory: str = "250MB"):
         self.ranks = load_ranks(path)
         self.split = Splitter(pattern, odd)
+        self.known: dict[str, tuple[str, int, bytes]] = {}
         self.bytes = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": memory, "preserve_insertion_order": False, "temp_directory": tempfile.gettempdir()})
         pairs, ranks = [], []
@@ -160,8 +192,21 @@ class Codec:
         vocabulary = pa.table({"token": pa.array(self.ranks.values(), pa.int32()), "h": [t.hex() for t in self.ranks]})  # noqa: F841
         self.db.execute("CREATE TABLE vocabulary AS SELECT * FROM vocabulary")
 
+    def encode_block(self, block: Block) -> tuple[list[str], list[int], list[bytes]]:
+        """As :meth:`encode_words` for the words of ``block``; those of earlier blocks are known, those that it has twice or more become known."""
+        words = list(block.words)
+        rest = iter(zip(*self.encode_words([w for w in words if w not in self.known]), strict=True))
+        found = [self.known.get(w) or next(rest) for w in words]
+        own = {words[i]: found[i] for i in np.flatnonzero(block.counts() > 1).tolist()[:KNOWN_WORDS] if len(words[i]) <= LONG_WORD}
+        together = self.known | own
+        self.known = together if len(together) <= KNOWN_WORDS else own
+        ids, sizes, decoded = zip(*found, strict=True) if found else ((), (), ())
+        return list(ids), list(sizes), list(decoded)
+
     def encode_words(self, words: list[str]) -> tuple[list[str], list[int], list[bytes]]:
         """For each word: its ids joined by commas, their number, and the bytes they decode to."""
+        if not words:
+            return [], [], []
         raw = [w.encode() for w in words]
         whole = [self.ranks.get(b) for b in raw]
         far = [i for i, (b, r) in enumerate(zip(raw, whole, strict=True)) if r is None and len(b) > LONG_WORD]
@@ -196,29 +241,12 @@ def codec(path: str, pattern: str, odd: tuple[tuple[int, int, str], ...]) -> Cod
     return Codec(path, pattern, odd)
 
 
-class Block:
-    """Documents as sequences of word numbers, until the block is full."""
-
-    def __init__(self) -> None:
-        self.words: dict[str, int] = {}
-        self.docs: list[tuple[int | None, np.ndarray]] = []
-        self.n = 0
-
-    def add(self, key: int | None, found: list[str]) -> None:
-        number = self.words
-        self.docs.append((key, np.fromiter((number.setdefault(w, len(number)) for w in found), np.int32, len(found))))
-        self.n += len(found)
-
-    def full(self) -> bool:
-        return len(self.words) >= BLOCK_DISTINCT or self.n >= BLOCK_WORDS
-
-
 _ENCODED = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 _ENCODED_FULL = "doc_id long, ids array<int>, decoded binary"
 
 
 def _digests(block: Block, engine: Codec) -> pa.RecordBatch:
-    ids, sizes, decoded = engine.encode_words(list(block.words))
+    ids, sizes, decoded = engine.encode_block(block)
     size_of = np.array(sizes, np.int64)
     out: tuple[list, list, list, list] = ([], [], [], [])
     for key, seq in block.docs:
@@ -234,7 +262,7 @@ def _digests(block: Block, engine: Codec) -> pa.RecordBatch:
 
 
 def _full(block: Block, engine: Codec) -> pa.RecordBatch:
-    ids, _, decoded = engine.encode_words(list(block.words))
+    ids, _, decoded = engine.encode_block(block)
     rows = [(k, [int(x) for p in s.tolist() for x in ids[p].split(",")], b"".join(decoded[p] for p in s.tolist())) for k, s in block.docs]
     cols = list(zip(*rows, strict=True)) or [[]] * 3
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.list_(pa.int32()), pa.binary()), strict=True)], ["doc_id", "ids", "decoded"])
