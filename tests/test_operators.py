@@ -171,3 +171,21 @@ def test_white_space_and_entities_by_character(spark):
     texts = {f"a{c}b": "a b" if c in space else f"a{c}b" for c in marks} | {"a  b": "a b", " a ": "a", "x<b>y</b>": "xy", "&AMP;lt;i&gt;": "<i>", "1 < 2": "1 < 2", "&amp;nbsp;": "&nbsp;", "a&nbsp;&nbsp;b": "a b", "": ""}
     rows = spark.createDataFrame([(x,) for x in texts], "x string").select("x", T.normalize_text(F.col("x")).alias("n")).collect()
     assert {r.x: r.n for r in rows} == texts
+
+
+def test_held_units_are_parsed_once(spark, sf_dir, monkeypatch):
+    from tracequill.plans import fixtures, registry
+
+    parsed = []
+    parse = fixtures.parse.article_units
+    monkeypatch.setattr(fixtures.parse, "article_units", lambda rows: parsed.append(1) or parse(rows))
+    found = registry.queries()["g13_change_scope"](spark, sf_dir)
+    assert len(parsed) == 1 and "documents.parquet" not in found._jdf.queryExecution().optimizedPlan().toString() and not found.isEmpty()
+    assert all("documents.parquet" not in x for x in found.inputFiles()) and not fixtures._HELD
+
+
+def test_bigrams_of_every_kind_of_text(spark):
+    texts = ["", "a", "ab", "abab", "日本語日本", "a😀b😀", "é x", "x\ny"]
+    rows = spark.createDataFrame([(x,) for x in texts], "x string").select("x", T.normalized_claim(F.col("x")).alias("p"), T.bigrams(F.col("x")).alias("g")).collect()
+    for r in rows:
+        assert r.g == ([r.p] if 0 < len(r.p) <= 2 else list(dict.fromkeys(r.p[i : i + 2] for i in range(len(r.p) - 1)))), r.x
