@@ -1,8 +1,12 @@
 """Gates, nested documents and releases."""
 
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
+from tracequill.operators import contracts as C
 from tracequill.operators import gates as G
 from tracequill.operators import leaves as L
 from tracequill.operators import releases as R
@@ -74,3 +78,40 @@ def test_roles_find_words_beside_letters_of_other_scripts(spark):
     texts = {"la porqueñque": "cause", "Weil": "cause", "ñweil": "cause", "porquex": "fact", "x_weil": "fact", "a\\b": "escaped"}
     df = spark.createDataFrame([(x,) for x in texts], "x string").select("x", G.keyword_role(F.col("x"), rules).alias("r"))
     assert {r.x: r.r for r in df.collect()} == texts
+
+
+def test_deletions_equal_a_walk_by_characters(spark):
+    """Random edits of few letters; no lambda goes over the characters, and a block's forms are made once."""
+
+    def mechanical(gone, before, after):
+        again = before and (before.endswith(gone) or gone.endswith(before[-6:])) or after and (after.startswith(gone) or gone.startswith(after[:6]))
+        return bool(not gone or re.fullmatch("(?:um|well)+", gone) or again)
+
+    def walk(s, t):
+        p = at = 0
+        for k, c in enumerate(s):
+            if p < len(t) and c == t[p]:
+                if not mechanical(s[at:k], t[:p], s[k:]):
+                    return False
+                p, at = p + 1, k + 1
+        return bool(s and t) and p == len(t) and mechanical(s[at:], t, "")
+
+    rng = random.Random(4)
+    rows = []
+    for i in range(4000):
+        text = "".join(rng.choice("abum") for _ in range(rng.choice((0, 3, 9, 70, 140))))
+        cut = sorted(rng.randrange(len(text) + 1) for _ in range(2))
+        source = text[: cut[0]] + rng.choice(("", "um", "well", text[max(0, cut[0] - 3) : cut[0]], "b")) + text[cut[0] : cut[1]] + rng.choice(("", "well", text[cut[1] : cut[1] + 4], text[-7:])) + text[cut[1] :]
+        rows.append((i, source, text))
+    found = C.deletion_only(spark.createDataFrame(rows, "k int, source string, text string"), ["um", "well"])
+    got = {r.k: r.deleted_only for r in found.collect()}
+    assert got == {k: walk(s, t) for k, s, t in rows} and len(set(got.values())) == 2
+    assert "lambdafunction" not in found._jdf.queryExecution().toString()
+
+
+def test_quotes_are_normalised_once(spark):
+    blocks = spark.createDataFrame([(1, "E1", "verbatim", "Ann", "abc defg", "00:01", None, ["E1", "E2", "E3"])], "case_id long, id string, mode string, attribution string, text string, source_locator string, source_text string, evidence_refs array<string>")
+    spans = spark.createDataFrame([(1, f"E{i}", "00:01", "x abc, defg") for i in (1, 2)], "case_id long, ref string, locator string, quote string")
+    found = C.controlled_quotes(blocks, spans, ["um"])
+    assert found.collect() == []
+    assert found._jdf.queryExecution().executedPlan().toString().count("_claims(") <= 2

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracequill.functions import canonical as C
 from tracequill.functions import text as T
 from tracequill.functions.canonical import let
-from tracequill.functions.folds import settled
+from tracequill.session import written
 
 
 def first_findings(findings: DataFrame) -> DataFrame:
@@ -104,25 +107,29 @@ def quote_form(text: Column) -> Column:
 OVERLAP = 6
 
 
-def _deletions(fillers: list[str]) -> str:
-    """SQL text: whether ``_t`` is ``_s`` less fillers and repetitions, character by character.
+def _only_deleted(source: str, text: str, filler: re.Pattern) -> bool:
+    """Whether ``text`` is ``source`` less fillers and repetitions.
 
-    Each character of ``_t`` takes the next equal one of ``_s``, found in one pass over ``_s`` that keeps two places.
+    Each character of ``text`` takes the next equal one of ``source``; equal stretches are passed in blocks.
     What lies between is a deleted piece: it must consist of fillers, or repeat the text before or after it.
     """
-    filler = "^(?:" + "|".join(f"{f}" for f in fillers) + ")+$"
+    p = k = 0
+    while p < len(text):
+        while p < len(text) and source[k : k + 64] == text[p : p + 64]:
+            k, p = k + len(text[p : p + 64]), p + len(text[p : p + 64])
+        while p < len(text) and k < len(source) and source[k] == text[p]:
+            k, p = k + 1, p + 1
+        if p < len(text):
+            at = source.find(text[p], k)
+            if at < 0 or not _mechanical(source[k:at], text[max(0, p - OVERLAP) : p], text.endswith(source[k:at], 0, p) and p > 0, source[at : at + OVERLAP], source.startswith(source[k:at], at), filler):
+                return False
+            k = at
+    gone = source[k:]
+    return bool(source and text) and (not gone or _mechanical(gone, text[-OVERLAP:], text.endswith(gone), "", False, filler))
 
-    def mechanical(gone: str, before: str, after: str) -> str:
-        return (
-            f"({gone} = '' OR {gone} RLIKE '{filler}' OR ({before} <> '' AND (endswith({before}, {gone}) OR endswith({gone}, right({before}, {OVERLAP})))) "
-            f"OR ({after} <> '' AND (startswith({after}, {gone}) OR startswith({gone}, left({after}, {OVERLAP})))))"
-        )
 
-    gap = "substr(_s, a.at + 1, a.k - a.at)"
-    step = f"""CASE WHEN NOT a.ok THEN a WHEN a.p < size(_tc) AND c = _tc[a.p] THEN named_struct('p', a.p + 1, 'at', a.k + 1, 'k', a.k + 1,
-      'ok', a.at = a.k OR {mechanical(gap, 'left(_t, a.p)', 'substr(_s, a.k + 1)')}) ELSE named_struct('p', a.p, 'at', a.at, 'k', a.k + 1, 'ok', a.ok) END"""
-    tail = mechanical("substr(_s, a.at + 1)", "_t", "''")
-    return f"_s <> '' AND _t <> '' AND aggregate(split(_s, ''), named_struct('p', 0, 'at', 0, 'k', 0, 'ok', true), (a, c) -> {step}, a -> a.ok AND a.p = size(_tc) AND {tail})"
+def _mechanical(gone: str, before: str, repeated_before: bool, after: str, repeated_after: bool, filler: re.Pattern) -> bool:
+    return repeated_before or repeated_after or bool(before and gone.endswith(before)) or bool(after and gone.startswith(after)) or bool(filler.fullmatch(gone))
 
 
 def deletion_only(quotes: DataFrame, fillers: list[str]) -> DataFrame:
@@ -132,9 +139,18 @@ def deletion_only(quotes: DataFrame, fillers: list[str]) -> DataFrame:
     """
     if any(c in f for f in fillers for c in "'\\"):
         raise ValueError("fillers hold no quotes or backslashes")
-    rows = settled(quotes.withColumn("_s", quote_form(F.col("source"))).withColumn("_t", quote_form(F.col("text"))))
-    rows = settled(rows.withColumn("_tc", F.split("_t", "")))
-    return rows.withColumn("deleted_only", F.expr(_deletions(fillers))).drop("_s", "_t", "_tc")
+    rows = quotes.withColumn("_s", quote_form(F.col("source"))).withColumn("_t", quote_form(F.col("text")))
+    return rows.withColumn("deleted_only", _edited(F.col("_s"), F.col("_t"), fillers)).drop("_s", "_t")
+
+
+def _edited(source: Column, text: Column, fillers: list[str]) -> Column:
+    """Of two columns in :func:`quote_form`; made in Arrow batches, since a lambda for each character costs many times as much."""
+    filler = re.compile("(?:" + "|".join(fillers) + ")+")
+
+    def edited(sources: pa.Array, texts: pa.Array) -> pa.Array:
+        return pa.array([_only_deleted(s, t, filler) for s, t in zip(sources.to_pylist(), texts.to_pylist(), strict=True)], pa.bool_())
+
+    return F.arrow_udf(edited, "boolean")(source, text)
 
 
 def locators_match(left: Column, right: Column) -> Column:
@@ -154,24 +170,25 @@ def controlled_quotes(blocks: DataFrame, spans: DataFrame, fillers: list[str], l
     does, at that span's place, and only deletes from it.
     """
     blank = lambda c: F.trim(F.coalesce(c, F.lit(""))) == ""
-    named = blocks.select("case_id", "id", "text", "source_text", "source_locator", F.explode(F.array_distinct("evidence_refs")).alias("ref"))
-    held = named.join(spans.select("case_id", "ref", "locator", "quote"), ["case_id", "ref"])
+    formed = blocks.withColumn("_s", quote_form(F.col("source_text"))).withColumn("_t", quote_form(F.col("text")))
+    formed = written(blocks.sparkSession, formed.withColumn("_deleted", _edited(F.col("_s"), F.col("_t"), fillers)), "quotes")
+    named = formed.select("case_id", "id", "_t", "_s", "source_locator", F.explode(F.array_distinct("evidence_refs")).alias("ref"))
+    held = named.join(spans.select("case_id", "ref", "locator", quote_form(F.col("quote")).alias("_q")), ["case_id", "ref"])
     found = held.groupBy("case_id", "id").agg(
-        F.bool_or(F.contains(quote_form(F.col("quote")), quote_form(F.col("text")))).alias("_verbatim"),
-        F.bool_or(locators_match(F.col("source_locator"), F.col("locator")) & F.contains(quote_form(F.col("quote")), quote_form(F.col("source_text")))).alias("_placed"),
+        F.bool_or(F.contains("_q", "_t")).alias("_verbatim"),
+        F.bool_or(locators_match(F.col("source_locator"), F.col("locator")) & F.contains("_q", "_s")).alias("_placed"),
     )
-    edits = deletion_only(blocks.select("case_id", "id", F.col("source_text").alias("source"), "text"), fillers).select("case_id", "id", "deleted_only")
-    rows = blocks.join(found, ["case_id", "id"], "left").join(edits, ["case_id", "id"])
+    rows = formed.select("case_id", "id", "mode", "attribution", "source_locator", "source_text", "_t", "_deleted").join(found, ["case_id", "id"], "left")
     known, cleaned = F.coalesce(F.col("mode").isin("verbatim", "spoken_cleanup"), F.lit(False)), F.col("mode") == "spoken_cleanup"
     rules = [
         ("mode", ~known),
         ("attribution", known & blank(F.col("attribution"))),
-        ("short", known & (F.length(quote_form(F.col("text"))) < least)),
+        ("short", known & (F.length("_t") < least)),
         ("not_verbatim", (F.col("mode") == "verbatim") & ~F.coalesce("_verbatim", F.lit(False))),
         ("no_locator", cleaned & blank(F.col("source_locator"))),
         ("no_source", cleaned & blank(F.col("source_text"))),
         ("misplaced", cleaned & ~F.coalesce("_placed", F.lit(False))),
-        ("not_deletion_only", cleaned & ~F.col("deleted_only")),
+        ("not_deletion_only", cleaned & ~F.col("_deleted")),
     ]
     errors = F.array_compact(F.array(*(F.when(F.coalesce(r, F.lit(False)), F.lit(x)) for x, r in rules)))
     return rows.withColumn("errors", errors).filter(F.size("errors") > 0).select("case_id", "id", "errors")
