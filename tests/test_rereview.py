@@ -119,3 +119,15 @@ def test_deletions_by_characters(spark):
     assert [r.deleted_only for r in C.deletion_only(df, ["um", "well"]).orderBy("k").collect()] == [r[2] for r in rows]
     match = spark.createDataFrame([("06:19:54–06:22:04", "06:19:54.250–06:22:04.9", True), ("06:19:54–06:22:04", "06:19:54–06:22:05", False), (" p  4 ", "p 4", True), (None, "", True), ("01:02", "x", False)], "a string, b string, want boolean")
     assert all(r.m == r.want for r in match.select("want", C.locators_match(F.col("a"), F.col("b")).alias("m")).collect())
+
+
+def test_merging_normalises_each_claim_once(spark):
+    """Claims and prefixes are stored: no later join normalises texts or orders grams again, and no lambda goes over grams."""
+    claims = spark.createDataFrame([(1, 1, "E1", "The same words here!"), (1, 2, "E2", "the same words, here"), (1, 3, "E3", "something else")], "case_id long, pos long, id string, statement string")
+    plan = E.greedy_merge(claims)._jdf.queryExecution().toString()
+    assert "_claims(" not in plan and "lambdafunction" not in plan and "nfkc" not in plan
+    rows = spark.createDataFrame([(1, 1, ["ab", "bc"]), (1, 2, ["bc", "ab"]), (1, 3, [])], "case_id long, pos long, g array<string>")
+    pairs = E.similar_pairs(rows, 0.9)
+    assert [tuple(r) for r in pairs.collect()] == [(1, 1, 2)]
+    plan = pairs._jdf.queryExecution().toString()
+    assert "prefixes-" in plan and "lambdafunction" not in plan
