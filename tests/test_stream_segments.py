@@ -47,3 +47,14 @@ def test_late_units_are_dropped_and_idle_cases_forgotten(spark):
     assert run(spark, batches) == [(1, 1, 1), (1, 2, 2), (1, 4, 3), (2, 1, 1)]
     idle = [[unit(1, 0, 1), unit(1, 20000, 2)], [unit(2, 60000, 1)], [unit(2, 500000, 2)], [unit(1, 600000, 3)], [END]]
     assert [r for r in run(spark, idle, idle_ms=60000) if r[0] == 1] == [(1, 1, 1), (1, 2, 2), (1, 3, 1)]
+
+
+def test_cases_without_ready_units_give_no_frames(spark):
+    """A case costs no operations on a frame: before, each made several on its units and one for no rows at all. Nulls stay nulls."""
+    import inspect
+
+    from tracequill.streaming import segments
+
+    assert not [x for x in (".astype(", ".where(", ".rename(") if x in inspect.getsource(segments.streamed_segments)]
+    rows = [(case, 1, 1, "word.", None, None, 5) for case in range(40)] + [(case, 9000, 2, None, "", 7100, None) for case in range(40)]
+    assert run(spark, [rows, [END]]) == [(case, pos, 1) for case in range(40) for pos in (1, 2)]

@@ -37,8 +37,9 @@ def streamed_segments(units: DataFrame, watermark: str, maximum: int = 1200, pre
         waiting = list(zip(*held[5:], strict=True))
         if not state.hasTimedOut:
             for batch in batches:
-                table = batch.drop(columns="at").rename(columns={"_at": "at"})[_NAMES].astype(object)
-                waiting.extend(table.where(table.notna(), None).itertuples(index=False, name=None))
+                # Plain lists: a case has few rows, and each operation on a frame costs as much as hundreds of them.
+                columns = ([None if x is None or x != x else x for x in batch["_at" if name == "at" else name].tolist()] for name in _NAMES)
+                waiting.extend(zip(*columns, strict=True))
         now = state.getCurrentWatermarkMs()
         ready = sorted((u for u in waiting if u[0] <= now), key=lambda u: (u[0], u[1]))
         waiting = [u for u in waiting if u[0] > now]
@@ -62,6 +63,7 @@ def streamed_segments(units: DataFrame, watermark: str, maximum: int = 1200, pre
                 state.setTimeoutTimestamp(int(min(u[0] for u in waiting)))
             elif idle_ms is not None:
                 state.setTimeoutTimestamp(max(now, 0) + idle_ms)
-        yield pd.DataFrame(out, columns=["case_id", "pos", "segment"])
+        if out:
+            yield pd.DataFrame(out, columns=["case_id", "pos", "segment"])
 
     return rows.withWatermark("at", watermark).groupBy("case_id").applyInPandasWithState(placed, "case_id long, pos int, segment int", _STATE, "append", GroupStateTimeout.EventTimeTimeout)
