@@ -189,3 +189,11 @@ def test_bigrams_of_every_kind_of_text(spark):
     rows = spark.createDataFrame([(x,) for x in texts], "x string").select("x", T.normalized_claim(F.col("x")).alias("p"), T.bigrams(F.col("x")).alias("g")).collect()
     for r in rows:
         assert r.g == ([r.p] if 0 < len(r.p) <= 2 else list(dict.fromkeys(r.p[i : i + 2] for i in range(len(r.p) - 1)))), r.x
+
+
+def test_counting_characters_replaces_no_pattern_in_plain_texts(spark):
+    """Plain spaces go by replacement of one letter; any other white space still goes by the pattern."""
+    texts = ["a b  c", "é ñ\u00a0x", "\ta\u3000b\ufeff", "日 本\u2003", "", None, "\x1c \x85"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, x string").select("i", T.compact_characters(F.col("x")).alias("n"))
+    assert [r.n for r in rows.orderBy("i").collect()] == [3, 3, 2, 2, 0, 0, 2]
+    assert "replace(" in rows._jdf.queryExecution().analyzed().toString().replace("regexp_replace(", "")

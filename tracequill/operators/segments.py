@@ -28,7 +28,7 @@ def exclusions(units: DataFrame, greeting: str = GREETING, promotion: str = PROM
         .when((n <= 12) & text.rlike(greeting), "greeting")
         .when((n <= 80) & text.rlike(promotion), "advertisement")
     )
-    marked = units.withColumn("_norm", T.normalize_text(F.col("text"))).withColumn("_size", T.compact_characters(text)).withColumn("_local", local).drop("_size")
+    marked = settled(units.withColumn("_norm", T.normalize_text(F.col("text")))).withColumn("_size", T.compact_characters(text)).withColumn("_local", local).drop("_size")
     earlier = Window.partitionBy("case_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     last = F.last(F.when(F.col("_local").isNull(), F.col("_norm")), ignorenulls=True).over(earlier)
     again = F.col("_local").isNull() & F.coalesce(last == F.col("_norm"), F.lit(False))
