@@ -3,6 +3,7 @@
 import random
 import struct
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -197,3 +198,33 @@ def test_counting_characters_replaces_no_pattern_in_plain_texts(spark):
     rows = spark.createDataFrame(list(enumerate(texts)), "i int, x string").select("i", T.compact_characters(F.col("x")).alias("n"))
     assert [r.n for r in rows.orderBy("i").collect()] == [3, 3, 2, 2, 0, 0, 2]
     assert "replace(" in rows._jdf.queryExecution().analyzed().toString().replace("regexp_replace(", "")
+
+
+def test_articles_are_parsed_in_arrow_batches_as_by_the_rules(spark):
+    """Line ends, titles and white space of every kind, against Spark's own patterns; no lambda over lines is left."""
+    rng = random.Random(11)
+    parts = ["# T", "## A  b\t", "#", "#x", "####### no", "# \r", "# a\x85", "# a b", "# c", "x y", "  　", "\ufeff", "a\rb", "<b>", "<b>x</b> &amp;lt;", "é  ñ ", "\x00", "日本", "\x1c", "&NBSP;"]
+    texts = ["", None, "\ufeff# T\nx", "\ufeff\ufeffx", "\r\n\r\nx\r\r\ny\r", *("".join(rng.choice(parts) + rng.choice(["\n", "\r\n", "\n\n", "\r", ""]) for _ in range(rng.randrange(9))) for _ in range(400))]
+    lines = spark.createDataFrame(list(enumerate(texts)), "case_id int, text string")
+    split = lines.select("case_id", F.posexplode(F.split(F.regexp_replace("text", "^\ufeff", ""), r"\r?\n")).alias("i", "line"))
+    title, ink = F.regexp_extract("line", r"^#{1,6}\s+(.+)$", 1), F.col("line").rlike("[^" + T.SPACE[1:])
+    want, above, open_lines = [], {}, {}
+    seen = split.select("case_id", "i", "line", title.alias("title"), ink.alias("ink")).orderBy("case_id", "i").collect()
+    raw = []
+    for r in [*seen, *(type(seen[0])(case_id=i, i=-1, line="", title="", ink=False) for i in range(len(texts)))]:
+        if r.ink and not r.title:
+            open_lines.setdefault(r.case_id, []).append(r.line)
+            continue
+        if open_lines.get(r.case_id):
+            raw.append((r.case_id, len(raw), " ".join(open_lines.pop(r.case_id)), above.get(r.case_id)))
+        if r.title:
+            above[r.case_id] = r.title
+    plain = spark.createDataFrame(raw, "case_id int, n int, text string, title string").select("case_id", "n", T.normalize_text(F.col("text")).alias("text"), F.coalesce(T.normalize_text(F.col("title")), F.lit("Body")).alias("heading"))
+    count = {}
+    for r in plain.filter("text <> ''").orderBy("case_id", "n").collect():
+        count[r.case_id] = count.get(r.case_id, 0) + 1
+        want.append((r.case_id, count[r.case_id], r.text, r.heading))
+    found = parse.article_units(lines)
+    assert sorted((r.case_id, r.pos, r.text, r.heading) for r in found.collect()) == sorted(want) and len(want) > 300
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "lambda" not in plan
