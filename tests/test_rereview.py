@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 from pyspark.sql import functions as F
@@ -131,3 +132,17 @@ def test_merging_normalises_each_claim_once(spark):
     assert [tuple(r) for r in pairs.collect()] == [(1, 1, 2)]
     plan = pairs._jdf.queryExecution().toString()
     assert "prefixes-" in plan and "lambdafunction" not in plan
+
+
+def test_role_hashes_gather_leaves_once_and_stay_what_they_were(spark):
+    """Reports of earlier rounds hold their hashes, so these must not change; equal ids are ordered by what the role sees of them."""
+    rows = spark.createDataFrame([leaf("b", "é \"x\"", evidence=("E2", "E1")), leaf("a"), leaf("b", "t", cited=None)], LEAF)
+    sha = lambda text: hashlib.sha256(text.encode()).hexdigest()
+    seen = {
+        "fidelity": [("a", '["a","t","E1","","source_fact"]'), ("b", '["b","é \\"x\\"","E1,E2","","source_fact"]'), ("b", '["b","t","E1","","source_fact"]')],
+        "reader_advocate": [("a", '["a","t"]'), ("b", '["b","é \\"x\\""]'), ("b", '["b","t"]')],
+        "source_scout": [("a", '["a","E1"]'), ("b", '["b","E1,E2"]'), ("b", '["b","E1"]')],
+    }
+    found = R.role_hashes(rows)
+    assert {r.role: r.hash for r in found.collect()} == {role: sha("".join(h for _, h in sorted((i, sha(x)) for i, x in shown))) for role, shown in seen.items()}
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("collect_list(") == 1

@@ -82,8 +82,12 @@ def role_hashes(leaves: DataFrame) -> DataFrame:
     """case_id, role and hash of what each role is shown: fidelity the text with its sources, the advocate the text alone, the scout the evidence."""
     refs = lambda c: F.array_join(F.array_sort(F.coalesce(c, F.array().cast("array<string>"))), ",")
     shown = {"fidelity": ["id", "text", refs("evidence_refs"), refs("citation_refs"), "provenance"], "reader_advocate": ["id", "text"], "source_scout": ["id", refs("evidence_refs")]}
-    each = leaves.select("case_id", "id", *(F.sha2(F.to_json(F.array(*(F.col(c) if isinstance(c, str) else c for c in columns))), 256).alias(role) for role, columns in shown.items()))
-    own = each.groupBy("case_id").agg(*(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", role))), lambda x: x[role]), ""), 256).alias(role) for role in shown))
+    # Digests travel as bytes, half of their hexadecimal form, and in one list a case: a list for each role holds each id again.
+    digest = lambda columns: F.unhex(F.sha2(F.to_json(F.array(*(F.col(c) if isinstance(c, str) else c for c in columns))), 256))
+    each = leaves.select("case_id", "id", *(digest(columns).alias(role) for role, columns in shown.items()))
+    lists = each.groupBy("case_id").agg(F.collect_list(F.struct("id", *shown)).alias("_all"))
+    ordered = lambda role: F.array_sort(F.transform("_all", lambda x: F.struct(x["id"], x[role].alias("digest"))))
+    own = lists.select("case_id", *(F.sha2(F.array_join(F.transform(ordered(role), lambda x: F.lower(F.hex(x["digest"]))), ""), 256).alias(role) for role in shown))
     return own.unpivot(["case_id"], list(shown), "role", "hash")
 
 
