@@ -248,3 +248,13 @@ def test_independence_reads_stored_roles(spark, sf_dir):
 
     plan = registry.queries()["g17_independence"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert "documents.parquet" not in plan and "explode" not in plan and "pos" not in plan
+
+
+def test_reviews_store_places_without_texts(spark, sf_dir, monkeypatch):
+    from tracequill.plans import fixtures, registry
+
+    stored, write = [], fixtures.written
+    monkeypatch.setattr(fixtures, "written", lambda s, df, tag: stored.append(df.columns) or write(s, df, tag))
+    for name in ("g06_coverage_consensus", "g07_policy_status", "g17_independence"):
+        assert registry.queries()[name](spark, sf_dir).count() > 0
+    assert stored == [["case_id", "pos"]] * 3
