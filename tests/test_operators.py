@@ -258,3 +258,22 @@ def test_reviews_store_places_without_texts(spark, sf_dir, monkeypatch):
     for name in ("g06_coverage_consensus", "g07_policy_status", "g17_independence"):
         assert registry.queries()[name](spark, sf_dir).count() > 0
     assert stored == [["case_id", "pos"]] * 3
+
+
+def test_quotes_of_cases_of_any_size(spark):
+    """Rows, not names, are counted: names may repeat. Cases over the bound give the same by grams; others make no row a gram."""
+    rng = random.Random(17)
+    word = lambda: "".join(rng.choices("ab", k=rng.randrange(3, 12)))
+    rows = [(case, f"E{i % 9}", word()) for case in (1, 2) for i in range(60)] + [(1, "E3", "ab" * 300), (None, "E1", "aaaaaaa"), (3, None, "aaaaaaa"), (3, "E2", "aaaaaaaa"), (3, "E4", None)]
+    df = spark.createDataFrame(rows, "case_id long, id string, plain string")
+    want = {}
+    for case, name, quote in rows:
+        if case is not None and quote and len(quote) >= 6:
+            hits = [i for c, i, plain in rows if c == case and plain and quote in plain]
+            least, n = want.get((case, name), (None, 0))
+            want[case, name] = (min([x for x in (least, *hits) if x is not None], default=None), n + len(hits))
+    for most in (4_000_000, 500, 0):
+        got = E.quoted_in(df, most=most)
+        assert most < 4_000_000 or "sequence(" not in got._jdf.queryExecution().toString()
+        found = got.collect()
+        assert {(r.case_id, r.quote_id): (r.first_match, r.matches) for r in found} == want and len(found) == len(want)
