@@ -58,3 +58,13 @@ def test_cases_without_ready_units_give_no_frames(spark):
     assert not [x for x in (".astype(", ".where(", ".rename(") if x in inspect.getsource(segments.streamed_segments)]
     rows = [(case, 1, 1, "word.", None, None, 5) for case in range(40)] + [(case, 9000, 2, None, "", 7100, None) for case in range(40)]
     assert run(spark, [rows, [END]]) == [(case, pos, 1) for case in range(40) for pos in (1, 2)]
+
+
+def test_cases_share_a_call_of_python(spark):
+    """Before, each case was a call with a state of its own. In one bucket, one idle case is forgotten while others go on; a null case and large ids stay apart."""
+    unit = lambda case, at, pos: (case, at, pos, "word.", "", at, at)
+    big = 2**60 + 1
+    batches = [[unit(1, 0, 1), unit(1, 20000, 2), unit(big, 20000, 1), unit(0, 20000, 1)], [unit(2, 60000, 1)], [unit(2, 500000, 2)], [unit(1, 600000, 3)], [END]]
+    got = run(spark, batches, idle_ms=60000, buckets=1)
+    assert {(1, 1, 1), (1, 2, 2), (1, 3, 1), (2, 1, 1), (big, 1, 1), (0, 1, 1)} <= set(got)
+    assert run(spark, [[unit(None, 0, 1), unit(None, 20000, 2)], [unit(None, 90000, 3)]], buckets=1) == [(None, 1, 1), (None, 2, 1)]

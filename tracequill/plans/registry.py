@@ -14,7 +14,7 @@ _MODULES = (units, text_queries, evidence_queries, gate_queries, contract_querie
 #: Queries whose branches or rounds read the units several times: these are parsed once and stored.
 SEVERAL = (
     "a02_support_rate a10_exact_duplicate_groups g06_coverage_consensus g07_policy_status g12_targeted_plan g13_change_scope g14_delta_scope g14_downgrade_errors g14_outcomes "
-    "g17_independence g20_report_reuse g21_quality_report j01_ledger_findings j07_near_duplicates j11_same_theme l07_controlled_quotes l08_deletion_only w02_streamed_segments w09_lexicon_hits w10_greedy_merge"
+    "g17_independence g20_report_reuse g21_quality_report j01_ledger_findings j07_near_duplicates j11_same_theme l07_controlled_quotes l08_deletion_only w09_lexicon_hits w10_greedy_merge"
 ).split()
 
 

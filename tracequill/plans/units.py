@@ -81,10 +81,12 @@ def w02_streamed_segments(spark, sf):
     from tracequill.streaming.segments import streamed_segments
 
     rows = _timed(spark, sf).select(F.col("case_id").cast("long"), F.timestamp_millis(F.col("start_ms") + 86_400_000).alias("at"), "pos", "text", "heading", "start_ms", "end_ms")
-    last = rows.agg((F.max("at") + F.expr("INTERVAL 1 DAY")).alias("at")).selectExpr("-1L AS case_id", "at", "0 AS pos", "'' AS text", "'' AS heading", "0L AS start_ms", "0L AS end_ms")
     arrived, sink, progress = (scratch_path(spark, tag) for tag in ("arrived", "placed", "progress"))
-    for step in (rows, last):
-        step.write.mode("append").parquet(arrived)
+    rows.write.parquet(arrived)
+    last = spark.read.schema(rows.schema).parquet(arrived).agg((F.max("at") + F.expr("INTERVAL 1 DAY")).alias("at")).selectExpr("-1L AS case_id", "at", "0 AS pos", "'' AS text", "'' AS heading", "0L AS start_ms", "0L AS end_ms")
+    for step in (None, last):
+        if step is not None:
+            step.write.mode("append").parquet(arrived)
         stream = streamed_segments(spark.readStream.schema(rows.schema).parquet(arrived), "1 hour")
         stream.writeStream.format("parquet").option("path", sink).option("checkpointLocation", progress).trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(sink)
