@@ -67,4 +67,4 @@ def test_cases_share_a_call_of_python(spark):
     batches = [[unit(1, 0, 1), unit(1, 20000, 2), unit(big, 20000, 1), unit(0, 20000, 1)], [unit(2, 60000, 1)], [unit(2, 500000, 2)], [unit(1, 600000, 3)], [END]]
     got = run(spark, batches, idle_ms=60000, buckets=1)
     assert {(1, 1, 1), (1, 2, 2), (1, 3, 1), (2, 1, 1), (big, 1, 1), (0, 1, 1)} <= set(got)
-    assert run(spark, [[unit(None, 0, 1), unit(None, 20000, 2)], [unit(None, 90000, 3)]], buckets=1) == [(None, 1, 1), (None, 2, 1)]
+    assert run(spark, [[unit(None, 0, 1), unit(None, 20000, 2)], [unit(None, 90000, 3)]], buckets=1) == [(None, 1, 1), (None, 2, 2)]
